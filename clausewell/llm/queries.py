@@ -4,7 +4,9 @@ from . import oracles
 from .decontaminate import op1_decontamination
 from .mixing import op7_mixing
 from .pii import op3_pii
+from .quality import op8_quality
 from .secrets import op4_secrets
+from .simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_pii, op4_secrets, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pii, op4_secrets, op7_mixing, op8_quality)}
 ORACLE_SQL = {"op1_decontamination": oracles.DECONTAMINATION}
