@@ -2,11 +2,16 @@
 
 from . import oracles
 from .decontaminate import op1_decontamination
+from .embeddings import op5_embeddings
 from .mixing import op7_mixing
 from .pii import op3_pii
 from .quality import op8_quality
 from .secrets import op4_secrets
 from .simhash import op2_simhash
+from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pii, op4_secrets, op7_mixing, op8_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_simhash, op3_pii, op4_secrets, op5_embeddings, op6_toxicity, op7_mixing, op8_quality)
+}
 ORACLE_SQL = {"op1_decontamination": oracles.DECONTAMINATION}
