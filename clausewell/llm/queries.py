@@ -4,14 +4,19 @@ from . import oracles
 from .decontaminate import op1_decontamination
 from .embeddings import op5_embeddings
 from .mixing import op7_mixing
+from .paragraphs import op10_paragraphs
 from .pii import op3_pii
 from .quality import op8_quality
 from .secrets import op4_secrets
 from .simhash import op2_simhash
+from .suffixes import op9_suffix_dedup
 from .toxicity import op6_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_simhash, op3_pii, op4_secrets, op5_embeddings, op6_toxicity, op7_mixing, op8_quality)
-}
+    for f in (
+        op1_decontamination, op2_simhash, op3_pii, op4_secrets, op5_embeddings, op6_toxicity, op7_mixing, op8_quality, op9_suffix_dedup,
+        op10_paragraphs,
+    )
+}
 ORACLE_SQL = {"op1_decontamination": oracles.DECONTAMINATION}
