@@ -1,9 +1,10 @@
 """Queries over the driver's tables and their SQL."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import corpus, evaluate, match, retrieve
+from ..operators import corpus, evaluate, match, retrieve, sheets
 
 
 def t(spark, d, name):
@@ -101,7 +102,34 @@ def refusal_rate(spark, d):
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.col("refused").cast("bigint")).alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_verify, exact_copies, units_to_blocks, secret_scan, bm25_topk, dense_topk, hybrid_rrf, ngram_coverage, title_locate, lcs_match, group_split, grade_rollup, number_fidelity, citation_check, refusal_rate)}
+def _cells(spark, d):
+    """A sheet for each nation: years as header, a category row for each segment, a row for each priority."""
+    rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.groupBy(F.col("c_nationkey").cast("string").alias("doc_id"), F.col("c_mktsegment").alias("seg"), F.col("o_orderpriority").alias("prio"), (F.year("o_orderdate") - 1991).alias("c")).agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("v"))
+    own = W.partitionBy("doc_id")
+    rows = rows.withColumn("r", F.dense_rank().over(own.orderBy("seg", "prio")) + F.dense_rank().over(own.orderBy("seg")))
+    parts = [
+        rows.select("doc_id", "r", "c", F.col("v").cast("string").alias("raw")),
+        rows.select("doc_id", "r", F.lit(0).alias("c"), F.col("prio").alias("raw")).distinct(),
+        rows.groupBy("doc_id", "seg").agg((F.min("r") - 1).alias("r")).select("doc_id", "r", F.lit(0).alias("c"), F.col("seg").alias("raw")),
+        rows.select("doc_id", F.lit(0).alias("r"), "c", F.concat(F.col("c") + 1991, F.lit("年")).alias("raw")).distinct(),
+    ]
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part)
+    return cells.withColumn("sheet", F.lit("S"))
+
+
+def cells_to_facts(spark, d):
+    return sheets.facts(_cells(spark, d)).select("doc_id", "row", "col", "indicator", "indicator_path", "family_root", "column_label", "value")
+
+
+def fact_lookup(spark, d):
+    asked = t(spark, d, "nation").select(F.col("n_nationkey").alias("q"), F.col("n_nationkey").cast("string").alias("doc_id"), F.lit("1-URGENT").alias("term"))
+    return sheets.lookup(sheets.facts(_cells(spark, d)), asked).groupBy("q").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (cells_to_facts, fact_lookup, corpus_verify, exact_copies, units_to_blocks, secret_scan, bm25_topk, dense_topk, hybrid_rrf, ngram_coverage, title_locate, lcs_match, group_split, grade_rollup, number_fidelity, citation_check, refusal_rate)}
 
 _TOK = "list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _BM25 = f"""
@@ -120,7 +148,13 @@ ds AS (SELECT a.vec_id AS query_id, b.vec_id AS block_id, round(list_dot_product
 dn AS (SELECT query_id, block_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS INT) AS rank FROM ds QUALIFY rank <= 5)"""
 _N = r"regexp_replace({}, '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+', '', 'g')"
 
+_CELLS = """a AS (SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, c_mktsegment AS seg, o_orderpriority AS prio, year(o_orderdate) - 1991 AS c, sum(CAST(floor(o_totalprice) AS BIGINT)) AS v
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+        b AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY seg, prio) + dense_rank() OVER (PARTITION BY doc_id ORDER BY seg) AS r, replace(prio, ' ', '') AS p, replace(seg, ' ', '') AS s FROM a)"""
+
 ORACLE_SQL = {
+    "cells_to_facts": f"""WITH {_CELLS} SELECT doc_id, r + 1 AS row, c + 1 AS col, p AS indicator, s || '/' || p AS indicator_path, p AS family_root, (c + 1991) || '年' AS column_label, CAST(v AS DOUBLE) AS value FROM b""",
+    "fact_lookup": f"""WITH {_CELLS} SELECT CAST(doc_id AS INT) AS q, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM b WHERE p = '1-URGENT' GROUP BY 1""",
     "corpus_verify": """SELECT d.doc_id, 'set/' || d.doc_id AS path, CASE WHEN d.doc_id % 7 <> 0 THEN n_chars END AS manifest_size, CASE WHEN d.doc_id % 13 <> 0 THEN sha256(text) END AS sha256,
         CASE WHEN d.doc_id % 13 = 0 THEN 'missing' WHEN d.doc_id % 7 = 0 THEN 'not_in_manifest' WHEN d.doc_id % 11 = 0 THEN 'hash_mismatch' ELSE 'ok' END AS status FROM documents d""",
     "exact_copies": "SELECT sha256(text) AS sha256, min(doc_id) AS canonical, count(*) AS copies FROM documents GROUP BY 1",
