@@ -49,7 +49,7 @@ STAGES = [
     ("mixing to target weights", mixing_stage),
 ]
 
-#: A network, automata and components are not SQL; tests/llm holds the pipeline against brute force.
+#: A network, automata and components are not SQL.
 ORACLE_SQL = None
 
 
