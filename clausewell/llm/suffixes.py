@@ -95,8 +95,12 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def two_stage(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffix array of texts laid end to end in data (ends: where each ends), right to 104 bytes' depth."""
+def two_stage(data: np.ndarray, ends: np.ndarray, length: int = 1) -> np.ndarray:
+    """Suffix array of texts laid end to end in data (ends: where each ends), right to 104 bytes' depth.
+
+    All suffixes of ``length`` bytes or more are in it. Of the shorter ones of a text, which cannot hold a string
+    of that length, only those up to the first that is sorted directly take part, as the others are induced from it.
+    """
     n = len(data)
     last = np.zeros(n, bool)
     last[ends - 1] = True
@@ -108,10 +112,13 @@ def two_stage(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     wide = np.concatenate([data, np.zeros(112, np.uint8)])
     lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)).view(">u8").reshape(-1).astype(np.uint64)
     direct = np.flatnonzero(smaller)
+    at = np.searchsorted(direct, np.maximum(ends - length, np.append(0, ends[:-1])))
+    bound = np.minimum(np.append(direct, n)[at], ends - 1)  # the last suffix of each text that takes part
+    direct = direct[direct <= bound[np.searchsorted(ends, direct, side="right")]]
     direct = direct[np.lexsort([lanes[direct + o] for o in range(96, -8, -8)])]
     cut = np.searchsorted(data[direct], np.arange(257))
     incoming: dict[int, list[np.ndarray]] = defaultdict(list)
-    end = np.flatnonzero(last)
+    end = bound[last[bound]]
     order = np.argsort(data[end], kind="stable")
     for c in np.unique(data[end]).tolist():  # induced by the ends, the smallest of all
         incoming[c].append(end[order][data[end][order] == c])
@@ -149,7 +156,7 @@ def repeats(texts: list[bytes], order: np.ndarray, starts: np.ndarray, length: i
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     of = np.repeat(np.arange(len(texts)), sizes)
-    sa = two_stage(data, ends)
+    sa = two_stage(data, ends, length)
     sa = sa[ends[of[sa]] - sa >= length]
     if len(sa) < 2:
         return (np.zeros(0, np.int64),) * 3
