@@ -7,7 +7,8 @@ then place) stays.
 
 Equal paragraphs collapse first. A bucket's paragraphs meet in tasks of at most two blocks of ``block`` of them,
 where a pair's exact Jaccard similarity is computed from the shingle sets, and a task returns a spanning forest
-of the links, not the pairs: groups are split and never capped. Texts are shuffled once, to cut them.
+of the links, not the pairs: groups are split and never capped. Texts are shuffled twice: to shingle the first
+place of each paragraph that shares a bucket, and to cut them.
 
 Defined results: a null text has no paragraphs and stays null; documents with a null id are left as they are;
 rows that repeat an id with the same text are cut alike; an empty table gives an empty result.
@@ -108,6 +109,23 @@ def _lines(docs: DataFrame, fields: str, make) -> DataFrame:
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
+def _sets(docs: DataFrame, read) -> DataFrame:
+    """docs (text, asked: places of paragraphs) -> hash, shingles of the paragraphs asked for."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, sets = [], []
+            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = (text or b"").split(b"\n")
+                for found in (read(lines[k]) for k in asked if k < len(lines)):
+                    if found:
+                        hashes.append(found[0])
+                        sets.append(found[1].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["hash", "shingles"])
+
+    return docs.select(F.col("text").cast("binary"), "asked").mapInArrow(run, "hash bigint, shingles binary")
+
+
 def _hashed(min_words: int):
     def read(line):
         parts = line.translate(WORDS).split()
@@ -128,8 +146,8 @@ def paragraph_classes(
     met = reps.select("hash", F.explode("bands").alias("band"))
     counts = checkpointed(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     members = checkpointed(met.join(counts, "band").select("band", "hash", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    sets = _lines(given, ", shingles binary", lambda: (read, lambda found: [pa.array([s.tobytes() for s in found], pa.binary())]))
-    needed = sets.join(members.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.first("shingles").alias("shingles"))
+    asked = reps.join(members.select("hash").distinct(), "hash", "left_semi").groupBy("first.doc").agg(F.collect_list("first.para").alias("asked"))
+    needed = _sets(given.join(asked, "doc").select("text", "asked"), read).groupBy("hash").agg(F.first("shingles").alias("shingles"))
     tiled = members.withColumn("own", F.pmod(F.xxhash64("hash"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "hash").join(needed, "hash")
     tiles = tiled.groupBy("band", "i", "j").agg(F.collect_list(F.struct("hash", "shingles")).alias("own")).select("own")
