@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -29,14 +30,27 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder that spark.checkpoint.dir names; a temporary one is set only where none is."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one is set only where none is."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a Parquet table in the shared folder, which takes less room than a checkpoint's rows."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def map_text(
     docs: DataFrame, text: str, keep: list[str], fields: str, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]]
 ) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, col, components, table
+from .common import col, components, table, written
 from .decontaminate import WORDS
 
 
@@ -142,10 +142,10 @@ def paragraph_classes(
     rows, n = tuned(similarity, recall, hashes)
     read = lambda line: shingles(line, shingle, min_words)
     banded = _lines(given, ", bands array<bigint>", lambda: (read, lambda sets: [pa.array(list(bands(sets, rows, n).view(np.int64)), pa.list_(pa.int64()))]))
-    reps = checkpointed(banded.groupBy("hash").agg(F.first("bands").alias("bands"), F.min(F.struct("doc", "para")).alias("first")))
+    reps = written(banded.groupBy("hash").agg(F.first("bands").alias("bands"), F.min(F.struct("doc", "para")).alias("first")))
     met = reps.select("hash", F.explode("bands").alias("band"))
-    counts = checkpointed(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    members = checkpointed(met.join(counts, "band").select("band", "hash", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    counts = written(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    members = written(met.join(counts, "band").select("band", "hash", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     asked = reps.join(members.select("hash").distinct(), "hash", "left_semi").groupBy("first.doc").agg(F.collect_list("first.para").alias("asked"))
     needed = _sets(given.join(asked, "doc").select("text", "asked"), read).groupBy("hash").agg(F.first("shingles").alias("shingles"))
     tiled = members.withColumn("own", F.pmod(F.xxhash64("hash"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, col, table
+from .common import col, table, written
 
 GRAM = 32
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -67,9 +67,9 @@ def with_doc(kind: T.DataType, ddl: str) -> T.StructType:
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """docs (doc, text) -> (doc, key, ctx, pos, stop)."""
+    """docs (doc, text) -> (doc, key, ctx, pos, ahead: bytes from pos to the end of its strings)."""
     kind = docs.schema["doc"].dataType
-    schema = with_doc(kind, "key bigint, ctx bigint, pos int, stop int")
+    schema = with_doc(kind, "key bigint, ctx bigint, pos int, ahead int")
     reach = length - GRAM
 
     def run(batches):
@@ -86,7 +86,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 rows.append(np.full(len(pos), i))
                 keys.append(key)
                 places.append(pos)
-                stops.append(stop)
+                stops.append(stop - pos)
             if rows:
                 own = batch.column(0).take(pa.array(np.concatenate(rows)))
                 made = [np.concatenate(keys).view(np.int64), np.array(ctx, np.uint64).view(np.int64), np.concatenate(places).astype(np.int32), np.concatenate(stops).astype(np.int32)]
@@ -228,8 +228,8 @@ def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     rows = _anchor_rows(given, length).withColumn("first", F.min(F.struct("doc", "pos")).over(own))
     rows = rows.withColumns({"least": F.min("ctx").over(all_), "most": F.max("ctx").over(all_)})
     later = F.struct("doc", "pos") > F.col("first")
-    rows = checkpointed(rows.where(later | (F.col("least") != F.col("most"))).select("doc", "pos", "stop", "key", later.alias("later")))
-    whole = rows.where("later").select("doc", F.greatest(F.lit(0), F.col("pos") - reach).alias("a"), F.col("stop").alias("b"))
+    rows = written(rows.where(later | (F.col("least") != F.col("most"))).select("doc", "pos", "ahead", "key", later.alias("later")))
+    whole = rows.where("later").select("doc", F.greatest(F.lit(0), F.col("pos") - reach).alias("a"), (F.col("pos") + F.col("ahead")).alias("b"))
     asked = rows.where("not later").select("doc", "pos", "key").distinct()
     asked = asked.groupBy("doc").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
     schema = with_doc(kind, "key bigint, start int, bytes binary")
@@ -248,10 +248,10 @@ def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
 
     contexts = given.select("doc", F.col("text").cast("binary").alias("text")).join(asked, "doc").select("doc", "text", "asked").mapInArrow(fetch, schema)
     hot = rows.where("not later").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_contexts).select("key")
-    hot = checkpointed(hot)
+    hot = written(hot)
     spans = with_doc(kind, "a int, b int")
     if not hot.isEmpty():
-        contexts = checkpointed(contexts)
+        contexts = written(contexts)
         places = with_doc(kind, "start int, x bigint, y bigint")
         strings = contexts.join(hot, "key", "left_semi").select("doc", "key", "start", "bytes").mapInArrow(_strings(places, length), places)
         least = strings.groupBy("x", "y").agg(F.min(F.struct("doc", "start")).alias("first"))
