@@ -55,3 +55,34 @@ def secret_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = F.array(*[F.struct(F.lit(k).alias("label"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m")) for k, p in patterns.items()])
     rows = docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.label", F.explode("h.m").alias("m"))
     return rows.select("doc_id", "label", F.substring("m", 1, 60).alias("found"))
+
+
+def split_long(blocks_: DataFrame, limit: int = 420, overlap: int = 60, factor: float = 1.6) -> DataFrame:
+    """blocks(doc_id, block_no, text) -> piece_no and piece: long blocks packed by sentences, with an overlap.
+
+    Sentences are split by Spark; the helper only packs them, one block at a time. Null texts have no pieces."""
+
+    @F.pandas_udf("array<string>")
+    def pack(sentences: pd.Series) -> pd.Series:
+        def one(parts):
+            out, held = [], ""
+            for s in parts:
+                if held and len(held) + len(s) > limit:
+                    out.append(held)
+                    held = held[-overlap:]
+                held += s
+            pieces = []
+            for piece in [*out, held] if held else out:
+                while len(piece) > factor * limit:
+                    pieces.append(piece[:limit])
+                    piece = piece[limit - overlap :]
+                pieces.append(piece)
+            return pieces
+
+        return sentences.map(one)
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = blocks_.where("text is not null")
+    short = own.where(F.length("text") <= limit).select("doc_id", "block_no", F.lit(0).alias("piece_no"), F.col("text").alias("piece"))
+    long_ = own.where(F.length("text") > limit).select("doc_id", "block_no", F.posexplode(pack(F.split(text, "(?<=[。;；])"))).alias("piece_no", "piece"))
+    return short.union(long_)

@@ -48,3 +48,32 @@ def citations(answer: Column, available: Column) -> tuple[Column, Column]:
     """Valid and dangling citation numbers."""
     cited = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,2})\]"), F.lit(1)), lambda x: x.cast("int")))
     return F.array_intersect(cited, available), F.array_except(cited, available)
+
+
+def error_rows(rows: DataFrame) -> DataFrame:
+    """The graded rows that are wrong."""
+    return rows.where(~F.col("correct"))
+
+
+def split_leaks(rows: DataFrame) -> DataFrame:
+    """rows(grp, split): groups that are in more than one split."""
+    return rows.groupBy("grp").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+
+
+def split_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows(split, grp, ...): rows and distinct groups of each split, in all and by each of the columns ``by``."""
+    pairs = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in by])
+    each = rows.select("split", "grp", F.explode(pairs).alias("p")).select("split", "grp", "p.*")
+    return each.groupBy("split", "kind", "value").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("groups"))
+
+
+def inconsistent_answers(rows: DataFrame) -> DataFrame:
+    """rows(answer, answer_text, option_a to option_d): those where the option named by the letter is not the answer's text."""
+    named = F.element_at(F.create_map(*[x for k in "abcd" for x in (F.lit(k.upper()), F.col(f"option_{k}"))]), F.col("answer"))
+    return rows.where(~F.coalesce(F.trim(named) == F.trim("answer_text"), F.lit(False)))
+
+
+def statements_hit(coverage: DataFrame, least: float = 0.7) -> DataFrame:
+    """coverage(q, statement_no, coverage): hit if every statement of a question is covered by some block."""
+    best = coverage.groupBy("q", "statement_no").agg(F.max("coverage").alias("m"))
+    return best.groupBy("q").agg(F.coalesce(F.min(F.col("m") >= least), F.lit(False)).alias("hit"))

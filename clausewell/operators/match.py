@@ -34,3 +34,23 @@ def common_substring(a: DataFrame, b: DataFrame, least: int = 15) -> DataFrame:
     order = W.partitionBy("a_id", "b_id", "d").orderBy("pos")
     runs = diagonal.withColumn("run", F.col("pos") - F.row_number().over(order)).groupBy("a_id", "b_id", "d", "run").agg(F.count("*").alias("n"))
     return runs.groupBy("a_id", "b_id").agg((F.max("n") + least - 1).alias("lcs"))
+
+
+def out_of_corpus(titles: DataFrame, names: DataFrame, least: int = 12) -> DataFrame:
+    """titles(title_id, title) that no name holds and that share no ``least`` characters in a row with any.
+
+    A title of ``least`` characters or more is rejected for one n-gram in common; a shorter one is its own n-gram.
+    Only grams that some title holds pass the first join, so names' grams are not shuffled against each other."""
+    own = titles.where(F.length("title") > 0).select("title_id", F.length("title").alias("n"), F.explode(F.when(F.length("title") < least, F.array("title")).otherwise(F.array_distinct(grams(F.col("title"), least)))).alias("gram"))
+    sizes = range(1, least + 1)
+    held = names.select(F.explode(F.flatten(F.array(*[grams(F.col("name"), k) for k in sizes]))).alias("gram")) if not own.where(F.col("n") < least).isEmpty() else names.select(F.explode(grams(F.col("name"), least)).alias("gram"))
+    met = own.join(held, "gram", "left_semi").select("title_id")
+    return titles.join(met, "title_id", "left_anti")
+
+
+def best_label(pairs: DataFrame) -> DataFrame:
+    """pairs(label_id, label, label_ext, name_id, name, ext), name holding label: one name for each label, by same
+    extension, then label at the end of the name, then shortest, then smallest id."""
+    same, tail = F.coalesce(F.col("ext") == F.col("label_ext"), F.lit(False)), F.endswith("name", "label")
+    order = W.partitionBy("label_id").orderBy(same.desc(), tail.desc(), F.length("name"), F.col("name_id"))
+    return pairs.withColumn("place", F.row_number().over(order)).where("place = 1").select("label_id", "name_id")
