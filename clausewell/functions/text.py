@@ -32,16 +32,27 @@ def number(s: Column) -> Column:
     return F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double"))
 
 
+def number_text(x: Column) -> Column:
+    """A number in plain decimal digits, six after the point at most."""
+    return F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+
+
 def grams(s: Column, n: int = 4) -> Column:
     return F.when(F.length(s) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
 
 
 def ngram_coverage(a: Column, b: Column, n: int = 4) -> Column:
-    """Share of a's n-grams, repeats counted, that b contains; short a: 1 if it is in b and not empty."""
-    x, y = norm(a), norm(b)
-    g = grams(x, n)
-    short = F.when((F.length(x) > 0) & F.contains(y, x), 1.0).otherwise(0.0)
-    return F.when(F.length(x) < n, short).otherwise(F.size(F.filter(g, lambda t: F.contains(y, t))) / F.size(g))
+    """Share of a's n-grams, repeats counted, that b contains; short a: 1 if it is in b and not empty.
+
+    The pair is bound as a lambda variable so that both texts are normalised once, not once for each n-gram."""
+
+    def share(pair: Column) -> Column:
+        x, y = pair.x, pair.y
+        g = grams(x, n)
+        short = F.when((F.length(x) > 0) & F.contains(y, x), 1.0).otherwise(0.0)
+        return F.when(F.length(x) < n, short).otherwise(F.size(F.filter(g, lambda t: F.contains(y, t))) / F.size(g))
+
+    return F.transform(F.array(F.struct(norm(a).alias("x"), norm(b).alias("y"))), share)[0]
 
 
 def clauses(option: Column) -> Column:

@@ -53,3 +53,46 @@ def within(value: Column, options: dict[str, Column], tolerance: float = 0.02) -
 def pair_arithmetic(a: Column, b: Column, options: dict[str, Column]) -> Column:
     """The option that a-b, else b-a, else a+b finds."""
     return F.coalesce(*[nearest_option(v, options) for v in (a - b, b - a, a + b)])
+
+
+def fallback_option(options: DataFrame, hits: DataFrame) -> DataFrame:
+    """options(q, letter, option), hits(q, rank, block_id, text): the (option, hit) of best coverage of the whole option.
+
+    Ties go to the first letter, then the better hit. Questions without hits are refused: a null letter."""
+    pairs = options.join(hits, "q").withColumn("coverage", F.round(ngram_coverage(F.col("option"), F.col("text")), 9))
+    order = W.partitionBy("q").orderBy(F.desc("coverage"), "letter", "rank")
+    best = pairs.withColumn("place", F.row_number().over(order)).where("place = 1").select("q", "letter", "block_id", "coverage")
+    return options.select("q").distinct().join(best, "q", "left").withColumn("refused", F.col("letter").isNull())
+
+
+def sweep(options: DataFrame, hits: DataFrame, strength: DataFrame, variants: list[tuple[str, int, bool, bool]], weight: float = 0.25) -> DataFrame:
+    """variants(name, hits taken, fused, by clauses): name, q, letter, score and chosen, in one pass over the widest hits.
+
+    strength(q, letter, top) is the best BM25 score of an option as a query; fused scores take ``weight`` of
+    top / max(top, 1)."""
+    whole = options.select("q", "letter", F.lit(False).alias("by_clause"), F.lit(0).alias("clause_no"), F.col("option").alias("part"))
+    parts = options.select("q", "letter", F.lit(True).alias("by_clause"), F.posexplode(clauses(F.col("option"))).alias("clause_no", "part"))
+    pairs = whole.union(parts).join(hits, "q").select("q", "letter", "by_clause", "clause_no", "rank", ngram_coverage(F.col("part"), F.col("text")).alias("coverage"))
+    kinds = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.lit(f).alias("fused"), F.lit(c).alias("clauses")) for n, k, f, c in variants])
+    rows = pairs.withColumn("v", F.explode(kinds)).where((F.col("rank") <= F.col("v.k")) & (F.col("by_clause") == F.col("v.clauses")))
+    best = rows.groupBy("v.name", "v.fused", "q", "letter", "clause_no").agg(F.max("coverage").alias("m"))
+    scores = best.groupBy("name", "fused", "q", "letter").agg(F.avg("m").alias("coverage")).join(strength, ["q", "letter"], "left")
+    top = F.coalesce("top", F.lit(0.0))
+    score = F.when(F.col("fused"), (1 - weight) * F.col("coverage") + weight * top / F.greatest(top, F.lit(1.0))).otherwise(F.col("coverage"))
+    scores = scores.select("name", "q", "letter", F.round(score, 9).alias("score"))
+    first = F.row_number().over(W.partitionBy("name", "q").orderBy(F.desc("score"), "letter")) == 1
+    return scores.withColumn("chosen", first)
+
+
+def first_solved(attempts: DataFrame) -> DataFrame:
+    """attempts(q, cand_no, answer, reason): the first candidate with an answer, else the first one's failure."""
+    order = W.partitionBy("q").orderBy(F.col("answer").isNull(), "cand_no", "answer", "reason")
+    return attempts.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+
+
+def routed(questions: DataFrame, by_table: DataFrame, by_text: DataFrame, table_kind: str = "excel") -> DataFrame:
+    """questions(q, source_type): the table answer where there is one, else the text answer with the table's reason."""
+    kind = F.col("source_type") == table_kind
+    rows = questions.join(by_table.select("q", F.col("answer").alias("a"), "reason"), "q", "left").join(by_text.select("q", F.col("answer").alias("b")), "q", "left")
+    a, reason = F.when(kind, F.col("a")), F.when(kind & F.col("a").isNull(), F.coalesce("reason", F.lit("doc_not_found")))
+    return rows.select("q", F.coalesce(a, "b").alias("answer"), F.when(a.isNotNull(), "table").otherwise("text").alias("route"), reason.alias("reason"))

@@ -39,9 +39,22 @@ def answer_numbers(answer: Column) -> Column:
 
 
 def missing_numbers(answer: Column, evidence: Column) -> Column:
-    """Numbers of the answer that the evidence does not hold, as they are or without trailing zeros."""
-    plain = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)
-    return F.filter(answer_numbers(answer), lambda x: ~(F.contains(evidence, x) | F.contains(evidence, plain(x))))
+    """Numbers of the answer that the evidence holds neither as they are, nor to two decimals without trailing zeros,
+    nor, if they are not whole, as the nearest integer."""
+
+    def absent(x: Column) -> Column:
+        exact = x.try_cast("decimal(38,10)")
+        short = F.regexp_replace(F.bround(exact, 2).cast("decimal(38,2)").cast("string"), r"\.?0+$", "")
+        whole = F.when(exact != F.floor(exact), F.bround(exact, 0).cast("decimal(38,0)").cast("string"))
+        return ~(F.contains(evidence, x) | F.coalesce(F.contains(evidence, short), F.lit(False)) | F.coalesce(F.contains(evidence, whole), F.lit(False)))
+
+    return F.filter(answer_numbers(answer), absent)
+
+
+def fidelity(answer: Column, evidence: Column, refusal: str) -> Column:
+    """'refused' for an answer that holds the refusal phrase, 'warn' if the evidence lacks a number of it, else 'ok'."""
+    lacking = F.size(missing_numbers(answer, evidence)) > 0
+    return F.when(F.contains(answer, F.lit(refusal)), "refused").when(lacking, "warn").otherwise("ok")
 
 
 def citations(answer: Column, available: Column) -> tuple[Column, Column]:

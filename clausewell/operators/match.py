@@ -36,15 +36,23 @@ def common_substring(a: DataFrame, b: DataFrame, least: int = 15) -> DataFrame:
     return runs.groupBy("a_id", "b_id").agg((F.max("n") + least - 1).alias("lcs"))
 
 
+def pieces(names: DataFrame, overlap: int, size: int = 500) -> DataFrame:
+    """piece: names in overlapping pieces, as a place in a long text is found by a walk from its start."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("name") - 1, F.lit(0)) / size).cast("int"))
+    return names.where("name is not null").select(F.explode(F.transform(starts, lambda k: F.substring(F.col("name"), k * size + 1, F.lit(size + overlap - 1)))).alias("piece"))
+
+
 def out_of_corpus(titles: DataFrame, names: DataFrame, least: int = 12) -> DataFrame:
     """titles(title_id, title) that no name holds and that share no ``least`` characters in a row with any.
 
     A title of ``least`` characters or more is rejected for one n-gram in common; a shorter one is its own n-gram.
-    Only grams that some title holds pass the first join, so names' grams are not shuffled against each other."""
+    Names' grams meet the titles' distinct ones first, which adaptive execution broadcasts where their measured size allows."""
     own = titles.where(F.length("title") > 0).select("title_id", F.length("title").alias("n"), F.explode(F.when(F.length("title") < least, F.array("title")).otherwise(F.array_distinct(grams(F.col("title"), least)))).alias("gram"))
     sizes = range(1, least + 1)
-    held = names.select(F.explode(F.flatten(F.array(*[grams(F.col("name"), k) for k in sizes]))).alias("gram")) if not own.where(F.col("n") < least).isEmpty() else names.select(F.explode(grams(F.col("name"), least)).alias("gram"))
-    met = own.join(held, "gram", "left_semi").select("title_id")
+    if own.where(F.col("n") < least).isEmpty():
+        sizes = (least,)
+    held = pieces(names, least).select(F.explode(F.flatten(F.array(*[grams(F.col("piece"), k) for k in sizes]))).alias("gram"))
+    met = own.join(held.join(own.select("gram").distinct(), "gram", "left_semi").distinct(), "gram", "left_semi").select("title_id")
     return titles.join(met, "title_id", "left_anti")
 
 

@@ -6,27 +6,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, number
+from ..functions.text import cell_address, norm, number, number_text
+from .answer import nearest_option, pair_arithmetic, within
 
 KEY = ["doc_id", "sheet"]
 # Header words (periods and measure bases), unit mark, child mark.
 HEADER = r"\d{4}年|\d{1,2}月|季度|本年|本月|本期|上年|累计|同比|期末|期初|截至|当期"
 UNIT = r"单位\s*[:：]\s*(.+)"
 CHILD = "其中"
+# Fixed value: indicators of stocks and counts, which are not compared with flows.
+STOCK = "总资产|总负债|资产总额|负债总额|净资产|余额|保险金额|保额|件数|机构数|人员数"
+
+
+def grid_cells(grids: DataFrame) -> DataFrame:
+    """grids(doc_id, sheet, rows array<array<string>>) -> cells; blank cells and rows keep their places."""
+    each = grids.select(*KEY, F.posexplode("rows").alias("r", "row"))
+    return each.select(*KEY, "r", F.posexplode("row").alias("c", "raw"))
+
+
+def fill_merged(cells: DataFrame, merges: DataFrame, half_open: bool = False) -> DataFrame:
+    """cells with every cell of a range in merges(doc_id, sheet, r1, r2, c1, c2) set to its top left value.
+
+    Bounds are inclusive, or without the last row and column if ``half_open``. Cells that ranges add appear; of
+    overlapping ranges that of largest (r1, c1) counts. Ranges become cells, so the join is an equality."""
+    last = int(half_open)
+    span = lambda a, b: F.when(F.col(b) - last >= F.col(a), F.sequence(F.col(a), F.col(b) - last))
+    held = merges.select(*KEY, "r1", "c1", F.explode(span("r1", "r2")).alias("r"), span("c1", "c2").alias("cs"))
+    held = held.select(*KEY, "r1", "c1", "r", F.explode("cs").alias("c"))
+    corner = cells.select(*KEY, F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("raw").alias("filled"))
+    held = held.join(corner, [*KEY, "r1", "c1"]).groupBy(*KEY, "r", "c").agg(F.max_by(F.struct("filled"), F.struct("r1", "c1")).alias("f"))
+    rows = cells.join(held, [*KEY, "r", "c"], "full_outer")
+    return rows.select(*KEY, "r", "c", F.when(F.col("f").isNotNull(), F.col("f.filled")).otherwise(F.col("raw")).alias("raw"))
 
 
 def facts(cells: DataFrame, header: str = HEADER, unit: str = UNIT, child: str = CHILD, gap: int = 3) -> DataFrame:
-    """One row for each labelled number: indicator with category and family root, column label, value, unit."""
+    """One row for each labelled number: indicator with category and family root, column label, value, unit.
+
+    A sheet without a header row takes the nearest of the ``gap`` rows above its first number that has two texts
+    or more and no number; a sheet without that has no facts."""
     x = cells.withColumns({"v": F.coalesce(norm(F.col("raw")), F.lit("")), "num": number(F.col("raw"))})
     head = (F.col("v") != "") & (F.length("v") <= 16) & F.col("v").rlike(header)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s.v), "")
-    rows = x.groupBy(*KEY, "r").agg(F.max(head).alias("head"), F.max(F.col("num").isNotNull()).alias("has_num"), whole.alias("whole"))
+    rows = x.groupBy(*KEY, "r").agg(F.max(head).alias("head"), F.max(F.col("num").isNotNull()).alias("has_num"), F.count_if(F.col("v") != "").alias("filled"), whole.alias("whole"))
     order = W.partitionBy(*KEY).orderBy("r")
     rows = rows.withColumn("cand", F.col("head") & ~F.col("has_num"))
     rows = rows.withColumn("last_h", F.last(F.when(F.col("cand"), F.col("r")), True).over(order.rowsBetween(W.unboundedPreceding, -1)))
     stop = F.when(~F.col("cand") & F.col("last_h").isNotNull() & (F.col("has_num") | (F.col("r") > F.col("last_h") + gap)), F.col("r"))
     rows = rows.withColumn("stop", F.min(stop).over(W.partitionBy(*KEY)))
-    rows = rows.withColumn("is_header", F.col("cand") & (F.col("r") < F.coalesce("stop", F.lit(2**31 - 1))))
+    sheet = W.partitionBy(*KEY)
+    rows = rows.withColumns({"first_num": F.min(F.when(F.col("has_num"), F.col("r"))).over(sheet), "headed": F.max("cand").over(sheet)})
+    near = ~F.col("has_num") & (F.col("filled") >= 2) & F.col("r").between(F.col("first_num") - gap, F.col("first_num") - 1)
+    rows = rows.withColumn("fallback", F.max(F.when(near, F.col("r"))).over(sheet))
+    found = F.col("cand") & (F.col("r") < F.coalesce("stop", F.lit(2**31 - 1)))
+    rows = rows.withColumn("is_header", F.when(F.col("headed"), found).otherwise(F.coalesce(F.col("r") == F.col("fallback"), F.lit(False))))
     named = F.when(F.col("whole").rlike(unit), F.struct("r", F.regexp_extract("whole", unit, 1).alias("u")))
     sheets = rows.groupBy(*KEY).agg(F.max(F.when(F.col("is_header"), F.col("r"))).alias("top"), F.min(named).getField("u").alias("sheet_unit")).where("top is not null")
     labels = x.join(rows.where("is_header").select(*KEY, "r"), [*KEY, "r"]).where("v not in ('', '—', '-')").groupBy(*KEY, "c")
@@ -66,6 +98,66 @@ def row_difference(facts_: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.groupBy("q").agg((value("col2") - value("col1")).alias("difference"))
 
 
+PLACE = ("sheet", "row", "col")
+
+
+def indicator_hits(facts_: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(q, ..., doc_id, term): lookups that met an indicator or its path."""
+    return lookup(facts_, asked).where("tier < 3")
+
+
+def lookup_answer(facts_: DataFrame, asked: DataFrame, letters: str = "ABCD") -> DataFrame:
+    """asked(q, doc_id, term_no, term, A, B, ...): q, doc_id, address, value, answer by the first term with a hit."""
+    first = indicator_hits(facts_, asked).groupBy("q").agg(F.min_by(F.struct("*"), F.struct("term_no", *PLACE)).alias("h")).select("h.*")
+    answer = nearest_option(F.col("value"), {k: F.col(k) for k in letters})
+    return first.select("q", "doc_id", cell_address(F.col("row"), F.col("col")).alias("address"), "value", answer.alias("answer"))
+
+
+def compare_answer(facts_: DataFrame, asked: DataFrame, stock: str = STOCK) -> DataFrame:
+    """asked(q, doc_id, letter, term, bases array<string>): the option whose indicator has the largest value.
+
+    Facts whose column label holds a basis come first; stock indicators count only where there is nothing else."""
+    basis = F.exists("bases", lambda b: F.contains("column_label", b))
+    hits = indicator_hits(facts_, asked).groupBy("q", "letter")
+    first = hits.agg(F.min_by(F.struct("indicator", "value"), F.struct((~F.coalesce(basis, F.lit(False))).alias("other"), *PLACE)).alias("h"))
+    rows = first.select("q", "letter", "h.*").withColumn("core", ~F.col("indicator").rlike(stock))
+    order = W.partitionBy("q").orderBy(F.desc("core"), F.desc("value"), "letter")
+    return rows.withColumn("place", F.row_number().over(order)).where("place = 1").select("q", F.col("letter").alias("answer"), "indicator", "value")
+
+
+def row_span(facts_: DataFrame, asked: DataFrame, letters: str = "ABCD") -> DataFrame:
+    """asked(q, doc_id, term, A, B, ...): last minus first column of the first hit's row of two numbers or more
+    for which exactly one option is near."""
+    hits = indicator_hits(facts_, asked).groupBy("q", "doc_id", "sheet", "row", *letters).agg(F.min("col").alias("hit_col"))
+    rows = hits.join(facts_.select(*KEY, "row", "col", "value"), [*KEY, "row"])
+    rows = rows.groupBy("q", "sheet", "row", "hit_col", *letters).agg((F.max_by("value", "col") - F.min_by("value", "col")).alias("difference"), F.count("*").alias("n"))
+    near = within(F.col("difference"), {k: F.col(k) for k in letters})
+    rows = rows.where("n > 1").withColumn("near", near).where(F.size("near") == 1)
+    order = W.partitionBy("q").orderBy("sheet", "row", "hit_col")
+    return rows.withColumn("place", F.row_number().over(order)).where("place = 1").select("q", "row", "difference", F.col("near")[0].alias("answer"))
+
+
+def pair_answer(facts_: DataFrame, asked: DataFrame, letters: str = "ABCD") -> DataFrame:
+    """asked(q, doc_id, term_no, term, A, B, ...): difference or sum of the first records of the first two terms found."""
+    first = indicator_hits(facts_, asked).groupBy("q", "term_no", *letters).agg(F.min_by("value", F.struct(*PLACE)).alias("value"))
+    pairs = first.groupBy("q", *letters).agg(F.array_sort(F.collect_list(F.struct("term_no", "value"))).alias("v")).where(F.size("v") > 1)
+    a, b = F.col("v")[0]["value"], F.col("v")[1]["value"]
+    return pairs.select("q", a.alias("first"), b.alias("second"), pair_arithmetic(a, b, {k: F.col(k) for k in letters}).alias("answer"))
+
+
+def table_evidence(facts_: DataFrame, asked: DataFrame, terms: int = 4, each: int = 2) -> DataFrame:
+    """asked(q, doc_id, term_no, term): no, text, source, location of the first ``each`` records of the first ``terms`` terms."""
+    hits = lookup(facts_, asked.where(F.col("term_no") < terms))
+    rank = F.row_number().over(W.partitionBy("q", "term_no").orderBy(*PLACE))
+    hits = hits.withColumn("rank", rank).where(F.col("rank") <= each)
+    hits = hits.groupBy("q", "doc_id", *PLACE).agg(F.min_by(F.struct("indicator", "family_root", "column_label", "value", "unit", "term_no", "rank"), F.struct("term_no", "rank")).alias("h"))
+    no = F.row_number().over(W.partitionBy("q").orderBy("h.term_no", "h.rank"))
+    place = F.concat_ws("!", F.trim("sheet"), cell_address(F.col("row"), F.col("col")))
+    root = F.when(F.col("h.family_root") == "", "").otherwise(F.concat(F.lit("("), F.col("h.family_root"), F.lit(")")))
+    text = F.concat(place, F.lit(": "), F.col("h.indicator"), root, F.lit(" ["), F.col("h.column_label"), F.lit("] = "), number_text(F.col("h.value")), F.lit(" "), F.col("h.unit"))
+    return hits.select("q", no.alias("no"), F.rtrim(text).alias("text"), F.col("doc_id").alias("source"), place.alias("location"))
+
+
 def match_option(value: float, options: list[tuple[str, float | None]], tolerance: float = 0.02) -> str | None:
     """The letter of the nearest option within the relative tolerance."""
     near = min(((abs(value - x) / max(1.0, abs(x)), k) for k, x in options if x is not None), default=None)

@@ -102,17 +102,23 @@ def refusal_rate(spark, d):
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.col("refused").cast("bigint")).alias("refused"))
 
 
-def _cells(spark, d):
-    """A sheet for each nation: years as header, a category row for each segment, a row for each priority."""
+def _values(spark, d):
+    """Rounded order values by nation, segment, priority and year (c from 1)."""
     rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.groupBy(F.col("c_nationkey").cast("string").alias("doc_id"), F.col("c_mktsegment").alias("seg"), F.col("o_orderpriority").alias("prio"), (F.year("o_orderdate") - 1991).alias("c")).agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("v"))
+    keys = (F.col("c_nationkey").cast("string").alias("doc_id"), F.col("c_mktsegment").alias("seg"), F.col("o_orderpriority").alias("prio"), (F.year("o_orderdate") - 1991).alias("c"))
+    return rows.groupBy(*keys).agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("v"))
+
+
+def _cells(spark, d, mark="年"):
+    """A sheet for each nation: years as header, a category row for each segment, a row for each priority."""
+    rows = _values(spark, d)
     own = W.partitionBy("doc_id")
     rows = rows.withColumn("r", F.dense_rank().over(own.orderBy("seg", "prio")) + F.dense_rank().over(own.orderBy("seg")))
     parts = [
         rows.select("doc_id", "r", "c", F.col("v").cast("string").alias("raw")),
         rows.select("doc_id", "r", F.lit(0).alias("c"), F.col("prio").alias("raw")).distinct(),
         rows.groupBy("doc_id", "seg").agg((F.min("r") - 1).alias("r")).select("doc_id", "r", F.lit(0).alias("c"), F.col("seg").alias("raw")),
-        rows.select("doc_id", F.lit(0).alias("r"), "c", F.concat(F.col("c") + 1991, F.lit("年")).alias("raw")).distinct(),
+        rows.select("doc_id", F.lit(0).alias("r"), "c", F.concat(F.col("c") + 1991, F.lit(mark)).alias("raw")).distinct(),
     ]
     cells = parts[0]
     for part in parts[1:]:
