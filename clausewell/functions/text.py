@@ -65,3 +65,52 @@ def cell_address(row: Column, column: Column) -> Column:
     letter = lambda k: F.char(F.lit(65) + k)
     c = column - 1
     return F.concat(F.when(c >= 26, letter(F.floor(c / 26) - 1)).otherwise(""), letter(c % 26), row.cast("string"))
+
+
+def _found(s: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(s, pattern, 1), F.lit(""))
+
+
+def question_title(question: Column) -> Column:
+    """The first title in book marks, or null."""
+    return _found(question, "《([^》]+)》")
+
+
+def question_sheet(question: Column) -> Column:
+    """The sheet that a question names, without punctuation and unpaired closing brackets at its end, or null."""
+
+    def unpaired(s: Column, opening: str, closing: str) -> Column:
+        count = lambda mark: F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))
+        at_end = F.length(s) - F.length(F.regexp_replace(s, f"[{closing}]+$", ""))
+        return F.substring(s, F.lit(1), F.length(s) - F.least(at_end, F.greatest(count(closing) - count(opening), F.lit(0))))
+
+    s = F.regexp_replace(_found(question, r"工作表\s*[:：]\s*(\S+)"), "[，。;；、.]+$", "")
+    return unpaired(unpaired(s, "（", "）"), "(", ")")
+
+
+def question_terms(question: Column) -> Column:
+    """All strings of 2 to 30 characters in quotation marks."""
+    return F.regexp_extract_all(question, F.lit('[“"]([^”"]{2,30})[”"]'), F.lit(1))
+
+
+def difference_terms(question: Column) -> Column:
+    """(row, col1, col2) of a question on a row's change from one column to another, or null."""
+    pattern = '[“"]([^”"]+)[”"]从[“"]([^”"]+)[”"]到[“"]([^”"]+)[”"]'
+    parts = F.struct(*[F.regexp_extract(question, pattern, k).alias(n) for k, n in enumerate(("term", "col1", "col2"), 1)])
+    return F.when(question.rlike(pattern), parts)
+
+
+def evidence_cells(text: Column) -> Column:
+    """Cell addresses that a gold evidence names."""
+    return F.array_union(F.regexp_extract_all(norm(text), F.lit(r"单元格[：:]([A-Z]+\d+)"), F.lit(1)), F.regexp_extract_all(norm(text), F.lit(r"[（(]([A-Z]+\d{1,3})[)）]"), F.lit(1)))
+
+
+def evidence_numbers(text: Column) -> Column:
+    """Values that a gold evidence states."""
+    held = [F.regexp_extract_all(norm(text), F.lit(p), F.lit(1)) for p in (r"原始值[：:](-?[\d.]+)", r"=(-?\d[\d.]*)[（(]")]
+    return F.array_compact(F.transform(F.array_union(*held), lambda x: x.try_cast("double")))
+
+
+def statements(text: Column, least: int = 8) -> Column:
+    """Statements of a gold evidence of ``least`` characters or more, white space gone."""
+    return F.filter(F.split(norm(text), "[;；]"), lambda x: F.length(x) >= least)

@@ -82,9 +82,15 @@ def facts(cells: DataFrame, header: str = HEADER, unit: str = UNIT, child: str =
 
 
 def lookup(facts_: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked(q, doc_id, term): the facts of the best tier (exact indicator, path, column label), in order."""
+    """asked(q, doc_id, term): the facts of the best tier (exact indicator, path, column label), in order.
+
+    With a column asked_sheet that is not null only sheets whose name holds that one's, or is held by it, count."""
     rows = facts_.join(asked, "doc_id")
-    tier = F.when(F.col("indicator") == F.col("term"), 1).when(F.contains("indicator_path", "term"), 2).when(F.col("column_label") == F.col("term"), 3)
+    if "asked_sheet" in asked.columns:
+        own, named = norm(F.col("sheet")), norm(F.col("asked_sheet"))
+        rows = rows.where(F.col("asked_sheet").isNull() | F.contains(own, named) | F.contains(named, own))
+    term = norm(F.col("term"))
+    tier = F.when(F.col("indicator") == term, 1).when(F.contains("indicator_path", term), 2).when(F.col("column_label") == term, 3)
     rows = rows.withColumn("tier", tier).where("tier is not null")
     return rows.withColumn("least", F.min("tier").over(W.partitionBy("q", "doc_id", "term"))).where("tier = least").drop("least")
 

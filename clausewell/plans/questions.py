@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import answer, evaluate, evidence, match, questions
 from .answering import _COVERAGE, _coverage, _options
 from .queries import _BM25, _N, _units, bm25_topk, t
@@ -120,7 +121,14 @@ def demo_sample(spark, d):
     return questions.one_each(t(spark, d, "documents"), "lang", "doc_id").select("lang", "doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (fallback_option, strategy_sweep, statement_hits, document_prompts, retrieved_evidence, extraction_audit, extraction_totals, extraction_misses, label_match, label_issues, sheet_locate, unlocated_titles, outside_questions, outside_counts, type_repair, demo_sample)}
+def question_parse(spark, d):
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("《"), F.substring("text", 1, 12), F.lit("》工作表："), "role", F.lit("（a）b）。 “"), F.substring("text", 3, 9), F.lit("”从“x"), "turn", F.lit("”到“y”")).alias("question"))
+    x = F.col("question")
+    change = X.difference_terms(x)
+    return rows.select("conv_id", "turn", X.question_title(x).alias("title"), X.question_sheet(x).alias("sheet"), F.array_join(X.question_terms(x), "|").alias("terms"), change.term.alias("term"), change.col1.alias("col1"))
+
+
+QUERIES = {f.__name__: f for f in (fallback_option, strategy_sweep, statement_hits, document_prompts, retrieved_evidence, extraction_audit, extraction_totals, extraction_misses, label_match, label_issues, sheet_locate, unlocated_titles, outside_questions, outside_counts, type_repair, demo_sample, question_parse)}
 
 _OPTIONS = f"""{_BM25}, o AS (SELECT item_id AS q, 'A' AS letter, text AS option FROM benchmark UNION ALL SELECT item_id - 1, 'B', text FROM benchmark),
 hit AS (SELECT query_id AS q, block_id, rank, {_N.format('text')} AS t FROM bm JOIN documents ON doc_id = block_id)"""
@@ -176,5 +184,8 @@ ORACLE_SQL = {
     "type_repair": """WITH c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) > 4 AS late, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
         mv AS (SELECT arg_min(conv_id, (n, conv_id)) AS g FROM c WHERE turn > 4)
         SELECT conv_id AS grp, turn, CASE WHEN turn > 4 THEN 'late' ELSE 'early' END AS qa_type, CASE WHEN late AND conv_id IS DISTINCT FROM g THEN 'test' ELSE 'dev' END AS split FROM c, mv""",
+    "question_parse": """WITH r AS (SELECT conv_id, turn, role, '《' || text[1:12] || '》' AS head, '“' || text[3:11] || '”从“x' || turn || '”到“y”' AS tail FROM conversations)
+        SELECT conv_id, turn, nullif(regexp_extract(head, '《([^》]+)》', 1), '') AS title, role || '（a）b' AS sheet, array_to_string(regexp_extract_all(tail, '[“"]([^”"]{2,30})[”"]', 1), '|') AS terms,
+        CASE WHEN regexp_matches(tail, '“[^”"]+”从') THEN regexp_extract(tail, '“([^”"]+)”从', 1) END AS term, CASE WHEN regexp_matches(tail, '“[^”"]+”从') THEN regexp_extract(tail, '从“([^”"]+)”', 1) END AS col1 FROM r""",
     "demo_sample": "SELECT lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':7'), doc_id) = 1",
 }

@@ -45,3 +45,16 @@ def test_common_substring(spark):
     a = spark.createDataFrame([(1, "abcdefghijklmno")], "a_id int, s string")
     b = spark.createDataFrame([(1, "xxabcdefghijklmnoyy"), (2, "abcdefghijklmn")], "b_id int, s string")
     assert [(r.b_id, r.lcs) for r in match.common_substring(a, b).collect()] == [(1, 15)]
+
+
+def test_question_parts(spark):
+    q = F.lit("《甲办法》工作表：表1（续）），。 “净利润”从“2023年”到“2024年”")
+    assert (one(spark, X.question_title(q)), one(spark, X.question_sheet(q)), one(spark, X.question_terms(q))) == ("甲办法", "表1（续）", ["净利润", "2023年", "2024年"])
+    assert tuple(one(spark, X.difference_terms(q))) == ("净利润", "2023年", "2024年") and one(spark, X.difference_terms(F.lit("x"))) is None
+    e = F.lit("单元格：C5；原始值：-1.5；利润=20.25(D6)；一二三四五六七八")
+    assert (one(spark, X.evidence_cells(e)), one(spark, X.evidence_numbers(e)), one(spark, X.statements(e))) == (["C5", "D6"], [-1.5, 20.25], ["原始值：-1.5", "利润=20.25(D6)", "一二三四五六七八"])
+
+
+def test_question_without_parts(spark):
+    q = F.lit("why")
+    assert (one(spark, X.question_title(q)), one(spark, X.question_sheet(q)), one(spark, X.question_terms(q))) == (None, None, [])
