@@ -1,7 +1,8 @@
 """Paragraph near-duplicates: MinHash banding tuned for recall, exact Jaccard, components, removals.
 
-A document's lines are its paragraphs; those of ``min_words`` words or more are compared by their sets of
-``shingle``-word shingles. ``tuned`` picks as many rows a band as the number of hashes allows, and the bands that
+A document's lines are its paragraphs; those of ``min_words`` words or more, by default each that has a word, are
+compared by their sets of ``shingle``-word shingles; a shorter line is its own only shingle, so it meets equal lines
+alone. ``tuned`` picks as many rows a band as the number of hashes allows, and the bands that
 recall of a pair at the threshold then takes. Of each component only the first paragraph (smallest doc_id,
 then place) stays.
 
@@ -65,6 +66,11 @@ def bands(sets: list[np.ndarray], rows: int, n: int, seed: int = 29) -> np.ndarr
     return out
 
 
+def _keys(sets: list[np.ndarray], rows: int, n: int, similarity: float) -> pa.Array:
+    """The bands of each set; one band of a single shingle, as above a similarity of 1/2 only an equal set is near it."""
+    return pa.array([b[:1] if len(s) == 1 and similarity > 0.5 else b for s, b in zip(sets, bands(sets, rows, n).view(np.int64), strict=True)], pa.list_(pa.int64()))
+
+
 def _forest(names: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among sets."""
     n = len(sets)
@@ -135,13 +141,13 @@ def _hashed(min_words: int):
 
 
 def paragraph_classes(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, min_words: int = 20, recall: float = 0.9995, hashes: int = 36, block: int = 1024
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, min_words: int = 1, recall: float = 0.9995, hashes: int = 36, block: int = 1024
 ) -> DataFrame:
     """(doc, para, hash, root, first): each paragraph compared, its component, and whether it is the first of it."""
     given = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where("doc is not null")
     rows, n = tuned(similarity, recall, hashes)
     read = lambda line: shingles(line, shingle, min_words)
-    banded = _lines(given, ", bands array<bigint>", lambda: (read, lambda sets: [pa.array(list(bands(sets, rows, n).view(np.int64)), pa.list_(pa.int64()))]))
+    banded = _lines(given, ", bands array<bigint>", lambda: (read, lambda sets: [_keys(sets, rows, n, similarity)]))
     reps = written(banded.groupBy("hash").agg(F.first("bands").alias("bands"), F.min(F.struct("doc", "para")).alias("first")))
     met = reps.select("hash", F.explode("bands").alias("band"))
     counts = written(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))

@@ -108,6 +108,36 @@ def test_components_of_paragraphs(spark):
     assert out == want
 
 
+def test_short_paragraphs_with_the_query_parameters(spark, tmp_path):
+    """Lines of 1 to 19 words by exact Jaccard similarity over all pairs; lines under 5 words by equality."""
+    rng = random.Random(11)
+    base = [rng.choices(WORDS, k=k) for k in range(1, 20)] + [["same"] * k for k in (4, 5, 6, 9)]
+    lines = []
+    for words in base * 3:
+        words = list(words)
+        if rng.random() < 0.3:
+            words[-1] = "changed"
+        lines.append(" ".join(words))
+    rng.shuffle(lines)
+    texts = ["\n\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = [(i, k, p.split()) for i, t in enumerate(texts) for k, p in enumerate(t.split("\n")) if p]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for _, _, w in own]
+    root = list(range(len(own)))
+    for a in range(len(own)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    want = {i: [] for i in range(len(texts))}
+    for n, (i, k, _) in enumerate(own):
+        want[i] += [k] * (root[n] != n)
+    got = {r.doc_id: r for r in queries.QUERIES["op10_paragraphs"](spark, str(tmp_path)).collect()}
+    assert sum(map(len, want.values())) > 20 and {i: r.removed for i, r in got.items()} == want
+    for i, t in enumerate(texts):
+        assert got[i].text == "\n".join(p for k, p in enumerate(t.split("\n")) if k not in want[i])
+
+
 def test_pipeline_by_stages(spark, tables, empty_tables):
     """Each stage against a plain rule over its own input; the last one against its targets."""
     docs = spark.read.parquet(f"{tables}/documents.parquet")
