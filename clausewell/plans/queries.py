@@ -45,7 +45,7 @@ def bm25_topk(spark, d):
 
 def _dense(spark, d):
     rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("block_id"), retrieve.unit(F.col("embedding")).alias("vector"))
-    return retrieve.dense(rows, rows.where("block_id % 50 = 0").withColumnRenamed("block_id", "query_id"), k=5)
+    return retrieve.dense(rows, rows.where("block_id % 20 = 0").withColumnRenamed("block_id", "query_id"), k=5)
 
 
 def dense_topk(spark, d):
