@@ -37,23 +37,32 @@ def secret_scan(spark, d):
     return rows.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.min("found").alias("first_found"))
 
 
-def bm25_topk(spark, d):
+def _bm25(spark, d, k):
     blocks = t(spark, d, "documents").select(F.col("doc_id").alias("block_id"), "text")
     asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieve.bm25(blocks, asked, k=5)
+    return retrieve.bm25(blocks, asked, k=k)
+
+
+def bm25_topk(spark, d):
+    return _bm25(spark, d, 5)
 
 
 def _dense(spark, d):
     rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("block_id"), retrieve.unit(F.col("embedding")).alias("vector"))
-    return retrieve.dense(rows, rows.where("block_id % 20 = 0").withColumnRenamed("block_id", "query_id"), k=5)
+    return retrieve.dense(rows, rows.where("block_id % 20 = 0").withColumnRenamed("block_id", "query_id"), k=50)
 
 
 def dense_topk(spark, d):
-    return _dense(spark, d).select("query_id", "block_id", "rank")
+    return _dense(spark, d).where("rank <= 5").select("query_id", "block_id", "rank")
+
+
+def _hybrid(spark, d, k=6):
+    """The best k of the fused first 50 of either list."""
+    return retrieve.fuse(_bm25(spark, d, 50), _dense(spark, d), k=k)
 
 
 def hybrid_rrf(spark, d):
-    return retrieve.fuse(bm25_topk(spark, d), _dense(spark, d)).select("query_id", "block_id", "score")
+    return _hybrid(spark, d).select("query_id", "block_id", "score")
 
 
 def ngram_coverage(spark, d):

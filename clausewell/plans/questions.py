@@ -5,25 +5,31 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import answer, evaluate, evidence, match, questions
 from .answering import _COVERAGE, _coverage, _options
-from .queries import _BM25, _N, _units, bm25_topk, t
+from .queries import _BM25, _N, _bm25, _hybrid, _units, bm25_topk, t
 
 #: name, hits taken, scores fused, options by clauses
-VARIANTS = [("V0", 3, False, False), ("V1", 5, False, False), ("V2", 5, True, False), ("V3", 5, False, True), ("V4", 5, True, True)]
+VARIANTS = [("V0", 10, False, False), ("V1", 20, False, False), ("V2", 20, True, False), ("V3", 20, False, True), ("V4", 20, True, True)]
 
 
-def _hits(spark, d):
-    hits = bm25_topk(spark, d).select(F.col("query_id").alias("q"), "block_id", "rank", "score")
+def _asked_hybrid(spark, d, k):
+    """Fused hits of the benchmark passages; vectors that are asked without a passage are no questions."""
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("q"))
+    return _hybrid(spark, d, k).withColumnRenamed("query_id", "q").join(asked, "q", "left_semi")
+
+
+def _texts(spark, d, hits):
     return hits.join(t(spark, d, "documents").select(F.col("doc_id").alias("block_id"), "text"), "block_id")
 
 
 def fallback_option(spark, d):
-    return answer.fallback_option(_options(spark, d).drop("doc_id"), _hits(spark, d))
+    return answer.fallback_option(_options(spark, d).drop("doc_id"), _texts(spark, d, _asked_hybrid(spark, d, 20)))
 
 
 def strategy_sweep(spark, d):
     top = bm25_topk(spark, d).where("rank = 1").select(F.col("query_id").alias("i"), F.col("score").alias("top"))
     strength = top.select(F.col("i").alias("q"), F.lit("A").alias("letter"), "top").union(top.select(F.col("i") - 1, F.lit("B"), "top"))
-    return answer.sweep(_options(spark, d).drop("doc_id"), _hits(spark, d).drop("score"), strength, VARIANTS)
+    hits = _bm25(spark, d, 20).select(F.col("query_id").alias("q"), "block_id", "rank")
+    return answer.sweep(_options(spark, d).drop("doc_id"), _texts(spark, d, hits), strength, VARIANTS)
 
 
 def statement_hits(spark, d):
@@ -43,7 +49,7 @@ def document_prompts(spark, d):
 
 def retrieved_evidence(spark, d):
     blocks = t(spark, d, "documents").select(F.col("doc_id").alias("block_id"), "text", "source", F.lit("whole").alias("location"))
-    return evidence.retrieved_evidence(bm25_topk(spark, d).withColumnRenamed("query_id", "q"), blocks, most=3, size=300)
+    return evidence.retrieved_evidence(_asked_hybrid(spark, d, 6), blocks)
 
 
 def _audit(spark, d):

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from clausewell.plans import queries
+from clausewell.operators import retrieve
+from clausewell.plans import queries, questions
 
 WORDS = [f"w{i}" for i in range(12)]
 
@@ -26,3 +27,36 @@ def test_dense_queries(spark, tables):
     """Every id divisible by 20 is searched."""
     rows = queries.dense_topk(spark, tables).collect()
     assert {r.query_id for r in rows} == {0, 20, 40, 60, 80, 100}
+
+
+def fused(spark, tables, k):
+    """Reciprocal ranks of the first 50 of either list, added in plain Python: the best k of each query."""
+    lists = [queries._bm25(spark, tables, 100).collect(), retrieve.top(queries._dense(spark, tables).drop("rank"), 100).collect()]
+    ranks = {}
+    for n, rows in enumerate(lists):
+        for r in rows:
+            if r["rank"] <= 50:
+                ranks.setdefault(r.query_id, {}).setdefault(r.block_id, [1000, 1000])[n] = r["rank"]
+    score = lambda p: round(sum(1 / (60 + x) for x in p if x < 1000), 9)
+    return {q: [b for b, _ in sorted(own.items(), key=lambda x: (-score(x[1]), *x[1]))[:k]] for q, own in ranks.items()}
+
+
+def test_fusion_takes_fifty_of_each_list(spark, tables):
+    want = fused(spark, tables, 6)
+    got = {}
+    for r in queries.hybrid_rrf(spark, tables).collect():
+        got.setdefault(r.query_id, set()).add(r.block_id)
+    assert got == {q: set(own) for q, own in want.items()}
+    evidence = questions.retrieved_evidence(spark, tables).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    assert {r.q for r in evidence} == {20, 21, 40} and max(len(r.text) for r in evidence) == 600
+    assert all(r.text == texts[want[r.q][r.no - 1]][:600] for r in evidence) and len(evidence) == 18
+
+
+def test_answers_take_twenty_hits(spark, tables):
+    hits = questions._asked_hybrid(spark, tables, 20).collect()
+    want = fused(spark, tables, 20)
+    assert {(r.q, r["rank"], r.block_id) for r in hits} == {(q, i + 1, b) for q in (20, 21, 40) for i, b in enumerate(want[q])} and len(hits) == 60
+    assert {r.q for r in questions.fallback_option(spark, tables).collect()} == {20, 21, 40}
+    assert [k for _, k, _, _ in questions.VARIANTS] == [10, 20, 20, 20, 20]
+    assert {r.name for r in questions.strategy_sweep(spark, tables).collect()} == {"V0", "V1", "V2", "V3", "V4"}
