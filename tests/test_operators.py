@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from clausewell.functions import text as X
@@ -30,6 +31,29 @@ def test_fusion(spark):
     assert [r.block_id for r in retrieve.fuse(a, b).orderBy("rank").collect()] == ["y", "x", "z"]
 
 
+def test_dense_keeps_the_smallest_ids_of_equal_vectors(spark):
+    """Exact best k by rounded score, then block_id, with groups of copies larger than k, whatever the blocks are."""
+    rng = np.random.default_rng(2)
+    kinds = rng.standard_normal((4, 6))
+    rows = [(int(i), kinds[n % 4] / np.linalg.norm(kinds[n % 4])) for n, i in enumerate(rng.permutation(120))]
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "block_id bigint, vector array<double>").repartition(3)
+    asked = vectors.where("block_id % 7 = 0").withColumnRenamed("block_id", "query_id")
+    want = {}
+    for q, u in rows:
+        if q % 7 == 0:
+            want[q] = [i for _, i in sorted((-round(float(u @ v), 9), i) for i, v in rows)[:5]]
+    for batch in (1024, 8):
+        got = {q: [] for q in want}
+        for r in retrieve.dense(vectors, asked, k=5, batch=batch).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.block_id)
+        assert got == want
+
+
+def test_dense_without_rows(spark):
+    none = spark.createDataFrame([], "block_id bigint, vector array<double>")
+    assert retrieve.dense(none, none.withColumnRenamed("block_id", "query_id")).count() == 0
+
+
 def test_split(spark):
     sizes = spark.createDataFrame([("s", str(i), n) for i, n in enumerate([1, 1, 2, 3, 5])], "stratum string, grp string, n bigint")
     assert {r.grp for r in evaluate.group_split(sizes).collect() if r.split == "dev"} == {"0", "1", "2"}
