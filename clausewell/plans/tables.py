@@ -31,7 +31,8 @@ def fallback_header(spark, d):
 
 
 def table_units(spark, d):
-    lines = t(spark, d, "documents").select((F.col("doc_id") % 50).cast("string").alias("doc_id"), F.col("doc_id").alias("i"), F.substring("text", 1, 40).alias("text"))
+    """Every line of a document, then the table rows of the parts dealt to the documents 0 to 49."""
+    lines = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     rows = t(spark, d, "part").select((F.col("p_partkey") % 50).cast("string").alias("doc_id"), F.lit(0).alias("t"), F.col("p_partkey").alias("r"), F.array("p_name", F.lit(" "), "p_brand").alias("cells"))
     return readers.document_units(lines, rows)
 

@@ -5,6 +5,7 @@ import pytest
 
 from clausewell.operators import retrieve
 from clausewell.plans import queries, questions
+from clausewell.plans import tables as table_plans
 
 WORDS = [f"w{i}" for i in range(12)]
 
@@ -60,3 +61,33 @@ def test_answers_take_twenty_hits(spark, tables):
     assert {r.q for r in questions.fallback_option(spark, tables).collect()} == {20, 21, 40}
     assert [k for _, k, _, _ in questions.VARIANTS] == [10, 20, 20, 20, 20]
     assert {r.name for r in questions.strategy_sweep(spark, tables).collect()} == {"V0", "V1", "V2", "V3", "V4"}
+
+
+def test_title_locate_takes_all(spark, tmp_path):
+    names = {i: f"Customer#{i:09d}" for i in range(1, 130)}
+    spark.createDataFrame(list(names.items()), "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    want = set()
+    for i, name in names.items():
+        held = sorted((len(x), str(j), j) for j, x in names.items() if name[-6:-1] in x)
+        want |= {(i, j, n + 1) for n, (_, _, j) in enumerate(held)}
+    rows = queries.title_locate(spark, str(tmp_path)).collect()
+    assert {(r.title_id, r.name_id, r.cand_no) for r in rows} == want and len(rows) == len(want)
+
+
+def test_number_fidelity_takes_all_lines(spark, tmp_path):
+    lines = [(o, n, 30 + o * n, o) for o in range(1, 6) for n in range(1, 4)] + [(9, 2, 4, 48)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.l_orderkey, r.l_linenumber): (r.missing, r.status) for r in queries.number_fidelity(spark, str(tmp_path)).collect()}
+    held = lambda p, e: str(p) in e
+    assert got == {(o, n): ("", "ok") if held(p, f"{s} of {p * 2} at 10.5") else (str(p), "warn") for o, n, p, s in lines}
+
+
+def test_table_units_take_every_line(spark, tmp_path):
+    texts = {0: "first " + "x" * 60 + "\n\n last ", 1: "one", 77: "a\nb", 78: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(50, "bolt", "B1"), (51, "nut", "B2")], "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.doc_id, r.unit_no, r.location, r.text) for r in table_plans.table_units(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("0", 0, "para0", "first " + "x" * 60), ("0", 1, "para2", "last"), ("0", 2, "tbl0r50", "bolt |  | B1"),
+        ("1", 0, "para0", "one"), ("1", 1, "tbl0r51", "nut |  | B2"), ("77", 0, "para0", "a"), ("77", 1, "para1", "b"),
+    }
