@@ -4,7 +4,8 @@ Validated values are permuted within their own format, so that equal values stay
 card numbers of 13 to 19 digits that satisfy the check digit (the new one does too), calendar dates
 (YYYY-MM-DD of 1900 to 2099, again a date of those years), IPv4 addresses, telephone numbers with a
 country code (punctuation and the country code stay) and the local parts of mail addresses. What does
-not validate stays. The round function is SHA-256 of key, format, round and half; in strings each digit
+not validate stays; where a whole run of digits is no card, the cards from separator to separator within it are
+taken. The round function is SHA-256 of key, format, round and half; in strings each digit
 or letter moves within its own class, so the place of every other character is kept.
 
 No shuffle and no Python: a pattern splits a text, the pieces it takes are permuted and the text is put
@@ -31,7 +32,9 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
-ANY = "|".join(f"(?:{PATTERNS[k]})" for k in FORMATS)
+# Digits with single blanks or hyphens between them, as far as they go or up to another value; cards are read within it.
+RUN = rf"(?<!\d)\d(?:(?![ -](?:{'|'.join(PATTERNS[k] for k in FORMATS[:3])}))[ -]?\d){{12,}}+(?!\d)"
+ANY = "|".join(f"(?:{RUN if k == 'card' else PATTERNS[k]})" for k in FORMATS)
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -120,6 +123,30 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def _read(run: Column) -> Column:
+    """A run of digits as pieces (value, kind): from the left the longest valid cards from separator to separator, and the rest."""
+    groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
+    piece = lambda value, kind: F.struct(value.alias("value"), kind.cast("string").alias("kind"))
+    start = F.struct(groups.alias("groups"), F.filter(F.array(piece(run, F.lit(None))), lambda x: F.lit(False)).alias("out"), F.lit(1).alias("at"))
+
+    def card(digits):
+        return F.length(digits).between(13, 19) & (F.substring(digits, -1, 1) == check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)))
+
+    def turn(acc, i):
+        own = lambda j: F.array_join(F.slice(acc.groups, i, j - i + 1), "")
+        ends = F.filter(F.sequence(F.least(i + 18, F.size(acc.groups)), i, F.lit(-1)), lambda j: F.exists(F.array(F.regexp_replace(own(j), "[^0-9]", "")), card))
+
+        def taken(j):
+            lead = F.regexp_extract(F.get(acc.groups, i - 1), "^[ -]?", 0)
+            found = F.array(piece(lead, F.lit(None)), piece(F.substring(own(j), F.length(lead) + 1, F.length(own(j))), F.lit("card")))
+            plain = F.array(piece(F.get(acc.groups, i - 1), F.lit(None)))
+            return F.struct(acc.groups.alias("groups"), F.concat(acc.out, F.when(j > 0, found).otherwise(plain)).alias("out"), F.when(j > 0, j + 1).otherwise(i + 1).alias("at"))
+
+        return F.when(i < acc.at, acc).otherwise(F.element_at(F.transform(F.array(F.coalesce(F.get(ends, F.lit(0)), F.lit(0))), taken), 1))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, turn, lambda acc: acc.out)
+
+
 def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a value of a format; back gives the value of a pseudonym."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -148,11 +175,12 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "change-me", co
     t = col(text)
     rows = docs.withColumn(hits, F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     known = F.transform(col(hits), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    rows = rows.withColumn(made, known)
-    new = F.transform(col(made), lambda x: F.when(x.kind.isNull(), x.value).otherwise(pseudonym(x.value, x.kind, key)))
+    pieces = F.transform(known, lambda x: F.when(x.kind.isNull() & x.value.rlike(r"^\d[\d -]{12,}$"), _read(x.value)).otherwise(F.array(x)))
+    rows = rows.withColumn(made, pieces)
+    new = F.transform(col(made), lambda p: F.array_join(F.transform(p, lambda x: F.when(x.kind.isNull(), x.value).otherwise(pseudonym(x.value, x.kind, key))), ""))
     joined = F.array_join(F.flatten(F.zip_with(F.split(t, ANY, -1), new, lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
-    text_ = F.when(F.size(F.filter(made, lambda x: x.kind.isNotNull())) > 0, joined).otherwise(t)
-    count = lambda kind: F.size(F.filter(made, lambda x: x.kind == kind)).cast("bigint")
+    text_ = F.when(F.exists(made, lambda p: F.exists(p, lambda x: x.kind.isNotNull())), joined).otherwise(t)
+    count = lambda kind: F.size(F.filter(F.flatten(made), lambda x: x.kind == kind)).cast("bigint")
     n = [count(k).alias(name) for k, name in zip(FORMATS, names, strict=True)]
     return rows.select(*[text_.alias(c) if c == text else col(c) for c in docs.columns], *n)
 

@@ -138,6 +138,24 @@ def test_short_paragraphs_with_the_query_parameters(spark, tmp_path):
         assert got[i].text == "\n".join(p for k, p in enumerate(t.split("\n")) if k not in want[i])
 
 
+def test_cards_beside_other_numbers(spark):
+    """A card is found with short numbers, dates, addresses and other cards next to it; what is no card stays."""
+    card, spaced, bad = "4539578763621486", "4539 5787 6362 1486", "4539578763621487"
+    cases = [
+        (f"pay {card} 124 now", [card], "124"), (f"pay {spaced} 124", [spaced], "124"), (f"no 123 {card}.", [card], "123"), (f"1234 {spaced}", [spaced], "1234"), (f"7-{card}-99", [card], "99"),
+        (f"{card} {card}", [card], ""), (f"{bad} {card} {bad}", [card], bad), (f"{bad} 123", [], f"{bad} 123"), ("1 " * 1000, [], "1 1"), ("1" * 3000, [], "111"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, text string")
+    for r in pii.pseudonymise(rows, counts=tuple(f"n_{k}" for k in pii.FORMATS)).collect():
+        text, cards, stays = cases[r.i]
+        assert not any(c in r.text for c in cards) and stays in r.text and len(r.text) == len(text)
+        assert r.n_card == sum(text.count(c) for c in cards) and (cards or r.text == text)
+    mixed = spark.createDataFrame([(f"{card} 1999-12-31",), (f"{card} 129.38.82.176",), (f"{card} 123a@b.example.com",)], "text string")
+    got = pii.pseudonymise(mixed, counts=tuple(f"n_{k}" for k in pii.FORMATS)).collect()
+    assert [(r.n_card, r.n_date, r.n_ip, r.n_email) for r in got] == [(1, 1, 0, 0), (1, 0, 1, 0), (1, 0, 0, 1)]
+    assert not any(x in r.text for r in got for x in (card, "1999-12-31", "129.38.82.176", "123a@"))
+
+
 def test_pipeline_by_stages(spark, tables, empty_tables):
     """Each stage against a plain rule over its own input; the last one against its targets."""
     docs = spark.read.parquet(f"{tables}/documents.parquet")
