@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,20 +24,28 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that df does not have yet, in any case."""
-    taken = {c.lower() for c in df.columns}
-    name = f"_{stem}"
-    while name.lower() in taken:
+def free(taken: list[str], name: str) -> str:
+    """name, with underscores before it while ``taken`` has it in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
         name = f"_{name}"
     return name
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have yet, in any case."""
+    return free(df.columns, f"_{stem}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set only where none is."""
+    """The folder that spark.checkpoint.dir names. Where none is named, a session that runs in one process (local
+    mode, as in tests) gets a temporary folder; on a cluster that is an error, as executors do not share such a folder."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -51,13 +62,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in slices whose values of a binary column have about ``limit`` bytes at most, one row at least each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_text(
     docs: DataFrame, text: str, keep: list[str], fields: str, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]]
 ) -> DataFrame:
     """One Arrow pass over a text column, without a shuffle.
 
-    ``keep`` columns pass through. ``make`` runs once in each task; the function that it returns turns a
-    batch's texts (UTF-8 bytes or None) into one array for each of ``fields`` (a DDL string).
+    ``keep`` columns pass through. ``make`` runs once in each task; the function that it returns turns some
+    texts (UTF-8 bytes or None) into one array for each of ``fields`` (a DDL string), whose names are new.
     """
     rows = docs.select(*[col(c) for c in keep], col(text).cast("binary").alias(fresh(docs, "raw")))
     schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(fields).fields])
@@ -66,9 +87,9 @@ def map_text(
     def run(batches):
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                made = step(batch.column(batch.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
+            for part in bounded(batch, batch.num_columns - 1):
+                made = step(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
 
     return rows.mapInArrow(run, schema)
 
