@@ -8,11 +8,12 @@ not validate stays; where a whole run of digits is no card, the cards from separ
 taken. The round function is SHA-256 of key, format, round and half; in strings each digit
 or letter moves within its own class, so the place of every other character is kept.
 
-No shuffle and no Python: a pattern splits a text, the pieces it takes are permuted and the text is put
-together again. Values inside one another are taken leftmost first, in the order of ``FORMATS``.
+No shuffle and no Python: texts without ``@`` and digits are passed by, a pattern splits the others, the pieces it takes
+are permuted and the text is put together again. Values inside one another are taken leftmost first, in the order of ``FORMATS``.
 
 Defined results: a null text stays null with zero counts, texts without values stay as they are,
-repeated rows get equal pseudonyms, an empty table an empty result; other columns pass through.
+repeated rows get equal pseudonyms, an empty table an empty result; other columns pass through, and count columns get
+underscores where their names are taken.
 The key is a parameter: keep a real one outside the code.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, table
+from .common import col, free, fresh, table
 
 # The formats.
 FORMATS = ("email", "ip", "date", "phone", "card")
@@ -34,7 +35,11 @@ PATTERNS = {
 }
 # Digits with single blanks or hyphens between them, as far as they go or up to another value; cards are read within it.
 RUN = rf"(?<!\d)\d(?:(?![ -](?:{'|'.join(PATTERNS[k] for k in FORMATS[:3])}))[ -]?\d){{12,}}+(?!\d)"
-ANY = "|".join(f"(?:{RUN if k == 'card' else PATTERNS[k]})" for k in FORMATS)
+# A mail address is tried where its run of characters begins or the value before it ended, not at each of its characters.
+MAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@" + PATTERNS["email"].partition("@")[2]
+ANY = "|".join(f"(?:{x})" for x in (MAIL, *(PATTERNS[k] for k in FORMATS[1:4]), RUN))
+# Every value has one of these, and most texts have none.
+HINT = "[@0-9]"
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -170,10 +175,10 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "change-me", counts: tuple[str, ...] | None = None) -> DataFrame:
     """docs with the validated values in the text replaced, and a count for each of FORMATS (named by counts)."""
-    names = counts or tuple(fresh(docs, f"n_{k}") for k in FORMATS)
+    names = tuple(free(docs.columns, n) for n in counts) if counts else tuple(fresh(docs, f"n_{k}") for k in FORMATS)
     hits, made = fresh(docs, "pii_hits"), fresh(docs, "pii_made")
     t = col(text)
-    rows = docs.withColumn(hits, F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = docs.withColumn(hits, F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     known = F.transform(col(hits), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     pieces = F.transform(known, lambda x: F.when(x.kind.isNull() & x.value.rlike(r"^\d[\d -]{12,}$"), _read(x.value)).otherwise(F.array(x)))
     rows = rows.withColumn(made, pieces)

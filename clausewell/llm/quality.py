@@ -5,13 +5,14 @@ largest response is kept for every chunk of ``CHUNK`` bytes (chunks overlap by h
 text). A dense layer turns a chunk's pooled responses into a logit; a document's probability is that of
 the mean over its chunks.
 
-Training is on the driver, on at most ``per_class`` labelled documents of each class (those of lowest
-hash) and ``max_chunks`` of their chunks, and the network is a few thousand numbers; scoring is one Arrow
-pass over all whole texts, without a shuffle, a megabyte of bytes at a time.
+Training is on the driver, on the whole texts of at most ``per_class`` labelled documents of each class (those of lowest
+hash), and the network is a few thousand numbers; scoring is one Arrow pass over all whole texts, without a
+shuffle, text by text and ``SLICE`` bytes at a time, so a score depends on nothing but the text.
 
 Defined results: a null or empty text is scored as one chunk without bytes; rows without label, or with
 labels that contradict each other, train nothing; without labelled rows of both classes the score is the
-share of ones (0.5 without any); repeated rows get equal scores; other columns pass through.
+share of ones (0.5 without any); equal texts get equal scores, in repeated rows and under a null id as well; an empty
+table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, map_text, table
+from .common import col, free, fresh, map_text, table
 
 WIDTH, STRIDE, DIMS, FILTERS, HALF = 8, 4, 8, 24, 512
 CHUNK = 2 * HALF
@@ -60,49 +61,42 @@ class Network:
             out[:, k] = x[k * STRIDE : k * STRIDE + n * WIDTH].reshape(n, WIDTH * DIMS) @ self.p["w"]
         return out.reshape(-1, FILTERS) + self.p["b"]
 
-    def half_maxima(self, symbols: np.ndarray) -> np.ndarray:
-        parts = []
+    def half_maxima(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each half chunk's largest responses, over all windows that begin in it and over those that also end in it."""
+        every, inner = [], []
         for a in range(0, len(symbols), SLICE):
-            more = symbols[a : a + SLICE + WIDTH * STRIDE]
-            r = self.responses(np.concatenate([more, np.zeros(-len(more) % WIDTH, np.int16)]))
+            more = symbols[a : a + SLICE + WIDTH]
             n = min(SLICE, len(symbols) - a) // STRIDE
-            parts.append(r[:n].reshape(-1, HALF // STRIDE, FILTERS).max(axis=1))
-        return np.concatenate(parts)
+            r = self.responses(more)[:n].reshape(-1, HALF // STRIDE, FILTERS)
+            inner.append(r[:, : 1 - WIDTH // STRIDE].max(axis=1))
+            every.append(np.maximum(inner[-1], r[:, 1 - WIDTH // STRIDE :].max(axis=1)))
+        return np.concatenate(every), np.concatenate(inner)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, text: bytes) -> float:
+        """Of one text, so that its score is a function of it alone. A chunk's windows end in it, as in training."""
         if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(padded(text))
-            size += len(held[-1])
-            if size >= SLICE:
-                out.append(self._scored(held))
-                held, size = [], 0
-        if held:
-            out.append(self._scored(held))
-        return np.concatenate(out) if out else np.zeros(0)
-
-    def _scored(self, held: list[np.ndarray]) -> np.ndarray:
-        halves = np.array([len(x) // HALF for x in held])
-        top = self.half_maxima(np.concatenate(held))
-        pooled = np.maximum(np.maximum(top[:-1], top[1:]), 0)
-        logits = (pooled @ self.p["v"] + self.p["c"]).astype(np.float64)
-        # chunk k spans halves k and k + 1; the one that would reach into the next document is left out
-        ends = np.cumsum(halves)
-        mask = np.ones(len(logits), bool)
-        mask[ends[:-1] - 1] = False
-        sums = np.add.reduceat(np.where(mask, logits, 0), ends - halves)
-        return 1 / (1 + np.exp(-np.clip(sums / (halves - 1), -50, 50)))
-
-    def fit(self, chunks: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 3e-3, seed: int = 7) -> None:
-        """Adam on the logistic loss of chunks (rows of CHUNK symbols), classes weighed equally."""
+            return self.constant
+        every, inner = self.half_maxima(padded(text))
+        pooled = np.maximum(np.maximum(every[:-1], inner[1:]), 0)
+        logit = float((pooled @ self.p["v"] + self.p["c"]).astype(np.float64).mean())
+        return 1 / (1 + float(np.exp(-min(50.0, max(-50.0, logit)))))
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.score, texts), np.float64, len(texts))
+
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, draws: int = 4, batch: int = 32, rate: float = 3e-3, seed: int = 7) -> None:
+        """Adam on the logistic loss of chunks, classes weighed equally. Texts are padded symbols; each epoch takes up to
+        ``draws`` chunks of each, drawn anew from its whole length, so long texts weigh no more than short ones."""
         rng = np.random.default_rng(seed)
-        weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
+        labels_of, weight_of = labels, np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         t, per = 0, CHUNK // STRIDE
+        sizes = np.array([len(x) // HALF - 1 for x in texts])
         for _ in range(epochs):
+            drawn = [(i, HALF * int(k)) for i, n in enumerate(sizes.tolist()) for k in (range(n) if n <= draws else rng.choice(n, draws, replace=False))]
+            chunks = np.stack([texts[i][k : k + CHUNK] for i, k in drawn])
+            labels, weight = (x[[i for i, _ in drawn]] for x in (labels_of, weight_of))
             order = rng.permutation(len(chunks))
             for a in range(0, len(order), batch):
                 rows = order[a : a + batch]
@@ -132,40 +126,37 @@ class Network:
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, label, text): ``per_class`` labelled documents of each class, those of lowest hash, outside the
-    held-out fifth (crc32 of the id as text, modulo 5, is 0)."""
+def trainable(labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
+    """(id, y): labels of 0 or 1 that do not contradict each other, outside the held-out fifth (crc32 of the id as
+    text, modulo 5, is 0)."""
     given = labels.select(col(doc_id).alias("id"), col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    given = given.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
+    return given.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, y, t): ``per_class`` labelled documents of each class, those of lowest hash, and their whole texts."""
+    given = trainable(labels, label, doc_id)
     few = [given.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(per_class) for y in (0, 1)]
     chosen = few[0].union(few[1]).select("id", "y")
     texts = docs.select(col(doc_id).alias("id"), F.coalesce(col(text), F.lit("")).cast("binary").alias("t"))
     return texts.join(F.broadcast(chosen), "id")  # at most 2 x per_class rows
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000, max_chunks: int = 6000, max_bytes: int = 16_384) -> Network:
-    """A network for ``label``; of each sampled document at most ``max_bytes`` bytes, taken at both ends, are learned from."""
-    ends = F.when(F.length("t") <= max_bytes, F.col("t")).otherwise(F.concat(F.substring("t", 1, max_bytes // 2), F.substring("t", -(max_bytes // 2), max_bytes // 2)))
-    rows = sorted((r.id, r.y, bytes(r.t)) for r in labelled(docs, labels, label, per_class).select("id", "y", ends.alias("t")).distinct().collect())
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000) -> Network:
+    """A network for ``label``, fitted on the whole texts of at most ``per_class`` labelled documents of each class."""
+    rows = sorted((r.id, r.y, bytes(r.t)) for r in labelled(docs, labels, label, per_class).select("id", "y", "t").distinct().collect())
     y = np.array([r[1] for r in rows], np.float32)
     net = Network()
     if not 0 < y.sum() < len(y):
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
-    chunks, of = [], []
-    for _, one, text in rows:
-        halves = padded(text).reshape(-1, HALF)
-        for k in range(len(halves) - 1):
-            chunks.append(np.concatenate([halves[k], halves[k + 1]]))
-            of.append(one)
-    pick = np.random.default_rng(3).permutation(len(chunks))[:max_chunks]
-    net.fit(np.stack([chunks[k] for k in pick]), np.array([of[k] for k in pick], np.float32))
+    net.fit([padded(text) for _, _, text in rows], y)
     return net
 
 
 def score(docs: DataFrame, net: Network, keep: list[str], name: str = "score", text: str = "text") -> DataFrame:
-    """``keep`` columns and the probability of label 1, for every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    """``keep`` columns and the probability of label 1, for every whole text; ``name`` gets underscores where it is kept already."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(net), free(keep, name)
     return map_text(docs, text, keep, f"`{name}` double", lambda: lambda texts: [pa.array(shared.value.scores([t or b"" for t in texts]))])
 
 

@@ -1,20 +1,23 @@
 """Secret scanning: three base patterns, and character Markov models for random strings. DataFrame functions only.
 
 Two first-order Markov chains over the characters of ``ALPHABET`` are counted from labelled samples: random
-strings (the digests of a hash, in the alphabets that keys are written in, and what the base patterns found in the sample)
-against ordinary identifiers (the words of the sample outside base matches). A candidate, a run of
+strings (the digests of a hash, in the alphabets that keys are written in, and what the base patterns find in the
+documents) against ordinary identifiers (all words of the documents outside base matches). A candidate, a run of
 ``min_length`` characters or more, is a secret when the mean log-likelihood ratio of its transitions
-exceeds ``threshold``. The model is len(ALPHABET)^2 numbers, whatever the input; its sample is the
-``sample_docs`` documents of lowest hash, everything else sees all rows and whole texts.
+exceeds ``threshold``. The model is len(ALPHABET)^2 numbers, whatever the input; it is counted over all documents, summed
+within each task before anything is shuffled.
 
-No shuffle: offsets come from the lengths of what a pattern leaves and what it takes, in code points.
+Scanning needs no shuffle: offsets come from the lengths of what a pattern leaves and what it takes, in code points.
 
 Defined results: a null text is scanned as an empty one and stays null; an empty table trains on the
-random side and uniform identifiers; repeated rows are each scanned; other columns pass through.
+random side and uniform identifiers; repeated rows are each scanned, ids are not read; other columns pass through under
+any name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +34,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
-def found(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of the leftmost non-overlapping matches, those only for which keep(match) holds."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+def found(text: Column, pattern: str, kind: int, keep=None, chunk: int = 64) -> Column:
+    """Spans of the leftmost non-overlapping matches, those only for which keep(match) holds.
+
+    Matches are laid out ``chunk`` at a time and the chunks one after another, so the work stays near the number of matches."""
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def add(acc, pair):
         a = acc.at + F.length(pair.gap)
@@ -44,9 +48,22 @@ def found(text: Column, pattern: str, kind: int, keep=None) -> Column:
         good = pair.hit.isNotNull() & (F.lit(True) if keep is None else keep(pair.hit))
         return F.struct(F.coalesce(b, a).alias("at"), F.when(good, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
 
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(pairs, start, add, lambda acc: acc.spans)
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    def lay(acc, part):
+        return F.struct((acc.at + part.at).alias("at"), F.concat(acc.starts, F.array(acc.at)).alias("starts"))
+
+    def laid_out(pairs):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / chunk).cast("int")), lambda k: F.slice(pairs, k * chunk + 1, chunk))
+        return F.transform(chunks, lambda c: F.aggregate(c, start, add))
+
+    def joined(parts):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(parts, zero, lay, lambda acc: acc.starts)
+        moved = lambda s, o: F.struct((s.start + o).alias("start"), (s.end + o).alias("end"), s.kind.alias("kind"))
+        return F.flatten(F.zip_with(parts, starts, lambda p, o: F.transform(p.spans, lambda s: moved(s, o))))
+
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.when(text.rlike(pattern), bind(bind(pairs, laid_out), joined)).otherwise(none)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -54,34 +71,33 @@ def base_spans(text: Column) -> list[Column]:
     return [found(text, ASSIGN, 0, value), found(text, ACCESS, 1), found(text, HEX, 2)]
 
 
-def transitions(strings: DataFrame, s: str, label: int) -> DataFrame:
-    """(label, pair, n): how often each two characters of ALPHABET follow one another."""
+def transitions(strings: DataFrame, s: str) -> DataFrame:
+    """(label, pair, n): how often each two characters of ALPHABET follow one another in strings(label, s)."""
     grams = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(col(s), i, F.lit(2)))
-    rows = strings.where(F.length(s) > 1).select(F.explode(grams).alias("pair"))
-    return rows.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("label", F.lit(label))
+    rows = strings.where(F.length(s) > 1).select("label", F.explode(grams).alias("pair"))
+    return rows.groupBy("label", "pair").agg(F.count("*").alias("n")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 2000, random_strings: int = 4000) -> list[float]:
-    """Log-likelihood ratios (random over ordinary) of the transitions, in the order of ALPHABET x ALPHABET."""
-    sample = docs.select(col(doc_id).alias("id"), F.coalesce(col(text), F.lit("")).alias("t"))
-    near = sample.select("id").where("id is not null").distinct().orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(sample_docs)
-    sample = sample.join(F.broadcast(near), "id", "left_semi")  # at most sample_docs rows
+def train(docs: DataFrame, text: str = "text", random_strings: int = 4000) -> list[float]:
+    """Log-likelihood ratios (random over ordinary) of the transitions, in the order of ALPHABET x ALPHABET, from all documents."""
+    texts = docs.select(F.coalesce(col(text), F.lit("")).alias("t"))
     spark = docs.sparkSession
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     made = spark.range(random_strings).select(F.explode(F.array(
         digest("a"), F.upper(digest("b")), F.base64(F.unhex(digest("c"))), F.translate(F.base64(F.unhex(digest("d"))), "+/=", "-_"),
         F.regexp_replace(F.base64(F.unhex(digest("e"))), "[^A-Za-z0-9]", ""), F.regexp_replace(F.upper(F.base64(F.unhex(digest("f")))), "[^A-Z0-9]", ""),
     )).alias("s"))
-    value = F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: v)
-    given = sample.select(F.explode(F.concat(value, F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))).alias("s")).where("length(s) >= 6")
-    plain = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), HEX, " ")
-    ordinary = sample.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("s"))
-    counts = transitions(made.unionByName(given), "s", 1).unionByName(transitions(ordinary, "s", 0))
+    plain, hits = F.col("t"), []
+    for pattern, group in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0)):
+        hits.append(F.regexp_extract_all(plain, F.lit(pattern), F.lit(group)))
+        plain = F.regexp_replace(plain, pattern, " ")
+    given = F.transform(F.filter(F.concat(*hits), lambda s: F.length(s) >= 6), lambda s: F.struct(F.lit(1).alias("label"), s.alias("s")))
+    ordinary = F.transform(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0)), lambda s: F.struct(F.lit(0).alias("label"), s.alias("s")))
+    strings = texts.select(F.explode(F.concat(given, ordinary)).alias("x")).select("x.label", "x.s")
+    counts = transitions(strings.unionByName(made.withColumn("label", F.lit(1))), "s")
     n = [[1.0] * len(ALPHABET) ** 2 for _ in range(2)]
     for r in counts.collect():  # at most 2 x len(ALPHABET)^2 rows
         n[r.label][ALPHABET.index(r.pair[0]) * len(ALPHABET) + ALPHABET.index(r.pair[1])] += r.n
-    import math
-
     size = len(ALPHABET)
     of = [[sum(side[a * size : (a + 1) * size]) for a in range(size)] for side in n]
     return [math.log(n[1][k] / of[1][k // size]) - math.log(n[0][k] / of[0][k // size]) for k in range(size * size)]

@@ -1,18 +1,21 @@
 """Toxicity: a linear-chain conditional random field over words, in numpy.
 
 A word's features are the hashed character n-grams (``SIZES`` bytes, lower case) that start in it; a chain is
-a sentence or line, cut after ``CHAIN`` words. The two-state field (toxic or not) is trained on labelled words:
+a sentence or line, and of a longer one each ``CHAIN`` words. The two-state field (toxic or not) is trained on labelled words:
 a word of a toxic document that holds an n-gram far more frequent in toxic documents than in others is
 toxic, every other word is not. Forward-backward marginals of the words aggregate to a document's score
 (a logistic function of their expected count, share and maximum, fitted on labelled documents that did
 not choose the n-grams) and give the offending places.
 
-Training is on the driver, on at most ``per_class`` labelled documents of each class (lowest hash, outside the
-held-out fifth); the model is at most ``max_features`` weights. Scoring is one Arrow pass over all whole texts
-without a shuffle, ``SLICE`` bytes at a time, so memory does not grow with a text.
+Training is on the driver, on the whole texts of at most ``per_class`` labelled documents of each class (lowest hash,
+outside the held-out fifth, whose labels are not read at all); the model is at most ``max_features`` weights. Scoring is
+one Arrow pass over all whole texts without a shuffle; a long text goes by pieces of about ``SLICE`` bytes, cut at places
+that depend on nothing but the text, so memory does not grow with it.
 
 Defined results: a null or empty text has no words and the score of no evidence; without labelled rows of
-both classes the score is the share of ones (0 without any); repeated rows get equal scores.
+both classes the score is the share of ones (0 without any); equal texts get equal scores, in repeated rows and under a
+null id as well; an empty table gives an empty result; the columns kept pass through, and new columns get underscores
+where their names are taken.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, map_text, table
-from .quality import labelled
+from .common import free, map_text, table
+from .quality import labelled, trainable
 
-SIZES, BITS, CHAIN, SLICE = (4, 5, 6, 8), 22, 128, 1 << 19
+SIZES, BITS, CHAIN, SLICE = (4, 5, 6, 8), 22, 512, 1 << 19
 #: Of a byte: its lower case if it is in a word, 10 if a chain ends there, else 32.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 10 if b in b".!?\n\r" else 32 for b in range(256)], np.uint8)
 MASKS = [np.uint64((1 << (8 * n)) - 1) for n in SIZES]
@@ -115,8 +118,7 @@ class Field:
         total = np.zeros(len(text) + 1)
         for k, g in enumerate(grams(text)):
             total[:-1] += self._dense[k][g]
-        total = np.concatenate(([0.0], np.cumsum(total[:-1])))
-        return self.bias + total[ends] - total[starts]
+        return self.bias + np.add.reduceat(total, np.stack([starts, ends], 1).reshape(-1))[::2]  # word by word
 
     def logits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words of a folded text and their marginal log-odds."""
@@ -138,42 +140,44 @@ class Field:
         """Scores, and the byte spans of toxic words."""
         scores, spans = [], []
         for held in slices(texts):
-            of_doc, logit_, of_, n_ = [], [], [], np.zeros(len(held))
+            logits, of, n = [], [], np.zeros(len(held))
             folded = [FOLD[np.frombuffer(t, np.uint8)] for t in held]
             cuts = np.cumsum([0, *(len(t) + 1 for t in folded)])
             flat = np.concatenate([np.append(t, np.uint8(10)) for t in folded])
-            a0 = 0
+            a = 0
             marks: list[list[tuple[int, int]]] = [[] for _ in held]
-            while a0 < len(flat):  # a very long text goes by pieces, cut at the end of a chain or word
-                b0 = min(len(flat), a0 + 2 * SLICE)
-                if b0 < len(flat):
-                    stops = np.flatnonzero(flat[a0:b0] == 10)
-                    stops = stops if len(stops) else np.flatnonzero(flat[a0:b0] <= 32)
-                    b0 = a0 + int(stops[-1]) + 1 if len(stops) else b0
-                s, e, logit = self.logits(flat[a0:b0])
-                doc = np.searchsorted(cuts, s + a0, "right") - 1
-                logit_.append(logit)
-                of_.append(doc)
-                n_ += np.bincount(doc, minlength=len(held))
+            while a < len(flat):
+                b = len(flat)
+                if b - a > 2 * SLICE:  # one long text, cut at the end of a chain, else of a word
+                    b = a + SLICE
+                    stops = np.flatnonzero(flat[a:b] == 10)
+                    stops = stops if len(stops) else np.flatnonzero(flat[a:b] <= 32)
+                    b = a + int(stops[-1]) + 1 if len(stops) else b
+                s, e, logit = self.logits(flat[a:b])
+                doc = np.searchsorted(cuts, s + a, "right") - 1
+                logits.append(logit)
+                of.append(doc)
+                n += np.bincount(doc, minlength=len(held))
                 for i in np.flatnonzero(logit > 0).tolist():
                     d = int(doc[i])
-                    marks[d].append((int(s[i] + a0 - cuts[d]), int(e[i] + a0 - cuts[d])))
-                a0 = b0
-            del of_doc
-            x = self.evidence(np.concatenate(logit_), n_, np.concatenate(of_), len(held))
-            scores.append(sigmoid(x @ self.doc) if self.constant is None else np.full(len(held), self.constant))
+                    marks[d].append((int(s[i] + a - cuts[d]), int(e[i] + a - cuts[d])))
+                a = b
+            x = self.evidence(np.concatenate(logits), n, np.concatenate(of), len(held))
+            # the last bits of a float sum can depend on the shape of an array, that is on the texts beside this one
+            scores.append(np.round(sigmoid((x * self.doc).sum(axis=1)), 9) if self.constant is None else np.full(len(held), self.constant))
             spans += marks
         return (np.concatenate(scores) if scores else np.zeros(0)), spans
 
 
 def slices(texts: list[bytes]):
+    """Lists of texts of about SLICE bytes; a text of more is alone in its list."""
     held, size = [], 0
     for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= SLICE:
+        if held and size + len(t) > SLICE:
             yield held
             held, size = [], 0
+        held.append(t)
+        size += len(t)
     if held:
         yield held
 
@@ -196,10 +200,9 @@ def choose(texts: list[bytes], y: np.ndarray, max_features: int) -> tuple[np.nda
     return some[best], (odds[best] > 2.5) & (counts[1][some[best]] >= least)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1000, max_features: int = 8000, max_bytes: int = 16_384, steps: int = 60) -> Field:
-    """A field for ``label``; of each sampled document at most ``max_bytes`` bytes, from both ends, are learned from."""
-    ends_ = F.when(F.length("t") <= max_bytes, F.col("t")).otherwise(F.concat(F.substring("t", 1, max_bytes // 2), F.substring("t", -(max_bytes // 2), max_bytes // 2)))
-    rows = sorted((r.id, r.y, bytes(r.t)) for r in labelled(docs, labels, label, per_class).select("id", "y", ends_.alias("t")).distinct().collect())
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1000, max_features: int = 8000, steps: int = 60) -> Field:
+    """A field for ``label``, learned from the whole texts of the sampled documents."""
+    rows = sorted((r.id, r.y, bytes(r.t)) for r in labelled(docs, labels, label, per_class).select("id", "y", "t").distinct().collect())
     y = np.array([r[1] for r in rows])
     if not 0 < y.sum() < len(y):
         field = Field(np.zeros(1, np.int64))
@@ -224,7 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 
 def _share(labels: DataFrame, label: str) -> float:
-    r = labels.where(col(label).isin(0, 1)).agg(F.avg(col(label).cast("double"))).first()[0]
+    """The share of ones among the labels that may be learned from."""
+    r = trainable(labels, label).agg(F.avg("y")).first()[0]
     return min(0.999, max(0.001, r or 0.0))
 
 
@@ -276,6 +280,7 @@ def _calibrate(field: Field, texts: list[bytes], y: np.ndarray, share: float) ->
 def tag(docs: DataFrame, field: Field, keep: list[str], text: str = "text", names: tuple[str, str] = ("score", "toxic_spans")) -> DataFrame:
     """``keep`` columns, the probability of toxicity, and the spans (code points) of toxic words."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
+    names = tuple(free(keep, n) for n in names)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def step(texts):
