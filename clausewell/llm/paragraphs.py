@@ -15,8 +15,8 @@ Further occurrences are marked; marks that touch (nothing but blanks and punctua
 ``least_run`` words or more is cut. A shorter run stays: single short lines and formulas repeat in clean text as well.
 
 A bucket's lines meet in tasks of at most two blocks of ``block`` of them, and a task returns a spanning forest
-of the links, not the pairs: groups are split and never capped. Texts are read once for units, once for the shingles
-of first places of lines that share a bucket, and once to cut them.
+of the links, not the pairs: groups are split and never capped. The same lines meet once, however many bands they share.
+Texts are read again rather than kept in tables of units: units take more room than the texts, and are cheap to find.
 
 Defined results: a null text has no paragraphs and stays null; documents with a null id are left as they are;
 rows that repeat an id with the same text are cut alike; an empty table gives an empty result; columns of the documents
@@ -83,7 +83,7 @@ class Words:
     """The words of texts laid end to end, a line end after each: places, line numbers and hashes of word ranges."""
 
     def __init__(self, flat: bytes):
-        data = np.frombuffer(flat.translate(FOLDED), np.uint8)
+        data, self.size = np.frombuffer(flat.translate(FOLDED), np.uint8), len(flat)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (data > 32).view(np.int8), [0]))))
         self.starts, self.ends = edge[::2], edge[1::2]
         self.breaks = np.flatnonzero(data == 10)
@@ -92,6 +92,11 @@ class Words:
         self.first = np.flatnonzero(np.diff(self.line, prepend=-1))  # the first word of each line that has one
         self.count = np.diff(np.append(self.first, len(self.line)))
 
+    def line_places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in bytes, of the lines with words."""
+        line = self.line[self.first]
+        return np.append(0, self.breaks + 1)[line], np.append(self.breaks, self.size)[line]
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of shingles of ``size`` words, and the line (its number among lines with words) of each."""
         n = len(self.line) - size + 1
@@ -188,43 +193,55 @@ def _pieces(texts: list[bytes | None]):
         yield held
 
 
-UNIT = "start int, end int, words int, hash bigint, whole boolean, bands array<bigint>"
+UNIT = "start int, end int, hash bigint, whole boolean"
 
 
-def _units(docs: DataFrame, shingle: int, reach: int, rows: int, n: int) -> DataFrame:
-    """docs (doc, text) -> doc and UNIT: lines (whole) with their bands, and segments. Places are in bytes."""
-    schema = T.StructType([docs.schema["doc"], *T.StructType.fromDDL(UNIT).fields])
+def _passed(docs: DataFrame, fields: str, found) -> DataFrame:
+    """docs (doc, text) -> doc and ``fields``. found(words) has the fields of the units of texts laid end to end, the first two
+    being their places, in bytes; these become places in the texts."""
+    schema = T.StructType([docs.schema["doc"], *T.StructType.fromDDL(fields).fields])
 
     def run(batches):
         for batch in batches:
             for part in bounded(batch, 1):
                 for held in _pieces(part.column(1).to_pylist()):
-                    yield found(part.column(0), held)
+                    start, end, *more = found(Words(b"\n".join(p for _, _, p in held)))
+                    own = np.cumsum([0, *(len(p) + 1 for _, _, p in held[:-1])])
+                    row, base = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+                    piece = np.searchsorted(own, start, "right") - 1
+                    shift = base[piece] - own[piece]
+                    places = [pa.array((x + shift).astype(np.int32)) for x in (start, end)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[piece])), *places, *more], names=schema.fieldNames())
+
+    return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
+
+
+def _units(docs: DataFrame, shingle: int, reach: int, lines: bool = True) -> DataFrame:
+    """docs (doc, text) -> doc and UNIT: segments, and lines (whole) as well unless left out."""
+
+    def found(w: Words):
+        a, b = w.segments(reach, shingle)
+        start, end = w.line_places() if lines else (np.zeros(0, np.int64),) * 2
+        first = w.first[: len(start)]
+        hash_ = np.concatenate([w.hash(first, first + w.count[: len(start)]), w.hash(a, b)]).view(np.int64)
+        whole = np.arange(len(hash_)) < len(start)
+        return np.concatenate([start, w.starts[a]]), np.concatenate([end, w.ends[b - 1]]), pa.array(hash_), pa.array(whole)
 
-    def found(docs_, held):
-        flat = b"\n".join(p for _, _, p in held)
-        w = Words(flat)
-        own = np.cumsum([0, *(len(p) + 1 for _, _, p in held[:-1])])
-        row, base = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+    return _passed(docs, UNIT, found)
+
+
+def _banded(docs: DataFrame, shingle: int, rows: int, n: int) -> DataFrame:
+    """docs (doc, text) -> doc, start, end, hash, bands of each line; lines of less than a shingle have no bands."""
+
+    def found(w: Words):
         hashes, of = w.shingles(shingle)
         at = np.flatnonzero(np.diff(of, prepend=-1))
-        made, offsets = bands(hashes, at, rows, n), np.zeros(len(w.first) + 1, np.int64)
-        offsets[of[at] + 1] = n
-        line = w.line[w.first]
-        a, b = w.segments(reach, shingle)
-        start = np.concatenate([np.where(line > 0, w.breaks[line - 1] + 1 if len(w.breaks) else 0, 0), w.starts[a]])
-        end = np.concatenate([np.append(w.breaks, len(flat))[line], w.ends[b - 1]])
-        hash_ = np.concatenate([w.hash(w.first, w.first + w.count), w.hash(a, b)]).view(np.int64)
-        piece = np.searchsorted(own, start, "right") - 1
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.cumsum(offsets), np.full(len(a), offsets.sum())]), pa.int32()), pa.array(made.view(np.int64).reshape(-1)))
-        shift = base[piece] - own[piece]
-        arrays = [
-            docs_.take(pa.array(row[piece])), pa.array((start + shift).astype(np.int32)), pa.array((end + shift).astype(np.int32)),
-            pa.array(np.concatenate([w.count, b - a]).astype(np.int32)), pa.array(hash_), pa.array(np.arange(len(start)) < len(w.first)), lists,
-        ]
-        return pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+        sizes = np.zeros(len(w.first) + 1, np.int64)
+        sizes[of[at] + 1] = n
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(bands(hashes, at, rows, n).view(np.int64).reshape(-1)))
+        return *w.line_places(), pa.array(w.hash(w.first, w.first + w.count).view(np.int64)), lists
 
-    return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return _passed(docs, "start int, end int, hash bigint, bands array<bigint>", found)
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -251,18 +268,22 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary"), "asked").mapInArrow(run, "hash bigint, shingles binary")
 
 
-def _line_roots(given: DataFrame, lines: DataFrame, similarity: float, shingle: int, block: int) -> DataFrame:
-    """(hash, doc, start): for each line that occurs again or is linked, the first place of its component."""
+def _line_roots(given: DataFrame, similarity: float, shingle: int, rows: int, n: int, block: int) -> DataFrame:
+    """(hash, first): for each line that occurs again or is linked, the first place (doc, start) of its component."""
+    lines = _banded(given, shingle, rows, n)
     reps = written(lines.groupBy("hash").agg(F.first("bands").alias("bands"), F.min(F.struct("doc", "start", "end")).alias("first"), F.count("*").alias("times")))
     met = reps.select("hash", F.explode("bands").alias("band"))
     counts = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(met.join(counts, "band").select("band", "hash", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    asked = reps.join(members.select("hash").distinct(), "hash", "left_semi")
+    members = met.join(counts, "band").select("band", "hash", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    tiled = members.withColumn("own", F.pmod(F.xxhash64("hash"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.array_sort(F.collect_list("hash")).alias("own"))
+    # two lines that are near meet in most bands: each set of lines is compared once
+    tiled = written(tiled.where(F.size("own") > 1).select("own").distinct())
+    each = tiled.select(F.xxhash64("own").alias("tile"), F.explode("own").alias("hash"))
+    asked = reps.join(each.select("hash").distinct(), "hash", "left_semi")
     asked = asked.groupBy("first.doc").agg(F.collect_list(F.struct("first.start", "first.end")).alias("asked"))
     needed = _sets(given.join(asked, "doc").select("text", "asked"), shingle).groupBy("hash").agg(F.first("shingles").alias("shingles"))
-    tiled = members.withColumn("own", F.pmod(F.xxhash64("hash"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "hash").join(needed, "hash")
-    tiles = tiled.groupBy("band", "i", "j").agg(F.collect_list(F.struct("hash", "shingles")).alias("own")).select("own")
+    tiles = each.join(needed, "hash").groupBy("tile").agg(F.collect_list(F.struct("hash", "shingles")).alias("own")).select("own")
 
     def compare(batches):
         for batch in batches:
@@ -275,25 +296,22 @@ def _line_roots(given: DataFrame, lines: DataFrame, similarity: float, shingle:
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     roots = components(tiles.mapInArrow(compare, "a bigint, b bigint"), "a", "b")
-    linked = reps.join(roots, reps["hash"] == roots["node"]).select("hash", "root", "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("first"))
-    linked = linked.select("hash", "root").join(least, "root").select("hash", "first")
-    alone = reps.where("times > 1").join(roots, reps["hash"] == roots["node"], "left_anti").select("hash", "first")
-    return linked.union(alone).select("hash", "first.doc", "first.start")
+    rooted = reps.select("hash", "first", "times").join(roots, reps["hash"] == roots["node"], "left")
+    rooted = written(rooted.where("times > 1 or root is not null").select("hash", F.struct("first.doc", "first.start").alias("first"), "root"))
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    return rooted.join(least, "root", "left").select("hash", F.coalesce("least", "first").alias("first"))
 
 
 def repeated_units(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, reach: int = 4, recall: float = 0.9995, hashes: int = 36, block: int = 1024
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, reach: int = 5, recall: float = 0.9995, hashes: int = 36, block: int = 1024
 ) -> DataFrame:
     """(doc, start, end): places, in bytes, of lines and segments that are not the first of their kind."""
     given = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where("doc is not null")
-    units = written(_units(given, shingle, reach, *tuned(similarity, recall, hashes)))
-    lines, segments = units.where("whole"), units.where("not whole").select("doc", "start", "end", "hash")
-    equal = segments.groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = _line_roots(given, lines, similarity, shingle, block).select("hash", F.struct("doc", "start").alias("first"))
-    later = F.struct("doc", "start") > F.col("first")
-    marked = [u.select("doc", "start", "end", "hash").join(f.select("hash", "first"), "hash").where(later).select("doc", "start", "end") for u, f in ((lines, first), (segments, equal))]
-    return marked[0].union(marked[1])
+    lines = _line_roots(given, similarity, shingle, *tuned(similarity, recall, hashes), block)
+    segments = _units(given, shingle, reach, lines=False).groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = lines.withColumn("whole", F.lit(True)).union(segments.select("hash", "first", F.lit(False)))
+    marked = _units(given, shingle, reach).join(first, ["hash", "whole"])
+    return marked.where(F.struct("doc", "start") > F.col("first")).select("doc", "start", "end")
 
 
 def runs(text: bytes, marks: list[tuple[int, int]], least_run: int) -> list[tuple[int, int]]:

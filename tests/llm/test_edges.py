@@ -75,69 +75,6 @@ def test_decontamination_by_brute_force(spark, tables):
         assert (got[r.doc_id].n_words, got[r.doc_id].n_hit, got[r.doc_id].n_items) == (len(words), len(hit), int(bool(hit)))
 
 
-def test_components_of_paragraphs(spark):
-    """Removals equal those of exact Jaccard similarity of word 5-shingles over all pairs of paragraphs."""
-    rng = random.Random(8)
-    base = [rng.choices(WORDS, k=60) for _ in range(12)]
-    rows = []
-    for i in range(60):
-        parts = []
-        for _ in range(2):
-            words = list(rng.choice(base))
-            for _ in range(rng.choice([0, 0, 1])):
-                words[rng.randrange(60)] = "changed"
-            parts.append(" ".join(words))
-        rows.append((i, "\n\n".join(parts)))
-    out = {r.doc_id: r.n_removed for r in paragraphs.without_repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    own = [(i, k, frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))) for i, t in rows for k, w in enumerate(p.split() for p in t.split("\n\n"))]
-    root = list(range(len(own)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(own)):
-        for b in range(a):
-            if len(own[a][2] & own[b][2]) / len(own[a][2] | own[b][2]) >= 0.8:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    want = {i: 0 for i, _ in rows}
-    for n, (i, _, _) in enumerate(own):
-        want[i] += find(n) != n
-    assert out == want
-
-
-def test_short_paragraphs_with_the_query_parameters(spark, tmp_path):
-    """Lines of 1 to 19 words by exact Jaccard similarity over all pairs; lines under 5 words by equality."""
-    rng = random.Random(11)
-    base = [rng.choices(WORDS, k=k) for k in range(1, 20)] + [["same"] * k for k in (4, 5, 6, 9)]
-    lines = []
-    for words in base * 3:
-        words = list(words)
-        if rng.random() < 0.3:
-            words[-1] = "changed"
-        lines.append(" ".join(words))
-    rng.shuffle(lines)
-    texts = ["\n\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    own = [(i, k, p.split()) for i, t in enumerate(texts) for k, p in enumerate(t.split("\n")) if p]
-    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for _, _, w in own]
-    root = list(range(len(own)))
-    for a in range(len(own)):
-        for b in range(a):
-            if root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-                x, y = sorted((root[a], root[b]))
-                root = [x if r == y else r for r in root]
-    want = {i: [] for i in range(len(texts))}
-    for n, (i, k, _) in enumerate(own):
-        want[i] += [k] * (root[n] != n)
-    got = {r.doc_id: r for r in queries.QUERIES["op10_paragraphs"](spark, str(tmp_path)).collect()}
-    assert sum(map(len, want.values())) > 20 and {i: r.removed for i, r in got.items()} == want
-    for i, t in enumerate(texts):
-        assert got[i].text == "\n".join(p for k, p in enumerate(t.split("\n")) if k not in want[i])
-
-
 def test_cards_beside_other_numbers(spark):
     """A card is found with short numbers, dates, addresses and other cards next to it; what is no card stays."""
     card, spaced, bad = "4539578763621486", "4539 5787 6362 1486", "4539578763621487"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewell.llm import decontaminate, embeddings, mixing, paragraphs, pii, quality, secrets, simhash, suffixes, toxicity
+from clausewell.llm import decontaminate, embeddings, mixing, pii, quality, secrets, simhash, suffixes, toxicity
 
 WORDS = [f"w{i}" for i in range(300)]
 KIND = "doc_id bigint, text string, source string, score string, n_words string"
@@ -119,9 +119,3 @@ def test_suffixes(spark, docs):
                 seen.add(t[p : p + 40])
             assert got[i].n_removed == sum(gone)
             assert got[i].kept_sha256 == hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()
-
-
-def test_paragraphs(spark, docs, empty):
-    got = {r.doc_id: r for r in paragraphs.without_repeated_paragraphs(docs, min_words=5).collect()}
-    assert got[40].n_removed == 1 and got[41].n_removed == 1 and got[0].n_removed == 0 and got[44].text is None
-    assert paragraphs.without_repeated_paragraphs(empty).count() == 0
