@@ -1,19 +1,21 @@
 """Embedding near-duplicates with randomised-rotation binary codes.
 
-Every distinct vector gets, once, the signs of its unit vector under a random rotation (one bit a dimension)
-and a correction factor, the inner product of that code with what it stands for. In a tile of two blocks of
-vectors with one label, code times rotated vector over factor is an unbiased estimate of the cosine; its
-error for a pair at the threshold has standard deviation sqrt(1 - t^2) sqrt((1 - f^2) / f^2) / sqrt(d - 1), and
-pairs whose estimate plus ``sigmas`` of them reaches the threshold are computed again in double precision.
-
-Labels of any size are cut into blocks of about ``block`` vectors, so a task holds two blocks and a label
-of a third of all rows is many tasks. The comparisons of a label grow with the square of its distinct
-vectors, as the contract (all pairs of equal label) asks; copies collapse before. A tile returns a row
-for each linked vector (how many links, and its root in the tile's spanning forest), never its pairs.
+Every distinct vector gets, once, a code: the signs of its unit vector under a random rotation (one bit a dimension), with a
+correction factor, the inner product of the code with what it stands for; and for its turn as the other of a pair
+its rotated components in ``LEVELS`` steps, kept as bit planes. The inner product of one vector's code with another's
+planes is a few ANDs and bit counts; over the factor it is an unbiased estimate of the cosine. Its error for a
+pair at the threshold has standard deviation sqrt(1 - t^2) sqrt((1 - f^2) / f^2) / sqrt(d - 1), to which the steps add theirs;
+only pairs whose estimate plus ``sigmas`` of them reaches the threshold are computed in double precision.
+
+Labels of any size are cut into blocks of about ``block`` vectors; a tile of two blocks is first judged on
+codes and planes alone, and only the vectors with a pair that the estimates leave open go to the tile a second time, as
+vectors. So a task holds two blocks, and a label of a third of all rows is many tasks. The comparisons of a label grow
+with the square of its distinct vectors, as the contract (all pairs of equal label) asks; copies collapse before. A tile
+returns a row for each linked vector (how many links, and its root in the tile's spanning forest), never its pairs.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have a null label link
 with nothing, likewise rows with a null id; vectors of different lengths do not link; repeated rows count
-as vectors of their own; an empty table gives an empty result. Other columns are not read.
+as vectors of their own; an empty table gives an empty result. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,10 +35,51 @@ def rotation(d: int, seed: int = 17) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotated unit vectors, their packed signs, and the factors <code, rotated>."""
+#: Steps of the rotated components of the second of a pair, two to the power of the planes.
+PLANES = 4
+LEVELS = 1 << PLANES
+CODE = "code binary, factor double, planes binary, low double, step double, total double"
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words, zeros at the end."""
+    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
+
+
+def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The fields of CODE for rows of unit vectors: packed signs, the factors <code, rotated>, and the rotated components as
+    bit planes of low + step * level, with their sum."""
     turned = unit @ turn.T
-    return turned, np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(unit.shape[1])
+    low, high = turned.min(axis=1), turned.max(axis=1)
+    step = np.maximum((high - low) / (LEVELS - 1), 1e-12)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+    planes = np.concatenate([packed((level >> k & 1).astype(np.uint8)) for k in range(PLANES)], axis=1)
+    total = low * unit.shape[1] + step * level.sum(axis=1)
+    return packed((turned >= 0).astype(np.uint8)), np.abs(turned).sum(axis=1) / np.sqrt(unit.shape[1]), planes, low, step, total
+
+
+class Codes:
+    """The fields of CODE of some vectors of ``dims`` components, as arrays."""
+
+    def __init__(self, rows: pd.DataFrame, dims: int):
+        words = -(-dims // 64)
+        self.code = np.frombuffer(b"".join(rows["code"]), np.uint64).reshape(-1, words)
+        self.planes = np.frombuffer(b"".join(rows["planes"]), np.uint64).reshape(-1, PLANES, words)
+        self.low, self.step, self.total = (rows[n].to_numpy() for n in ("low", "step", "total"))
+        self.ones, self.dims = np.bitwise_count(self.code).sum(axis=1, dtype=np.int64), dims
+        self.factor = np.minimum(rows["factor"].to_numpy(), 1.0)
+
+    def open_pairs(self, own: np.ndarray, first: int, least: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one of ``own`` and one from ``first`` on whose cosine the estimate does not put under ``least``."""
+        level = np.zeros((len(own), len(self.code) - first), np.int32)
+        for k in range(PLANES):
+            for w in range(self.code.shape[1]):
+                level += np.bitwise_count(self.code[own, None, w] & self.planes[None, first:, k, w]).astype(np.int32) << k
+        f, d = self.factor[own, None], self.dims
+        inner = 2 * (self.low[first:] * self.ones[own, None] + self.step[first:] * level) - self.total[first:]
+        spread = max(0.0, 1 - least**2) * (1 - f * f) / max(1, d - 1) + self.step[first:] ** 2 / 12
+        x, y = np.nonzero(inner / np.sqrt(d) + sigmas * np.sqrt(spread) + 1e-4 >= least * f)
+        return own[x], y + first
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -45,29 +88,31 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 
 def distinct_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """(label, dims, node, n, vector, code, factor): one row for each distinct vector that may link."""
+    """(label, dims, node, n, vector) and CODE: one row for each distinct vector that may link."""
     e = col(embedding)
     good = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.where(col(vec_id).isNotNull() & col(label).isNotNull() & e.isNotNull() & F.coalesce(good, F.lit(False)))
     rows = rows.groupBy(col(label).alias("label"), e.alias("vector")).agg(F.min(col(vec_id)).alias("node"), F.count("*").alias("n"))
     rows = rows.select("label", F.size("vector").alias("dims"), "node", "n", "vector")
-    schema = T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(CODE).fields])
 
     def run(batches):
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            codes, factors = [b""] * batch.num_rows, np.zeros(batch.num_rows)
+            made: list[list] = [[None] * batch.num_rows for _ in range(6)]
             dims = batch.column(1).to_numpy()
             flat = [np.asarray(v.values, np.float64) for v in batch.column(4)]
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 if d not in turns:
                     turns[d] = rotation(d)
-                _, code, factor = encode(units(np.stack([flat[i] for i in at])), turns[d])
-                factors[at] = factor
-                for i, c in zip(at.tolist(), code, strict=True):
-                    codes[i] = c.tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(factors)], names=schema.fieldNames())
+                fields = encode(units(np.stack([flat[i] for i in at])), turns[d])
+                for field, values in zip(made, fields, strict=True):
+                    for i, v in zip(at.tolist(), values, strict=True):
+                        field[i] = v.tobytes() if values.ndim > 1 else float(v)
+            kinds = [f.dataType == T.BinaryType() for f in schema.fields[-6:]]
+            arrays = [pa.array(x, pa.binary() if b else pa.float64()) for x, b in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
@@ -85,25 +130,30 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def compare(a: pd.DataFrame, b: pd.DataFrame | None, least: float, sigmas: float) -> pd.DataFrame:
-    """Links of the vectors of one block, or between two: node, links (copies counted), root."""
-    rows = a if b is None else pd.concat([a, b], ignore_index=True)
-    vectors = np.stack(rows["vector"].to_list()).astype(np.float64)
-    d, unit = vectors.shape[1], units(vectors)
-    turned = (unit @ rotation(d).T).astype(np.float32)
-    bits = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), axis=1)[:, :d]
-    signs = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
-    f = np.minimum(rows["factor"].to_numpy(), 1.0)
-    slack = sigmas * np.sqrt(max(0.0, 1 - least**2)) * np.sqrt((1 - f * f) / (f * f)) / np.sqrt(max(1, d - 1)) + 1e-4
+def _blocks(n: int, split: int | None):
+    """(numbers of the first of a pair, from where on the second may be): 256 at a time of one block, or of the first of two."""
+    for i in range(0, n if split is None else split, 256):
+        yield np.arange(i, min(i + 256, n if split is None else split)), (i if split is None else split)
+
+
+def undecided(rows: pd.DataFrame, dims: int, split: int | None, least: float, sigmas: float) -> np.ndarray:
+    """Whether each row, the vectors of one block or (first ``split``) of two, has a pair that the estimates leave open."""
+    codes, met = Codes(rows, dims), np.zeros(len(rows), bool)
+    for own, first in _blocks(len(rows), split):
+        x, y = codes.open_pairs(own, first, least, sigmas)
+        apart = x != y
+        met[x[apart]] = met[y[apart]] = True
+    return met
+
+
+def compare(rows: pd.DataFrame, dims: int, split: int | None, least: float, sigmas: float) -> pd.DataFrame:
+    """Links among the rows as in ``undecided``, open pairs in double precision: node, links (copies counted), root."""
+    unit, codes = units(np.stack(rows["vector"].to_list()).astype(np.float64)), Codes(rows, dims)
     weight, count = rows["n"].to_numpy(), np.zeros(len(rows), np.int64)
-    root, start = np.arange(len(rows)), 0 if b is None else len(a)
-    for i in range(0, len(a), 256):
-        own = np.arange(i, min(i + 256, len(a)))
-        estimate = signs[own] @ turned[start:].T / f[own, None]
-        x, y = np.nonzero(estimate + slack[own, None] >= least)
-        x, y = own[x], y + start
-        if b is None:
-            x, y = x[y > x], y[y > x]
+    root = np.arange(len(rows))
+    for own, first in _blocks(len(rows), split):
+        x, y = codes.open_pairs(own, first, least, sigmas)
+        x, y = x[y > x], y[y > x]
         linked = [np.einsum("ij,ij->i", unit[x[k : k + 50_000]], unit[y[k : k + 50_000]]) >= least for k in range(0, len(x), 50_000)]
         keep = np.concatenate(linked) if linked else np.zeros(0, bool)
         x, y = x[keep], y[keep]
@@ -120,20 +170,32 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
     rows = checkpointed(distinct_vectors(vectors, vec_id, embedding, label))
+    coded = ["node", "n", *T.StructType.fromDDL(CODE).fieldNames()]
     sizes = rows.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    tiled = rows.join(sizes, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiled = rows.select("label", "dims", *coded).join(sizes, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "vector", "code", "factor")
-
-    def tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        first, second = pdf[pdf["own"] == key[2]], pdf[pdf["own"] == key[3]]
-        if key[2] == key[3] or first.empty or second.empty:
-            return compare(pdf, None, least, sigmas) if key[2] == key[3] else pd.DataFrame({"node": [], "links": [], "root": []})
-        return compare(first, second, least, sigmas)
-
-    ids = rows.schema["node"].dataType.simpleString()
-    found = checkpointed(tiled.groupBy("label", "dims", "i", "j").applyInPandas(tile, f"node {ids}, links bigint, root {ids}"))
+    key = ["label", "dims", "i", "j"]
+    tiled = tiled.select("label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *coded)
+
+    def laid_out(key, pdf):
+        """The rows of a tile with the first block's before the second's, and how many those are (None: one block)."""
+        pdf = pdf.assign(_second=pdf["own"] != key[2]).sort_values(["_second", "node"], kind="stable")
+        return pdf, None if key[2] == key[3] else int((~pdf["_second"]).sum())
+
+    def probe(key, pdf):
+        pdf, split = laid_out(key, pdf)
+        return pdf.loc[undecided(pdf, int(key[1]), split, least, sigmas), ["label", "dims", "own", "node"]].assign(i=key[2], j=key[3])[[*names]]
+
+    def verify(key, pdf):
+        pdf, split = laid_out(key, pdf)
+        return compare(pdf, int(key[1]), split, least, sigmas)
+
+    names = ["label", "dims", "i", "j", "own", "node"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    open_ = tiled.groupBy(*key).applyInPandas(probe, f"label {kinds['label']}, dims int, i int, j int, own int, node {kinds['node']}")
+    open_ = open_.join(rows.select("label", "dims", "vector", *coded), ["label", "dims", "node"])
+    ids = kinds["node"]
+    found = checkpointed(open_.groupBy(*key).applyInPandas(verify, f"node {ids}, links bigint, root {ids}"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "linked")
     known = rows.select("label", "dims", "node", "n", "vector").join(links, "node", "left")

@@ -3,9 +3,12 @@
 A string of ``length`` bytes is hit if it also starts earlier (smaller doc_id, or earlier in the same document).
 1. Anchors: every string of ``length`` bytes holds the position of its smallest hash of ``GRAM``-byte grams, so equal
    strings have equal anchors in equal places. One Arrow pass gives each anchor's hash, a hash of its context
-   (all bytes of strings through it) and its place; about one anchor every 35 bytes is shuffled, no text.
+   (all bytes of strings through it), hashes of the bytes just left and right of it, and its place; about one anchor every
+   35 bytes is shuffled, no text.
 2. Occurrences of a context that are not its first are hit as a whole. What is left are anchors with
-   several contexts; only their first occurrences matter, and only their contexts' bytes are fetched.
+   several contexts; only their first occurrences matter. A string common to two contexts of an anchor takes at least half
+   of its other bytes on one side, so contexts that share neither side with another one drop out, and only the
+   bytes of the rest are fetched.
 3. Contexts with an anchor in common meet, a block of whole anchors at a time, in a suffix array made by
    two-stage sorting: suffixes smaller than their successors are sorted directly, the others induced by a
    scan over the buckets of first bytes. Adjacent common prefixes of ``length`` bytes give equal strings.
@@ -13,8 +16,12 @@ A string of ``length`` bytes is hit if it also starts earlier (smaller doc_id, o
    grouped by a 128-bit hash instead, a row for each, so no task holds an unbounded group.
 4. Spans are gathered for each document and cut out of its bytes.
 
-Defined results: a null text is empty; documents with a null id neither hit nor are hit; rows that repeat an
-id with the same text are judged alike and do not hit each other; rows that share an id must share the text.
+Contexts are compared by 64-bit hashes from random tables, within one anchor hash; strings by their bytes.
+
+Defined results: a null text is empty; documents with a null id neither hit nor are hit, and lose nothing; rows that repeat
+an id with the same text are judged alike and do not hit each other; rows that share an id must share the text; an empty
+table gives an empty result; columns kept pass through under any name, and new columns get underscores where their names
+are taken.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, table, written
+from .common import bounded, col, free, fresh, table, written
+from .paragraphs import BYTES, WORD_BASE, Ranges
 
 GRAM = 32
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -66,31 +74,37 @@ def with_doc(kind: T.DataType, ddl: str) -> T.StructType:
     return T.StructType([T.StructField("doc", kind), *T.StructType.fromDDL(ddl).fields])
 
 
+#: Beside key and ctx: the hashes of the bytes left and right of the anchor, 32 bits each (0: too few bytes), and its
+#: place, with the bytes from there to the end of its strings in the lowest byte.
+ANCHOR = "key bigint, ctx bigint, sides bigint, place bigint"
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """docs (doc, text) -> (doc, key, ctx, pos, ahead: bytes from pos to the end of its strings)."""
-    kind = docs.schema["doc"].dataType
-    schema = with_doc(kind, "key bigint, ctx bigint, pos int, ahead int")
-    reach = length - GRAM
+    """docs (doc, text) -> doc and ANCHOR."""
+    schema = with_doc(docs.schema["doc"].dataType, ANCHOR)
+    reach, half = length - GRAM, (length - GRAM + 1) // 2
 
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            rows, keys, ctx, places, stops = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if not text or len(text) < length:
-                    continue
-                pos, key = anchors(np.frombuffer(text, np.uint8), length)
-                n = len(text)
-                stop = np.minimum(n, pos + length)
-                ctx += [digest(text[max(0, p - reach) : e], min(p, reach) << 32 | (e - p)) for p, e in zip(pos.tolist(), stop.tolist(), strict=True)]
-                rows.append(np.full(len(pos), i))
-                keys.append(key)
-                places.append(pos)
-                stops.append(stop - pos)
-            if rows:
-                own = batch.column(0).take(pa.array(np.concatenate(rows)))
-                made = [np.concatenate(keys).view(np.int64), np.array(ctx, np.uint64).view(np.int64), np.concatenate(places).astype(np.int32), np.concatenate(stops).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([own, *map(pa.array, made)], names=schema.fieldNames())
+            for part in bounded(batch, 1, 1 << 20):
+                rows, found = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    if text and len(text) >= length:
+                        found.append(anchors_of(np.frombuffer(text, np.uint8)))
+                        rows.append(np.full(len(found[-1][0]), i))
+                if rows:
+                    own = part.column(0).take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=schema.fieldNames())
+
+    def anchors_of(data):
+        pos, key = anchors(data, length)
+        n, hashed = len(data), Ranges(BYTES[data], WORD_BASE)
+        start, stop = np.maximum(0, pos - reach), np.minimum(n, pos + length)
+        ctx = hashed(start, stop) ^ (((pos - start) << 32 | (stop - pos)).astype(np.uint64) * MIX[1])
+        end = pos + GRAM
+        side = lambda there, a, b: np.where(there, hashed(a, b) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        left, right = side(pos >= half, np.maximum(0, pos - half), pos), side(end + half <= n, end, np.minimum(n, end + half))
+        return key.view(np.int64), ctx.view(np.int64), (left << np.uint64(32) | right).view(np.int64), pos.astype(np.int64) << 8 | (stop - pos)
 
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
 
@@ -224,18 +238,27 @@ def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     kind = docs.schema[doc_id].dataType
     given = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where("doc is not null")
     reach = length - GRAM
+    if not GRAM < length <= 255:
+        raise ValueError(f"length has to be over {GRAM} and at most 255")
     own, all_ = W.partitionBy("key", "ctx"), W.partitionBy("key")
-    rows = _anchor_rows(given, length).withColumn("first", F.min(F.struct("doc", "pos")).over(own))
+    rows = _anchor_rows(given, length).withColumn("first", F.min(F.struct("doc", "place")).over(own))
     rows = rows.withColumns({"least": F.min("ctx").over(all_), "most": F.max("ctx").over(all_)})
-    later = F.struct("doc", "pos") > F.col("first")
-    rows = written(rows.where(later | (F.col("least") != F.col("most"))).select("doc", "pos", "ahead", "key", later.alias("later")))
+    later = F.struct("doc", "place") > F.col("first")
+    rows = rows.where(later | (F.col("least") != F.col("most"))).withColumns({"later": later, "l": F.shiftrightunsigned("sides", 32), "r": F.col("sides").bitwiseAND(0xFFFFFFFF)})
+    met = F.lit(False)
+    for side in ("l", "r"):  # within a key, so nothing is shuffled again
+        same = W.partitionBy("key", side)
+        rows = rows.withColumns({f"least_{side}": F.min("ctx").over(same), f"most_{side}": F.max("ctx").over(same)})
+        met = met | ((F.col(side) != 0) & (F.col(f"least_{side}") != F.col(f"most_{side}")))
+    pos = F.shiftright("place", 8).cast("int")
+    rows = written(rows.where(F.col("later") | met).select("doc", pos.alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("ahead"), "key", "later"))
     whole = rows.where("later").select("doc", F.greatest(F.lit(0), F.col("pos") - reach).alias("a"), (F.col("pos") + F.col("ahead")).alias("b"))
     asked = rows.where("not later").select("doc", "pos", "key").distinct()
     asked = asked.groupBy("doc").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
     schema = with_doc(kind, "key bigint, start int, bytes binary")
 
     def fetch(batches):
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in bounded(whole_batch, 1)):
             rows_, keys, starts, found = [], [], [], []
             for i, (t, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for p in places:
@@ -265,39 +288,35 @@ def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
 
 def without_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", length: int = 100, with_text: bool = True, **options) -> DataFrame:
     """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the bytes that stay as ``kept``."""
-    found = hit_spans(docs, doc_id, text, length, **options).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    rows = docs.join(found, docs[doc_id] == found["doc"], "left").drop("doc")
-    fields = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
-
-    def step(texts, spans):
-        out = []
-        for t, own in zip(texts, spans, strict=True):
-            t = t or b""
-            pieces, at, removed, n = [], 0, 0, 0
-            for s in sorted((s["a"], s["b"]) for s in own or ()):
-                if s[1] <= at and n:
-                    continue
-                if not n or s[0] > at:
-                    pieces.append(t[at : s[0]])
-                    n += 1
-                    removed += s[1] - s[0]
-                else:
-                    removed += s[1] - at
-                at = s[1]
-            left = b"".join([*pieces, t[at:]])
-            out.append((len(t), removed, n, hashlib.sha256(left).hexdigest(), left))
-        return out
-
-    held = rows.select(*[col(c) for c in keep], col(text).cast("binary").alias("_raw"), "_spans")
-    schema = T.StructType([*held.schema.fields[:-2], *T.StructType.fromDDL(fields).fields])
+    key, marks, raw = (fresh(docs, n) for n in ("suffix_doc", "marks", "raw"))
+    found = hit_spans(docs, doc_id, text, length, **options).groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("a", "b")).alias(marks))
+    held = docs.join(found, col(doc_id) == col(key), "left").select(*[col(c) for c in keep], col(text).cast("binary").alias(raw), col(marks))
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+    kinds = {n: k for n, k in kinds.items() if with_text or n != "kept"}
+    fields = [f"`{free(keep, n)}` {'bigint' if k == pa.int64() else k}" for n, k in kinds.items()]
+    schema = T.StructType([*held.schema.fields[:-2], *T.StructType.fromDDL(", ".join(fields)).fields])
+
+    def cut(t, own):
+        t, pieces, at, removed, n = t or b"", [], 0, 0, 0
+        for a, b in sorted((s["a"], s["b"]) for s in own or ()):
+            if b <= at and n:
+                continue
+            if not n or a > at:
+                pieces.append(t[at:a])
+                n += 1
+                removed += b - a
+            else:
+                removed += b - at
+            at = b
+        left = b"".join([*pieces, t[at:]])
+        return (len(t), removed, n, hashlib.sha256(left).hexdigest(), left)[: len(kinds)]
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            if batch.num_rows:
-                made = list(zip(*step(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()), strict=True))
-                arrays = [pa.array(x, k) for x, k in zip(made, kinds, strict=True)][: None if with_text else 4]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *arrays], names=schema.fieldNames())
+            for part in bounded(batch, batch.num_columns - 2):
+                made = zip(*map(cut, part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()), strict=True)
+                arrays = [pa.array(x, k) for x, k in zip(made, kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *arrays], names=schema.fieldNames())
 
     return held.mapInArrow(run, schema)
 
