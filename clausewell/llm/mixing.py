@@ -3,16 +3,16 @@
 Sources get word targets by water-filling (weights, a ceiling of ``max_epochs`` times their size). The
 documents of each source are dealt into blocks by hash; blocks are permuted, whole blocks are taken up to
 the target, and inside the one block where the target falls the documents are taken in permuted order,
-
 passing over those that no longer fit (``passes`` times), then the one further document that comes
 nearest to the words still missing. A splitting tree halves the
-taken blocks again and again among the output shards: at each node the blocks are ranked by a hash of node
-and block and the first half goes left, which draws the sources' quotas from the multivariate
-hypergeometric law and deals disjoint permuted blocks in one step. ``shuffled`` orders a shard locally.
+taken blocks again and again among the output shards: at each node the first half of the node's blocks, in random order,
+goes left, which draws the sources' quotas from the multivariate hypergeometric law and deals disjoint permuted blocks
+in one step. ``shuffled`` orders a shard locally.
 
-Scale: texts are read once and never shuffled for the plan; the block table has at most
-``max_blocks`` rows and one for each source, whatever the input, so its windows stay small; windows over documents hold
-one block. Everything is a function of (doc_id, seed), so reruns agree.
+Scale: texts are read once and never shuffled for the plan. Ranks and running sums, of blocks and of sources, are taken
+in ``BUCKETS`` hash buckets (or ranges) at a time: a window holds one bucket, and what lies before a bucket comes from a table
+of bucket totals, so no window holds a whole source or node. Windows over documents hold one block. Everything
+is a function of (doc_id, seed), so reruns agree.
 
 Defined results: a null text has no words; the null source is a source of its own, last in order; equal
 document ids have equal fates; an empty table gives an empty mix. Only the columns named are read.
@@ -36,47 +36,83 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, BLANK + "+", -1)) - ends(1) - ends(-1)).cast("bigint")
 
 
+#: Hash buckets of a rank or running sum.
+BUCKETS = 256
+
+
+def bucketed(rows: DataFrame, order: Column) -> DataFrame:
+    """rows with h, their hash, and bucket, its leading bits: what ``running`` orders by."""
+    return rows.withColumn("h", order).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 56), F.lit(BUCKETS)).cast("int"))
+
+
+def running(rows: DataFrame, keys: list[str], value: Column, ties: list[str]) -> DataFrame:
+    """bucketed rows with ``before``, the sum of value over the rows of equal keys that come earlier by (bucket, h, ties), and
+    ``whole``, the sum over all of them. rows are read twice, so they should be cut from their lineage."""
+    own = rows.withColumn("own", value.cast("bigint"))
+    totals = own.groupBy(*keys, "bucket").agg(F.sum("own").alias("part"))
+    every = W.partitionBy(*keys)
+    ahead = F.sum("part").over(every.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    totals = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("bucket").alias("_bucket"), F.coalesce(ahead, F.lit(0)).alias("ahead"), F.sum("part").over(every).alias("whole"))
+    inside = W.partitionBy(*keys, "bucket").orderBy("h", *ties).rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("inside", F.coalesce(F.sum("own").over(inside), F.lit(0)))
+    same = F.col("bucket") == F.col("_bucket")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(totals, same).withColumn("before", F.col("ahead") + F.col("inside")).drop("own", "inside", "ahead", "_bucket", *[f"_{k}" for k in keys])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
-    """(source, source_size) -> the same and target. Water-filling: with the sources ordered by how soon they
-    reach their ceiling, those up to some place are full and the rest share by weight. One row per source."""
-    order = W.orderBy(F.col("source").isNull(), F.col("source"))
-    n = F.row_number().over(order) - 1
-    rows = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(n, F.lit(len(weights))).cast("int") + 1))
-    rows = rows.withColumn("cap", F.col("source_size") * float(max_epochs))
-    fill = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before = F.coalesce(F.sum("cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(fill.rowsBetween(0, W.unboundedFollowing))
-    budget = F.sum("source_size").over(W.partitionBy()) * float(share)
-    rows = rows.withColumn("level", (budget - before) / left)
-    full = F.col("cap") / F.col("weight") <= F.col("level")
-    level = F.max(F.when(~full, F.col("level"))).over(W.partitionBy())
-    return rows.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.greatest(F.lit(0.0), level * F.col("weight"))).alias("target"))
+    """(source, source_size) -> the same and target. Shares by weight; sources above their ceiling stop there, and what
+    is left is shared by the others, until none is above. One row per source; sums alone reach the driver."""
+    ordered = sizes.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
+    ordered = checkpointed(ordered)  # the ranges are fixed from here on
+    before = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a partition
+    n = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1 + F.col("ahead")
+    rows = ordered.join(F.broadcast(before), F.col("part") == F.col("of"))
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(n, F.lit(len(weights))).cast("int") + 1))
+    rows = checkpointed(rows.select("source", "source_size", "weight", (F.col("source_size") * float(max_epochs)).alias("cap")))
+    budget = float((rows.agg(F.sum("source_size")).first()[0] or 0) * share)
+    level, full = 0.0, -1
+    while True:
+        at = F.col("cap") <= F.lit(level) * F.col("weight")
+        r = rows.agg(F.count_if(at), F.sum(F.when(at, F.col("cap"))), F.sum(F.when(~at, F.col("weight")))).first()
+        if r[0] == full or not r[2]:
+            break
+        full, level = r[0], (budget - (r[1] or 0.0)) / r[2]
+    return rows.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def splitting_tree(blocks: DataFrame, key: list[str], shards: int, seed: int) -> DataFrame:
-    """blocks with ``shard``: each node's blocks are halved at random (sizes in proportion to the shards below)."""
-    rows = blocks.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
-    for depth in range(max(0, (shards - 1).bit_length())):
-        draw = W.partitionBy("lo", "hi").orderBy(F.xxhash64(F.lit(seed), F.lit(depth), F.col("lo"), *key), *key)
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        quota = F.round(F.count("*").over(W.partitionBy("lo", "hi")) * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        rows = rows.withColumn("left", F.row_number().over(draw) <= quota)
-        rows = rows.withColumn("new_lo", F.when(F.col("left"), F.col("lo")).otherwise(mid)).withColumn("new_hi", F.when(F.col("left"), mid).otherwise(F.col("hi")))
-        open_ = F.col("hi") - F.col("lo") > 1
-        rows = rows.withColumns({"lo": F.when(open_, F.col("new_lo")).otherwise(F.col("lo")), "hi": F.when(open_, F.col("new_hi")).otherwise(F.col("hi"))}).drop("left", "new_lo", "new_hi")
-    return rows.withColumnRenamed("lo", "shard").drop("hi")
+    """blocks with ``shard``: each node's blocks are halved at random (sizes in proportion to the shards below).
+
+    All blocks get one random order. A node is a range of it, whose first part goes left; so a node's blocks are a
+    random subset in random order, and what of each source goes left is a multivariate hypergeometric draw."""
+    drawn = checkpointed(bucketed(blocks.withColumn("tree", F.lit(0)), F.xxhash64(F.lit(seed), *key)))
+    ranked = running(drawn, ["tree"], F.lit(1), key)
+    node = lambda lo, hi, a, b: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+
+    def turn(at, depth):
+        mid = F.floor((at.lo + at.hi) / 2)
+        cut = at.a + F.round((at.b - at.a) * (mid - at.lo) / (at.hi - at.lo))
+        left = F.col("before") < cut
+        below = node(F.when(left, at.lo).otherwise(mid), F.when(left, mid).otherwise(at.hi), F.when(left, at.a).otherwise(cut), F.when(left, cut).otherwise(at.b))
+        return F.when(at.hi - at.lo > 1, below).otherwise(at)
+
+    depths = F.sequence(F.lit(1), F.lit(max(1, (shards - 1).bit_length())))
+    leaf = F.aggregate(depths, node(F.lit(0), F.lit(shards), F.lit(0), F.col("whole")), turn, lambda at: at.lo)
+    return ranked.select(*blocks.columns, leaf.alias("shard"))
 
 
 def mix_plan(
     docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5,
-    max_epochs: float = 2.0, shards: int = 16, block_docs: int = 256, max_blocks: int = 1 << 20, passes: int = 2, seed: int = 42,
+    max_epochs: float = 2.0, shards: int = 16, block_docs: int = 256, passes: int = 2, seed: int = 42,
 ) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, and ``shards``, the shard of each copy taken."""
     rows = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), word_count(col(text)).alias("size"))
     rows = checkpointed(rows)  # the one pass over the texts: three narrow columns are kept
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    per = F.greatest(F.lit(block_docs), F.ceil(F.sum("n").over(W.partitionBy()) / max_blocks))
-    counts = by.select("source", F.ceil(F.col("n") / per).cast("int").alias("n_blocks"), F.col("n"))
+    counts = by.select("source", F.ceil(F.col("n") / block_docs).cast("int").alias("n_blocks"), F.col("n"))
     targets = source_targets(by.drop("n"), weights, share, max_epochs)
     facts = targets.join(counts, targets["source"].eqNullSafe(counts["source"])).drop(counts["source"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -84,11 +120,11 @@ def mix_plan(
     rows = rows.join(facts, rows["source"].eqNullSafe(facts["source"]), "left").drop(facts["source"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")).cast("int"))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("epochs").alias("epochs"))
-    draw = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(draw.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    blocks = checkpointed(bucketed(blocks, F.xxhash64(F.lit(seed + 1), "source", "block")))
+    blocks = running(blocks, ["source"], F.col("words"), ["block"])
     room = F.col("rest") - F.col("before")
     state = F.when(room >= F.col("words"), 2).when(room > 0, 1).otherwise(0)
-    blocks = blocks.select("source", "block", "epochs", state.alias("state"), F.greatest(F.lit(0.0), room).alias("room"))
+    blocks = checkpointed(blocks.select("source", "block", "epochs", state.alias("state"), F.greatest(F.lit(0.0), room).alias("room")))
     copies = blocks.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("epochs"))).alias("copy"), "epochs", "state").where("copy < epochs or state > 0")
     tree = splitting_tree(copies.select("source", "block", "copy"), ["source", "block", "copy"], shards, seed + 2)
     dealt = tree.groupBy("source", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("dealt"))
