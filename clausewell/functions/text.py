@@ -18,8 +18,8 @@ def clean_title(s: Column) -> Column:
 
 
 def stem(name: Column) -> Column:
-    """A file name without extension, leading number and white space."""
-    return norm(F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"^\d+_", ""))
+    """A file name without extension (letters and digits), leading number and white space."""
+    return norm(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), r"^\d+_", ""))
 
 
 def half_width(s: Column) -> Column:
@@ -27,8 +27,8 @@ def half_width(s: Column) -> Column:
 
 
 def number(s: Column) -> Column:
-    """A plain decimal number, thousands separators dropped, or null."""
-    t = F.regexp_replace(half_width(norm(s)), "[,，]", "")
+    """A plain decimal number, thousands separators and outer white space dropped, or null."""
+    t = F.regexp_replace(half_width(F.regexp_replace(s, f"^{SPACE}|{SPACE}$", "")), "[,，]", "")
     return F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double"))
 
 
@@ -61,10 +61,23 @@ def clauses(option: Column) -> Column:
 
 
 def cell_address(row: Column, column: Column) -> Column:
-    """Spreadsheet address of 1-based places, to column ZZ."""
-    letter = lambda k: F.char(F.lit(65) + k)
+    """Spreadsheet address of 1-based places, to column ZZZ."""
+    letter = lambda k: F.char(F.lit(65) + k % 26)
     c = column - 1
-    return F.concat(F.when(c >= 26, letter(F.floor(c / 26) - 1)).otherwise(""), letter(c % 26), row.cast("string"))
+    third = F.when(c >= 702, letter(F.floor((c - 702) / 676))).otherwise("")
+    second = F.when(c >= 26, letter(F.floor((c - 26) / 26))).otherwise("")
+    return F.concat(third, second, letter(c), row.cast("string"))
+
+
+# Fixed value: what the first line of a clause begins with.
+HEADING = (
+    r"第[一二三四五六七八九十百千\d]+[章节条款项]|附录|附件|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|\d{1,2}\."
+)
+
+
+def heading(s: Column, pattern: str = HEADING) -> Column:
+    """Whether a text, blanks within its lines gone, begins a clause."""
+    return F.regexp_replace(s, r"[ \t\r\f\x0B]+", "").rlike(f"^(?:{pattern})")
 
 
 def _found(s: Column, pattern: str) -> Column:

@@ -36,7 +36,8 @@ def option_number(option: Column) -> Column:
 
 
 def relative(value: Column, option: Column) -> Column:
-    return F.abs(value - option) / F.greatest(F.lit(1.0), F.abs(option))
+    """Distance of an option from a computed value, relative to that value (1 at least)."""
+    return F.abs(value - option) / F.greatest(F.lit(1.0), F.abs(value))
 
 
 def nearest_option(value: Column, options: dict[str, Column], tolerance: float = 0.02) -> Column:
@@ -47,7 +48,7 @@ def nearest_option(value: Column, options: dict[str, Column], tolerance: float =
 
 def within(value: Column, options: dict[str, Column], tolerance: float = 0.02) -> Column:
     """Letters of all options within the tolerance."""
-    return F.array_compact(F.array(*[F.when(relative(value, x) <= tolerance, F.lit(k)) for k, x in options.items()]))
+    return F.array_compact(F.array(*[F.when(relative(value, x) < tolerance, F.lit(k)) for k, x in options.items()]))
 
 
 def pair_arithmetic(a: Column, b: Column, options: dict[str, Column]) -> Column:

@@ -10,24 +10,36 @@ def grade(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
 
 
 def accuracy(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Overall and by each of groups: grp, value, n, correct."""
+    """Overall and by each of groups: grp, value, n, correct, and percent to one decimal."""
     pairs = F.array(F.struct(F.lit("all").alias("grp"), F.lit("").alias("value")), *[F.struct(F.lit(g).alias("grp"), F.col(g).cast("string").alias("value")) for g in groups])
     each = rows.select("correct", F.explode(pairs).alias("p")).select("correct", "p.grp", "p.value")
-    return each.groupBy("grp", "value").agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("bigint")).alias("correct"))
+    rows = each.groupBy("grp", "value").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
+    return rows.withColumn("percent", F.bround(F.col("correct") * 100 / F.col("n"), 1))
+
+
+def choose(questions: DataFrame, split: str = "dev", text_only: bool = False, text_kinds: tuple[str, ...] = ("word", "pdf")) -> DataFrame:
+    """The questions of one split; of text documents alone, if asked."""
+    rows = questions.where(F.col("split") == split)
+    return rows.where(F.col("source_type").isin(*text_kinds)) if text_only else rows
 
 
 def group_split(sizes: DataFrame, share: int = 3, slack: int = 15) -> DataFrame:
     """sizes(stratum, grp, n) -> split: whole groups, smallest first, are dev while dev has less than its quota.
 
-    The running sum is over a histogram of sizes, and inside one size it is arithmetic on the group's place."""
+    The running sum is over a histogram of sizes. How many groups of a size are dev follows by arithmetic; only
+    where that is some of them and not all do the groups of that size need an order."""
     order = W.partitionBy("stratum").orderBy("n")
     bins = sizes.groupBy("stratum", "n").agg(F.count("*").alias("groups"))
     bins = bins.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("groups")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     bins = bins.withColumn("quota", F.round(F.sum(F.col("n") * F.col("groups")).over(W.partitionBy("stratum")) / share).cast("bigint"))
-    place = F.row_number().over(W.partitionBy("stratum", "n").orderBy(F.col("grp").cast("string"))) - 1
-    rows = sizes.withColumn("place", place).join(bins.drop("groups"), ["stratum", "n"])
-    ahead = F.col("before") + F.col("place") * F.col("n")
-    dev = (ahead < F.col("quota")) & (ahead + F.col("n") <= F.col("quota") + slack)
+    under, within = F.ceil((F.col("quota") - F.col("before")) / F.col("n")), F.floor((F.col("quota") + slack - F.col("before")) / F.col("n"))
+    bins = bins.withColumn("dev", F.greatest(F.lit(0), F.least("groups", under, within)))
+    rows = sizes.join(bins.select("stratum", "n", "groups", "dev"), ["stratum", "n"])
+    some = (F.col("dev") > 0) & (F.col("dev") < F.col("groups"))
+    # where all or none are dev, a group is a window of its own
+    key = F.when(some, F.lit(None).cast("string")).otherwise(F.col("grp").cast("string"))
+    place = F.row_number().over(W.partitionBy("stratum", "n", key).orderBy(F.col("grp").cast("string")))
+    dev = F.when(some, place <= F.col("dev")).otherwise(F.col("dev") > 0)
     return rows.select("stratum", "grp", "n", F.when(dev, "dev").otherwise("test").alias("split"))
 
 
@@ -63,6 +75,20 @@ def citations(answer: Column, available: Column) -> tuple[Column, Column]:
     return F.array_intersect(cited, available), F.array_except(cited, available)
 
 
+def uncited(answer: Column, refusal: str) -> Column:
+    """Sentences of an answer that cite nothing, white space at their ends gone; none of a refusal."""
+    parts = F.transform(F.regexp_extract_all(answer, F.lit(r"[^。！？.!?\n]+[。！？.!?]*(?:\s*\[\d{1,2}\])*"), F.lit(0)), lambda x: F.trim(x))
+    bare = F.filter(parts, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~x.rlike(r"\[\d{1,2}\]"))
+    return F.when(F.contains(answer, F.lit(refusal)), F.array().cast("array<string>")).otherwise(bare)
+
+
+def refusal_rates(answers: DataFrame, refusal: str) -> DataFrame:
+    """answers(kind, answer, status): for each kind the answers, and those that are the refusal phrase or have status refused."""
+    refused = (F.trim("answer") == refusal) | F.coalesce(F.col("status") == "refused", F.lit(False))
+    rows = answers.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce(refused, F.lit(False))).alias("refused"))
+    return rows.withColumn("rate", F.round(F.col("refused") / F.col("n"), 6))
+
+
 def error_rows(rows: DataFrame) -> DataFrame:
     """The graded rows that are wrong."""
     return rows.where(~F.col("correct"))
@@ -80,13 +106,27 @@ def split_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy("split", "kind", "value").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("groups"))
 
 
+def split_documents(rows: DataFrame) -> DataFrame:
+    """rows(split, grp): the documents of each split, a row each."""
+    return rows.select("split", "grp").distinct()
+
+
 def inconsistent_answers(rows: DataFrame) -> DataFrame:
     """rows(answer, answer_text, option_a to option_d): those where the option named by the letter is not the answer's text."""
     named = F.element_at(F.create_map(*[x for k in "abcd" for x in (F.lit(k.upper()), F.col(f"option_{k}"))]), F.col("answer"))
     return rows.where(~F.coalesce(F.trim(named) == F.trim("answer_text"), F.lit(False)))
 
 
-def statements_hit(coverage: DataFrame, least: float = 0.7) -> DataFrame:
-    """coverage(q, statement_no, coverage): hit if every statement of a question is covered by some block."""
-    best = coverage.groupBy("q", "statement_no").agg(F.max("coverage").alias("m"))
-    return best.groupBy("q").agg(F.coalesce(F.min(F.col("m") >= least), F.lit(False)).alias("hit"))
+def statements_hit(coverage: DataFrame, least: float = 0.7, least_cosine: float = 0.6) -> DataFrame:
+    """coverage(q, statement_no, coverage, maybe cosine), a row for each statement and block: hit if every statement of a
+    question is in some block, by coverage or, where there is a cosine of their vectors, by that."""
+    found = F.col("coverage") >= least
+    if "cosine" in coverage.columns:
+        found = found | F.coalesce(F.col("cosine") >= least_cosine, F.lit(False))
+    best = coverage.groupBy("q", "statement_no").agg(F.coalesce(F.max(found), F.lit(False)).alias("found"))
+    return best.groupBy("q").agg(F.min("found").alias("hit"))
+
+
+def cited_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks(doc_id, location, ord, ...): of the pieces that share a place the last one, as evidence names places."""
+    return blocks.groupBy("doc_id", "location").agg(F.max_by(F.struct("*"), "ord").alias("b")).select("b.*")

@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.text import norm
 from .match import best_label, common_substring, locate
 
-#: Question forms for titles, used in turn; {} stands for the title.
-FORMS = (
-    "What does 《{}》 apply to, and what does it require?",
-    "Which threshold does 《{}》 set?",
-    "What is the value of the indicator in the workbook 《{}》?",
-    "Does the following statement agree with 《{}》?",
-    "How does 《{}》 differ from the rules in force?",
-)
-
-
 def match_labels(labels: DataFrame, names: DataFrame, least: int = 15) -> DataFrame:
     """labels(label_id, label, label_ext), names(name_id, name, ext): label_id, name_id, stage.
 
@@ -44,15 +34,19 @@ def absent_topics(topics: DataFrame, names: DataFrame) -> DataFrame:
     return topics.join(held.select(F.col("title_id").alias("topic_id")), "topic_id", "left_anti")
 
 
-def outside_questions(titles: DataFrame, kept_titles: DataFrame, topics: DataFrame, kept_topics: DataFrame, forms: tuple[str, ...] = FORMS) -> DataFrame:
+def outside_questions(
+    titles: DataFrame, kept_titles: DataFrame, topics: DataFrame, kept_topics: DataFrame, forms: tuple[str, ...], prefix: str = "S5-"
+) -> DataFrame:
     """titles(title_id, title) and topics(topic_id, topic, question), numbered from 1: id, question, kind, topic, kept.
 
-    A title's form follows from its own number, whether or not others before it are kept; rejected rows have no question."""
+    ``forms`` are questions with {} for the title, taken in turn by a title's own number, whether or not others before it are
+    kept; rejected rows have no question."""
     form = F.element_at(F.array(*map(F.lit, forms)), (F.pmod(F.col("title_id") - 1, F.lit(len(forms))) + 1).cast("int"))
+    name = lambda letter, k: F.format_string(f"{prefix}{letter}%02d", k)
     a = titles.join(kept_titles.select("title_id", F.lit(True).alias("kept")), "title_id", "left")
-    a = a.select(F.format_string("D%02d", "title_id").alias("id"), F.replace(form, F.lit("{}"), F.col("title")).alias("question"), F.lit("title").alias("kind"), F.col("title").alias("topic"), "kept")
+    a = a.select(name("D", "title_id").alias("id"), F.replace(form, F.lit("{}"), F.col("title")).alias("question"), F.lit("title").alias("kind"), F.col("title").alias("topic"), "kept")
     b = topics.join(kept_topics.select("topic_id", F.lit(True).alias("kept")), "topic_id", "left")
-    b = b.select(F.format_string("T%02d", "topic_id").alias("id"), "question", F.lit("natural").alias("kind"), "topic", "kept")
+    b = b.select(name("T", "topic_id").alias("id"), "question", F.lit("natural").alias("kind"), "topic", "kept")
     rows = a.unionByName(b).withColumn("kept", F.coalesce("kept", F.lit(False)))
     return rows.withColumn("question", F.when(F.col("kept"), F.col("question")))
 
@@ -62,31 +56,29 @@ def kind_counts(questions: DataFrame) -> DataFrame:
 
 
 def repair_types(rows: DataFrame, rounds: int = 5) -> DataFrame:
-    """rows(grp, qa_type, split), split being dev or test: in each round a type that one side lacks moves there with
-    its smallest group (smallest grp of a tie); the alphabetically first missing type of each side, dev first.
+    """rows(grp, qa_type, split), split being dev or test: in each of ``rounds`` one type that a side lacks moves there
+    with its smallest group (smallest grp of a tie): the alphabetically first that dev lacks, else the first that test lacks.
 
-    Only one moved group a step reaches the driver; steps are at most twice ``rounds``."""
-    moved: dict = {}
-    sides = {"dev": "test", "test": "dev"}
+    A round asks one aggregate for it, of which one group reaches the driver."""
     sizes = rows.groupBy("grp", "qa_type").agg(F.count("*").alias("n"), F.first("split").alias("split")).withColumn("size", F.sum("n").over(W.partitionBy("grp")))
-    current = sizes
+    moved: dict = {}
+
+    def current(split):
+        for grp, side in moved.items():
+            split = F.when(F.col("grp") == F.lit(grp), side).otherwise(split)
+        return split
+
     for _ in range(rounds):
-        both = {r.qa_type: set(r.sides) for r in current.groupBy("qa_type").agg(F.collect_set("split").alias("sides")).where(F.size("sides") < 2).collect()}
-        if not both:
+        now = sizes.withColumn("split", current(F.col("split")))
+        types = now.groupBy("qa_type").agg(F.collect_set("split").alias("held")).where(F.size("held") == 1)
+        lacks = F.when(F.col("held")[0] == "test", "dev").otherwise("test")
+        first = types.agg(F.min(F.struct(lacks.alias("side"), "qa_type")).alias("x")).select("x.*").where("side is not null")
+        mine = now.join(F.broadcast(first), "qa_type")  # one row
+        pick = mine.groupBy("side").agg(F.min(F.struct("size", "grp")).alias("g")).select("side", "g.grp").first()
+        if pick is None:
             break
-        for side, donor in sides.items():
-            lacking = sorted(k for k, held in both.items() if side not in held)
-            if lacking:
-                least = current.where((F.col("split") == donor) & (F.col("qa_type") == lacking[0])).agg(F.min(F.struct("size", "grp")).alias("g")).first().g
-                moved[least.grp] = side
-        new = F.lit(None).cast("string")
-        for grp, side in moved.items():
-            new = F.when(F.col("grp") == F.lit(grp), side).otherwise(new)
-        current = sizes.withColumn("split", F.coalesce(new, "split"))
-    out = rows
-    for grp, side in moved.items():
-        out = out.withColumn("split", F.when(F.col("grp") == F.lit(grp), side).otherwise(F.col("split")))
-    return out
+        moved[pick.grp] = pick.side
+    return rows.withColumn("split", current(F.col("split")))
 
 
 def one_each(rows: DataFrame, key: str, id_: str, seed: int = 7) -> DataFrame:

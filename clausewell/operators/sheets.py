@@ -10,8 +10,13 @@ from ..functions.text import cell_address, norm, number, number_text
 from .answer import nearest_option, pair_arithmetic, within
 
 KEY = ["doc_id", "sheet"]
-# Header words (periods and measure bases), unit mark, child mark.
-HEADER = r"\d{4}年|\d{1,2}月|季度|本年|本月|本期|上年|累计|同比|期末|期初|截至|当期"
+# Periods and measure bases of header cells, unit mark, child mark.
+PERIOD = r"20\d{2}\s*年"
+BASIS = (
+    r"本月|本年累计|累计|当期|本期|同比|同期|比年初|余额|发生额|上年末|年初|"
+    r"[一二三四1-4]\s*季度|[一二三四]季度末|[1-9]\s*月(?:末|度)?"
+)
+HEADER = f"{PERIOD}|{BASIS}"
 UNIT = r"单位\s*[:：]\s*(.+)"
 CHILD = "其中"
 # Fixed value: indicators of stocks and counts, which are not compared with flows.
@@ -40,11 +45,13 @@ def fill_merged(cells: DataFrame, merges: DataFrame, half_open: bool = False) ->
 
 
 def facts(cells: DataFrame, header: str = HEADER, unit: str = UNIT, child: str = CHILD, gap: int = 3) -> DataFrame:
-    """One row for each labelled number: indicator with category and family root, column label, value, unit.
+    """One row for each labelled number (the column num, where cells have it and it is not null, else what the raw text
+    says): indicator with category and family root, column label, value, unit.
 
     A sheet without a header row takes the nearest of the ``gap`` rows above its first number that has two texts
     or more and no number; a sheet without that has no facts."""
-    x = cells.withColumns({"v": F.coalesce(norm(F.col("raw")), F.lit("")), "num": number(F.col("raw"))})
+    num = F.coalesce("num", number(F.col("raw"))) if "num" in cells.columns else number(F.col("raw"))
+    x = cells.withColumns({"v": F.coalesce(norm(F.col("raw")), F.lit("")), "num": num})
     head = (F.col("v") != "") & (F.length("v") <= 16) & F.col("v").rlike(header)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s.v), "")
     rows = x.groupBy(*KEY, "r").agg(F.max(head).alias("head"), F.max(F.col("num").isNotNull()).alias("has_num"), F.count_if(F.col("v") != "").alias("filled"), whole.alias("whole"))
@@ -164,7 +171,8 @@ def table_evidence(facts_: DataFrame, asked: DataFrame, terms: int = 4, each: in
     return hits.select("q", no.alias("no"), F.rtrim(text).alias("text"), F.col("doc_id").alias("source"), place.alias("location"))
 
 
-def match_option(value: float, options: list[tuple[str, float | None]], tolerance: float = 0.02) -> str | None:
-    """The letter of the nearest option within the relative tolerance."""
-    near = min(((abs(value - x) / max(1.0, abs(x)), k) for k, x in options if x is not None), default=None)
-    return near[1] if near and near[0] < tolerance else None
+def fact_counts(cells: DataFrame, facts_: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row: workbooks, sheets, fact records, and failed workbooks."""
+    n = cells.agg(F.count_distinct("doc_id").alias("workbooks"), F.count_distinct("doc_id", "sheet").alias("sheets"))
+    rows = n.crossJoin(facts_.agg(F.count("*").alias("records")))  # one row each
+    return rows.crossJoin(failed.agg(F.count("*").alias("failed"))) if failed is not None else rows.withColumn("failed", F.lit(0).cast("bigint"))

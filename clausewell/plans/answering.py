@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators import answer, corpus, evaluate, match, retrieve, sheets
-from .queries import _BM25, _CELLS, _N, _cells, _units, bm25_topk, t
+from .queries import _BM25, _CELLS, _N, _SPLIT, _bm25, _cells, _units, t
 
 
 def _options(spark, d):
     """Each benchmark passage asks about its best document; its options are itself and the passage after it."""
-    top = bm25_topk(spark, d).where("rank = 1").select(F.col("query_id").alias("q"), F.col("block_id").alias("doc_id"))
+    top = _bm25(spark, d, 1).select(F.col("query_id").alias("q"), F.col("block_id").alias("doc_id"))
     items = t(spark, d, "benchmark")
     own = items.select(F.col("item_id").alias("q"), F.lit("A").alias("letter"), F.col("text").alias("option"))
     after = items.select((F.col("item_id") - 1).alias("q"), F.lit("B").alias("letter"), F.col("text").alias("option"))
@@ -29,11 +29,11 @@ def option_evidence(spark, d):
 
 
 def split_long(spark, d):
-    return corpus.split_long(t(spark, d, "documents").select("doc_id", F.lit(0).alias("block_no"), F.regexp_replace("text", r"\. ", "。").alias("text")))
+    return corpus.split_long(t(spark, d, "documents").select("doc_id", F.lit(0).alias("block_no"), F.replace("text", F.lit(". "), F.lit("。")).alias("text")))
 
 
 def bm25_share(spark, d):
-    return retrieve.max_normalised(bm25_topk(spark, d)).select("query_id", "block_id", F.round("share", 5).alias("share"))
+    return retrieve.max_normalised(_bm25(spark, d, 20)).select("query_id", "block_id", F.round("share", 5).alias("share"))
 
 
 def vector_alignment(spark, d):
@@ -41,7 +41,7 @@ def vector_alignment(spark, d):
 
 
 def out_of_corpus(spark, d):
-    titles = t(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.substring("text", 1, 40).alias("title"))
+    titles = t(spark, d, "benchmark").select(F.col("item_id").alias("title_id"), F.col("text").alias("title"))
     return match.out_of_corpus(titles, t(spark, d, "documents").select(F.col("text").alias("name")), 24).select("title_id", "title")
 
 
@@ -71,7 +71,8 @@ def error_rows(spark, d):
 
 
 def _split(spark, d):
-    return t(spark, d, "conversations").select(F.col("conv_id").alias("grp"), "role", F.when(F.col("turn") < 3, "dev").otherwise("test").alias("split"))
+    kind = F.element_at(F.array(*map(F.lit, ("word", "pdf", "excel"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("grp"), "turn", "role", kind.alias("source_type"), F.when(F.col("turn") < 3, "dev").otherwise("test").alias("split"))
 
 
 def split_leaks(spark, d):
@@ -82,7 +83,15 @@ def split_summary(spark, d):
     return evaluate.split_summary(_split(spark, d), ["role"])
 
 
-QUERIES = {f.__name__: f for f in (option_scoring, option_evidence, split_long, bm25_share, vector_alignment, out_of_corpus, fact_row_diff, numeric_option, error_rows, split_leaks, split_summary)}
+def split_documents(spark, d):
+    return evaluate.split_documents(_split(spark, d))
+
+
+def split_choice(spark, d):
+    return evaluate.choose(_split(spark, d), "test", text_only=True).select("grp", "turn", "source_type")
+
+
+QUERIES = {f.__name__: f for f in (option_scoring, option_evidence, split_long, bm25_share, vector_alignment, out_of_corpus, fact_row_diff, numeric_option, error_rows, split_leaks, split_summary, split_documents, split_choice)}
 
 _COVERAGE = f"""{_BM25}, top AS (SELECT query_id AS q, block_id AS doc_id FROM bm WHERE rank = 1),
 o AS (SELECT item_id AS q, 'A' AS letter, text AS option FROM benchmark UNION ALL SELECT item_id - 1, 'B', text FROM benchmark),
@@ -95,25 +104,32 @@ g AS (SELECT q, letter, clause_no, block_no, a, t, list_transform(range(1, lengt
 cov AS (SELECT q, letter, clause_no, block_no, CASE WHEN length(a) < 4 THEN CAST(length(a) > 0 AND contains(t, a) AS DOUBLE) ELSE len(list_filter(g, lambda x: contains(t, x))) / len(g) END AS coverage FROM g),
 sc2 AS (SELECT q, letter, round(avg(m), 9) AS score FROM (SELECT q, letter, clause_no, max(coverage) AS m FROM cov GROUP BY ALL) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, letter) = 1 AS chosen FROM sc2)"""
-_NEAR = "abs(value - {0}) / greatest(1, abs({0}))"
+_NEAR = "abs(value - {0}) / greatest(1, abs(value))"
+
+#: bad: ids of titles in b(title_id, title) that share 24 characters in a row with, or are held by, a text of a table.
+_SHARED = """ck AS (SELECT substring({text}, k * 1000 + 1, 1023) AS c FROM {table}, unnest(range(0, length({text}) // 1000 + 1)) t(k)),
+        held AS (SELECT DISTINCT c[i : i + 23] AS gram FROM ck, unnest(range(1, length(c) - 22)) t(i)),
+        own AS (SELECT DISTINCT title_id, title[i : i + 23] AS gram FROM b, unnest(range(1, length(title) - 22)) t(i)),
+        bad AS (SELECT DISTINCT title_id FROM own JOIN held USING (gram) UNION SELECT title_id FROM b JOIN {table} ON length(title) BETWEEN 1 AND 23 AND contains({text}, title))"""
 
 ORACLE_SQL = {
     "option_scoring": f"WITH {_COVERAGE} SELECT * FROM best",
     "option_evidence": f"""WITH {_COVERAGE}, e AS (SELECT q, clause_no, block_no, row_number() OVER (PARTITION BY q, clause_no ORDER BY coverage DESC, block_no) AS rank FROM cov JOIN best USING (q, letter) WHERE chosen QUALIFY rank <= 2),
         m AS (SELECT q, block_no, min(clause_no * 10 + rank) AS place FROM e GROUP BY ALL)
         SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY place) AS INT) AS ord, CAST(block_no AS INT) AS block_no FROM m QUALIFY ord <= 4""",
-    "bm25_share": f"WITH {_BM25} SELECT query_id, block_id, round(score / max(score) OVER (PARTITION BY query_id), 5) AS share FROM bm",
+    "bm25_share": f"WITH {_BM25} SELECT query_id, block_id, round(score / max(score) OVER (PARTITION BY query_id), 5) AS share FROM bm WHERE rank <= 20",
     "vector_alignment": """SELECT doc_id AS block_id, 'vector' AS lacks FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
         UNION ALL SELECT vec_id, 'block' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""",
-    "out_of_corpus": """WITH b AS (SELECT item_id AS title_id, text[1:40] AS title FROM benchmark), g AS (SELECT DISTINCT title_id, title[i : i + 23] AS gram FROM b, unnest(range(1, length(title) - 22)) t(i)),
-        s AS (SELECT title_id, title AS gram FROM b WHERE length(title) < 24 AND title <> '' UNION SELECT * FROM g)
-        SELECT title_id, title FROM b WHERE title_id NOT IN (SELECT title_id FROM s JOIN documents d ON contains(d.text, gram))""",
+    "out_of_corpus": f"WITH b AS (SELECT item_id AS title_id, text AS title FROM benchmark), {_SHARED.format(table='documents', text='text')} SELECT title_id, title FROM b WHERE title_id NOT IN (FROM bad)",
+    "split_long": f"WITH RECURSIVE b AS (SELECT doc_id, 0 AS block_no, replace(text, '. ', '。') AS text FROM documents), {_SPLIT} SELECT doc_id, block_no, piece_no, piece FROM pieces",
+    "split_documents": "SELECT DISTINCT CASE WHEN turn < 3 THEN 'dev' ELSE 'test' END AS split, conv_id AS grp FROM conversations",
+    "split_choice": "SELECT conv_id AS grp, turn, CASE WHEN conv_id % 3 = 0 THEN 'word' ELSE 'pdf' END AS source_type FROM conversations WHERE turn >= 3 AND conv_id % 3 < 2",
     "fact_row_diff": f"""WITH {_CELLS}, f AS (SELECT doc_id, min(r) AS r FROM b WHERE p = '1-URGENT' GROUP BY 1)
         SELECT CAST(doc_id AS INT) AS q, CAST(max(v) FILTER (c = 4) - max(v) FILTER (c = 2) AS DOUBLE) AS difference FROM b JOIN f USING (doc_id, r) GROUP BY doc_id""",
     "numeric_option": f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS value, l_extendedprice + l_quantity * 40 AS a, l_extendedprice + l_quantity * -15 AS b, l_extendedprice + l_quantity * 25 AS c FROM lineitem),
         n AS (SELECT *, {_NEAR.format('a')} AS da, {_NEAR.format('b')} AS db, {_NEAR.format('c')} AS dc FROM r)
         SELECT l_orderkey, l_linenumber, CASE WHEN least(da, db, dc) < 0.02 THEN CASE least(da, db, dc) WHEN da THEN 'A' WHEN db THEN 'B' ELSE 'C' END END AS nearest,
-        concat_ws(',', CASE WHEN da <= 0.02 THEN 'A' END, CASE WHEN db <= 0.02 THEN 'B' END, CASE WHEN dc <= 0.02 THEN 'C' END) AS near FROM n""",
+        concat_ws(',', CASE WHEN da < 0.02 THEN 'A' END, CASE WHEN db < 0.02 THEN 'B' END, CASE WHEN dc < 0.02 THEN 'C' END) AS near FROM n""",
     "error_rows": "SELECT doc_id, CAST(n_chars > 600 AS INT) AS pred, quality AS gold, source FROM documents JOIN labels USING (doc_id) WHERE CAST(n_chars > 600 AS INT) IS DISTINCT FROM quality",
     "split_leaks": "SELECT conv_id AS grp, 2::BIGINT AS splits FROM conversations GROUP BY 1 HAVING count(DISTINCT turn < 3) > 1",
     "split_summary": """WITH s AS (SELECT conv_id, role, CASE WHEN turn < 3 THEN 'dev' ELSE 'test' END AS split FROM conversations)

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answer, evaluate, evidence, match, questions
-from .answering import _COVERAGE, _coverage, _options
-from .queries import _BM25, _N, _bm25, _hybrid, _units, bm25_topk, t
+from ..operators import answer, evaluate, evidence, match, questions, retrieve
+from .answering import _COVERAGE, _SHARED, _coverage, _options
+from .queries import _BM25, _DENSE, _N, _bm25, _hybrid, _units, t
 
+#: Question forms of these queries, in turn.
+FORMS = ("When did 《{}》 come out?", "Who keeps 《{}》?", "Is 《{}》 still open?")
 #: name, hits taken, scores fused, options by clauses
 VARIANTS = [("V0", 10, False, False), ("V1", 20, False, False), ("V2", 20, True, False), ("V3", 20, False, True), ("V4", 20, True, True)]
 
@@ -26,19 +28,30 @@ def fallback_option(spark, d):
 
 
 def strategy_sweep(spark, d):
-    top = bm25_topk(spark, d).where("rank = 1").select(F.col("query_id").alias("i"), F.col("score").alias("top"))
+    top = _bm25(spark, d, 1).select(F.col("query_id").alias("i"), F.col("score").alias("top"))
     strength = top.select(F.col("i").alias("q"), F.lit("A").alias("letter"), "top").union(top.select(F.col("i") - 1, F.lit("B"), "top"))
     hits = _bm25(spark, d, 20).select(F.col("query_id").alias("q"), "block_id", "rank")
     return answer.sweep(_options(spark, d).drop("doc_id"), _texts(spark, d, hits), strength, VARIANTS)
 
 
+def _statements(spark, d):
+    return _coverage(spark, d).withColumn("statement_no", F.concat("letter", "clause_no"))
+
+
 def statement_hits(spark, d):
-    found = _coverage(spark, d).where("letter = 'A'").select("q", F.col("clause_no").alias("statement_no"), "coverage")
-    return evaluate.statements_hit(found)
+    return evaluate.statements_hit(_statements(spark, d))
+
+
+def statement_hits_cosine(spark, d):
+    """As statement_hits, with the cosine of the vectors of a question's and its document's numbers for all its statements."""
+    unit = t(spark, d, "embeddings").select("vec_id", retrieve.unit(F.col("embedding")).alias("v"))
+    near = _located(spark, d).join(unit.select(F.col("vec_id").alias("q"), F.col("v").alias("a")), "q").join(unit.select(F.col("vec_id").alias("doc_id"), F.col("v").alias("b")), "doc_id")
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return evaluate.statements_hit(_statements(spark, d).join(near.select("q", dot.alias("cosine")), "q", "left"), least=0.9, least_cosine=0.1)
 
 
 def _located(spark, d):
-    return bm25_topk(spark, d).where("rank = 1").select(F.col("query_id").alias("q"), F.col("block_id").alias("doc_id"))
+    return _bm25(spark, d, 1).select(F.col("query_id").alias("q"), F.col("block_id").alias("doc_id"))
 
 
 def document_prompts(spark, d):
@@ -101,11 +114,11 @@ def unlocated_titles(spark, d):
 
 
 def _outside(spark, d):
-    titles = t(spark, d, "benchmark").select((F.col("item_id") + 1).alias("title_id"), F.substring("text", 1, 40).alias("title"))
+    titles = t(spark, d, "benchmark").select((F.col("item_id") + 1).alias("title_id"), F.col("text").alias("title"))
     kept = match.out_of_corpus(titles, t(spark, d, "pages").select(F.col("html").alias("name")), 24)
     n = F.col("n_nationkey").cast("bigint")
     topics = t(spark, d, "nation").select((n + 1).alias("topic_id"), F.concat(F.lit("0 "), n).alias("topic"), F.concat(F.lit("What of "), "n_name", F.lit("?")).alias("question"))
-    return questions.outside_questions(titles, kept, topics, questions.absent_topics(topics, _names(spark, d)))
+    return questions.outside_questions(titles, kept, topics, questions.absent_topics(topics, _names(spark, d)), FORMS)
 
 
 def outside_questions(spark, d):
@@ -117,9 +130,11 @@ def outside_counts(spark, d):
 
 
 def type_repair(spark, d):
-    """Conversations of six turns or more, where alone there is a late turn, are test; all others are dev."""
+    """Conversations with late or last turns are test, all others dev; of these some have a type of their own."""
     rows = t(spark, d, "conversations").join(t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id")
-    rows = rows.select(F.col("conv_id").alias("grp"), "turn", F.when(F.col("turn") > 4, "late").otherwise("early").alias("qa_type"), F.when(F.col("last") > 4, "test").otherwise("dev").alias("split"))
+    kind = F.when(F.col("turn") > 4, F.when(F.col("conv_id") % 2 == 0, "late").otherwise("last"))
+    kind = F.coalesce(kind, F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 0) & (F.col("last") <= 4), "solo"), F.lit("early"))
+    rows = rows.select(F.col("conv_id").alias("grp"), "turn", kind.alias("qa_type"), F.when(F.col("last") > 4, "test").otherwise("dev").alias("split"))
     return questions.repair_types(rows)
 
 
@@ -128,16 +143,41 @@ def demo_sample(spark, d):
 
 
 def question_parse(spark, d):
-    rows = t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("《"), F.substring("text", 1, 12), F.lit("》工作表："), "role", F.lit("（a）b）。 “"), F.substring("text", 3, 9), F.lit("”从“x"), "turn", F.lit("”到“y”")).alias("question"))
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("《"), "text", F.lit("》工作表："), "role", F.lit("（a）b）。 “"), "role", F.lit("”或“"), "text", F.lit("”从“x"), "turn", F.lit("”到“y”")).alias("question"))
     x = F.col("question")
     change = X.difference_terms(x)
     return rows.select("conv_id", "turn", X.question_title(x).alias("title"), X.question_sheet(x).alias("sheet"), F.array_join(X.question_terms(x), "|").alias("terms"), change.term.alias("term"), change.col1.alias("col1"))
 
 
-QUERIES = {f.__name__: f for f in (fallback_option, strategy_sweep, statement_hits, document_prompts, retrieved_evidence, extraction_audit, extraction_totals, extraction_misses, label_match, label_issues, sheet_locate, unlocated_titles, outside_questions, outside_counts, type_repair, demo_sample, question_parse)}
+def title_stems(spark, d):
+    """File names made of customers' names: stems, and titles without their kind."""
+    kinds = F.element_at(F.array(*map(F.lit, ("（PDF）", "(Word)", "（xls)", "（other）"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    ends = F.element_at(F.array(*map(F.lit, (".docx", ".x_y", "", ".tar.gz"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = t(spark, d, "customer").select("c_custkey", F.concat("c_custkey", F.lit("_"), "c_name", F.lit(" "), "c_mktsegment", ends).alias("name"), F.concat("c_name", F.lit(" "), kinds).alias("title"))
+    return rows.select("c_custkey", X.stem(F.col("name")).alias("stem"), X.clean_title(F.col("title")).alias("title"))
+
+
+def evidence_parse(spark, d):
+    """Gold evidence made of order lines: cells, values and statements."""
+    text = F.concat(F.lit("单元格： C"), "l_linenumber", F.lit("；原始值："), "l_suppkey", F.lit("；利润="), "l_partkey", F.lit(".5(D"), "l_linenumber", F.lit(")；"), "l_returnflag", F.lit("一二三四五六七"))
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("e"))
+    e = F.col("e")
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(X.evidence_cells(e), ",").alias("cells"), X.evidence_numbers(e).alias("numbers"), F.array_join(X.statements(e), "|").alias("statements"))
+
+
+def option_numbers(spark, d):
+    """The first number of option texts made of orders."""
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("about "), F.format_number("o_totalprice", 2), F.lit(" or 7"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("x-"), "o_custkey", F.lit("%")))
+    return t(spark, d, "orders").select("o_orderkey", answer.option_number(F.coalesce(text, F.lit("none"))).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (fallback_option, strategy_sweep, statement_hits, statement_hits_cosine, document_prompts, retrieved_evidence, extraction_audit, extraction_totals, extraction_misses, label_match, label_issues, sheet_locate, unlocated_titles, outside_questions, outside_counts, type_repair, demo_sample, question_parse, title_stems, evidence_parse, option_numbers)}
 
-_OPTIONS = f"""{_BM25}, o AS (SELECT item_id AS q, 'A' AS letter, text AS option FROM benchmark UNION ALL SELECT item_id - 1, 'B', text FROM benchmark),
-hit AS (SELECT query_id AS q, block_id, rank, {_N.format('text')} AS t FROM bm JOIN documents ON doc_id = block_id)"""
+_OPTIONS = f"""{_BM25}, o AS (SELECT * FROM (SELECT item_id AS q, 'A' AS letter, text AS option FROM benchmark UNION ALL SELECT item_id - 1, 'B', text FROM benchmark) WHERE q IN (SELECT query_id FROM bm)),
+hit AS (SELECT query_id AS q, block_id, rank, {_N.format('text')} AS t FROM bm JOIN documents ON doc_id = block_id WHERE rank <= 20)"""
+_FUSED = f"""{_DENSE}, fj AS (SELECT query_id AS q, block_id, bm.rank AS r1, dn.rank AS r2, round(coalesce(1 / (bm.rank + 60), 0) + coalesce(1 / (dn.rank + 60), 0), 9) AS score FROM bm FULL JOIN dn USING (query_id, block_id)),
+fu AS (SELECT q, block_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INT) AS rank FROM fj WHERE q IN (SELECT item_id FROM benchmark)),
+fh AS (SELECT q, block_id, rank, {_N.format('text')} AS t FROM fu JOIN documents ON doc_id = block_id WHERE rank <= 20)"""
 _SHARE = "CASE WHEN length(a) < 4 THEN CAST(length(a) > 0 AND contains(t, a) AS DOUBLE) ELSE len(list_filter(list_transform(range(1, length(a) - 2), lambda i: a[i : i + 3]), lambda x: contains(t, x))) / (length(a) - 3) END"
 _NAMES = "names AS (SELECT c_custkey AS name_id, c_name AS name, c_mktsegment AS ext FROM customer)"
 _LABELS = f"""{_NAMES}, l AS (SELECT s_suppkey AS label_id, CASE WHEN s_suppkey % 7 = 0 THEN 'none ' || s_suppkey WHEN s_suppkey % 3 = 0 THEN right(s_name, 9) || 'zz' ELSE right(s_name, 9)[6:8] END AS label FROM supplier),
@@ -151,31 +191,34 @@ gc AS (SELECT label_id, name_id, count(*) AS n FROM gr GROUP BY label_id, name_i
 m AS (FROM m1 UNION ALL SELECT label_id, name_id, 2 FROM gc QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY n DESC, name_id) = 1)"""
 _AUDIT = f"""{_BM25}, qs AS (SELECT query_id AS q, block_id AS doc_id, source AS source_type, {_N.format('b.text')} AS a, {_N.format('d.text')} AS t FROM bm JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = block_id WHERE rank = 1),
 au0 AS (SELECT q, doc_id, source_type, t, round({_SHARE}, 9) AS coverage FROM qs), au AS (SELECT q, doc_id, source_type, coverage, CASE WHEN t = '' THEN 'empty' WHEN coverage < 0.7 THEN 'miss' ELSE 'ok' END AS note FROM au0)"""
-_FORMS = ", ".join("'" + f + "'" for f in questions.FORMS)
-_OUTSIDE = f"""ti AS (SELECT item_id + 1 AS k, text[1:40] AS title FROM benchmark), g AS (SELECT k, title[i : i + 23] AS gram FROM ti, unnest(range(1, length(title) - 22)) t(i) UNION SELECT k, title FROM ti WHERE length(title) < 24 AND title <> ''),
-bad AS (SELECT DISTINCT k FROM g JOIN pages ON contains(html, gram)), tp AS (SELECT n_nationkey + 1 AS k, '0 ' || n_nationkey AS topic, 'What of ' || n_name || '?' AS question FROM nation),
-held AS (SELECT DISTINCT k FROM tp JOIN customer ON contains(c_name, replace(topic, ' ', ''))),
-qs AS (SELECT format('D{{:02d}}', k) AS id, CASE WHEN k NOT IN (FROM bad) THEN replace([{_FORMS}][(k - 1) % 5 + 1], '{{}}', title) END AS question, 'title' AS kind, title AS topic, k NOT IN (FROM bad) AS kept FROM ti
-       UNION ALL SELECT format('T{{:02d}}', k), CASE WHEN k NOT IN (FROM held) THEN question END, 'natural', topic, k NOT IN (FROM held) FROM tp)"""
+_FORMS = ", ".join("'" + f + "'" for f in FORMS)
+_OUTSIDE = f"""b AS (SELECT item_id + 1 AS title_id, text AS title FROM benchmark), {_SHARED.format(table='pages', text='html')},
+tp AS (SELECT n_nationkey + 1 AS k, '0 ' || n_nationkey AS topic, 'What of ' || n_name || '?' AS question FROM nation),
+topics AS (SELECT DISTINCT k FROM tp JOIN customer ON contains(c_name, replace(topic, ' ', ''))),
+qs AS (SELECT format('S5-D{{:02d}}', title_id) AS id, CASE WHEN title_id NOT IN (FROM bad) THEN replace([{_FORMS}][(title_id - 1) % {len(FORMS)} + 1], '{{}}', title) END AS question, 'title' AS kind, title AS topic, title_id NOT IN (FROM bad) AS kept FROM b
+       UNION ALL SELECT format('S5-T{{:02d}}', k), CASE WHEN k NOT IN (FROM topics) THEN question END, 'natural', topic, k NOT IN (FROM topics) FROM tp)"""
 
 ORACLE_SQL = {
-    "fallback_option": f"""WITH {_OPTIONS}, p AS (SELECT q, letter, rank, block_id, t, {_N.format('option')} AS a FROM o JOIN hit USING (q)),
+    "fallback_option": f"""WITH {_OPTIONS}, {_FUSED}, p AS (SELECT q, letter, rank, block_id, t, {_N.format('option')} AS a FROM o JOIN fh USING (q)),
         s AS (SELECT q, letter, block_id, round({_SHARE}, 9) AS coverage, rank FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY coverage DESC, letter, rank) = 1)
-        SELECT q, letter, block_id, coverage, letter IS NULL AS refused FROM (SELECT DISTINCT q FROM o WHERE q IN (SELECT q FROM hit)) LEFT JOIN s USING (q)""",
+        SELECT q, letter, block_id, coverage, letter IS NULL AS refused FROM (SELECT DISTINCT q FROM o) LEFT JOIN s USING (q)""",
     "strategy_sweep": f"""WITH {_OPTIONS}, o1 AS (SELECT q, letter, option, list_filter(string_split_regex(option, '[;；。]'), lambda x: {_N.format('x')} <> '') AS cs FROM o),
         pt AS (SELECT q, letter, false AS split, 0 AS k, {_N.format('option')} AS a FROM o1 UNION ALL SELECT q, letter, true, i, {_N.format('x[i]')} FROM (SELECT q, letter, CASE WHEN len(cs) = 0 THEN [option] ELSE cs END AS x FROM o1), unnest(range(1, len(x) + 1)) u(i)),
         c AS (SELECT q, letter, split, k, rank, {_SHARE} AS coverage FROM pt JOIN hit USING (q)),
-        v(name, most, fused, split) AS (VALUES ('V0', 3, false, false), ('V1', 5, false, false), ('V2', 5, true, false), ('V3', 5, false, true), ('V4', 5, true, true)),
+        v(name, most, fused, split) AS (VALUES ('V0', 10, false, false), ('V1', 20, false, false), ('V2', 20, true, false), ('V3', 20, false, true), ('V4', 20, true, true)),
         b AS (SELECT name, fused, q, letter, k, max(coverage) AS m FROM c JOIN v USING (split) WHERE rank <= most GROUP BY ALL), tops AS (SELECT query_id AS i, score AS top FROM bm WHERE rank = 1),
         s AS (SELECT name, fused, q, letter, avg(m) AS cov, any_value(coalesce(top, 0)) AS top FROM b LEFT JOIN tops ON i = CASE letter WHEN 'A' THEN q ELSE q + 1 END GROUP BY ALL),
         r AS (SELECT name, q, letter, round(CASE WHEN fused THEN 0.75 * cov + 0.25 * top / greatest(top, 1) ELSE cov END, 9) AS score FROM s)
         SELECT *, row_number() OVER (PARTITION BY name, q ORDER BY score DESC, letter) = 1 AS chosen FROM r""",
-    "statement_hits": f"WITH {_COVERAGE} SELECT q, bool_and(m >= 0.7) AS hit FROM (SELECT q, clause_no, max(coverage) AS m FROM cov WHERE letter = 'A' GROUP BY ALL) GROUP BY q",
+    "statement_hits": f"WITH {_COVERAGE} SELECT q, bool_and(m >= 0.7) AS hit FROM (SELECT q, letter, clause_no, max(coverage) AS m FROM cov GROUP BY ALL) GROUP BY q",
+    "statement_hits_cosine": f"""WITH {_COVERAGE}, e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        n AS (SELECT top.q, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS cosine FROM top JOIN e a ON a.vec_id = q JOIN e b ON b.vec_id = doc_id)
+        SELECT q, bool_and(f) AS hit FROM (SELECT q, letter, clause_no, bool_or(coverage >= 0.9 OR coalesce(cosine >= 0.1, false)) AS f FROM cov LEFT JOIN n USING (q) GROUP BY ALL) GROUP BY q""",
     "document_prompts": f"""WITH {_BM25}, ul AS (SELECT query_id AS q, string_split(text, chr(10)) AS ls FROM bm JOIN documents ON doc_id = block_id WHERE rank = 1),
         u AS (SELECT q, i - 1 AS k, {_N.format('ls[i]')}[1:600] AS x, row_number() OVER (PARTITION BY q ORDER BY i) AS no FROM ul, unnest(range(1, len(ls) + 1)) t(i) WHERE trim(ls[i], ' ') <> ''),
         e AS (SELECT q, string_agg('[' || no || '] (para' || k || ') ' || x, chr(10) ORDER BY no) AS lines FROM u WHERE no <= 8 GROUP BY q)
         SELECT item_id AS q, concat_ws(chr(10), lines, text) AS prompt FROM benchmark LEFT JOIN e ON q = item_id""",
-    "retrieved_evidence": f"WITH {_BM25} SELECT query_id AS q, rank AS no, d.text[1:300] AS text, source, 'whole' AS location FROM bm JOIN documents d ON d.doc_id = block_id WHERE rank <= 3",
+    "retrieved_evidence": f"WITH {_BM25}, {_FUSED} SELECT q, rank AS no, d.text[1:600] AS text, source, 'whole' AS location FROM fu JOIN documents d ON d.doc_id = block_id WHERE rank <= 6",
     "extraction_audit": f"WITH {_AUDIT} SELECT * FROM au",
     "extraction_totals": f"WITH {_AUDIT} SELECT source_type, count(*) AS n, count(*) FILTER (note = 'ok') AS ok, round(avg(coverage), 6) AS mean FROM au GROUP BY 1",
     "extraction_misses": f"WITH {_AUDIT} SELECT doc_id, count(*) AS misses FROM au WHERE note = 'miss' GROUP BY 1 ORDER BY misses DESC, doc_id LIMIT 10",
@@ -187,11 +230,17 @@ ORACLE_SQL = {
         SELECT q, title FROM a WHERE title IS NOT NULL AND NOT EXISTS (FROM customer WHERE contains(c_name, title))""",
     "outside_questions": f"WITH {_OUTSIDE} SELECT * FROM qs",
     "outside_counts": f"WITH {_OUTSIDE} SELECT kind, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS rejected FROM qs GROUP BY 1",
-    "type_repair": """WITH c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) > 4 AS late, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-        mv AS (SELECT arg_min(conv_id, (n, conv_id)) AS g FROM c WHERE turn > 4)
-        SELECT conv_id AS grp, turn, CASE WHEN turn > 4 THEN 'late' ELSE 'early' END AS qa_type, CASE WHEN late AND conv_id IS DISTINCT FROM g THEN 'test' ELSE 'dev' END AS split FROM c, mv""",
-    "question_parse": """WITH r AS (SELECT conv_id, turn, role, '《' || text[1:12] || '》' AS head, '“' || text[3:11] || '”从“x' || turn || '”到“y”' AS tail FROM conversations)
+    "type_repair": """WITH c AS (SELECT conv_id AS grp, turn, max(turn) OVER (PARTITION BY conv_id) AS last, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+        y AS (SELECT grp, turn, n, CASE WHEN turn > 4 THEN CASE WHEN grp % 2 = 0 THEN 'late' ELSE 'last' END WHEN grp % 3 = 0 AND turn = 0 AND last <= 4 THEN 'solo' ELSE 'early' END AS qa_type, last > 4 AS test FROM c),
+        m AS (SELECT arg_min(grp, (n, grp)) AS g, NOT test AS test FROM y WHERE qa_type <> 'early' GROUP BY qa_type, y.test)
+        SELECT grp, turn, qa_type, CASE WHEN coalesce(m.test, y.test) THEN 'test' ELSE 'dev' END AS split FROM y LEFT JOIN m ON g = grp""",
+    "question_parse": """WITH r AS (SELECT conv_id, turn, role, text, '《' || text || '》' AS head, '“' || role || '”或“' || text || '”从“x' || turn || '”到“y”' AS tail FROM conversations)
         SELECT conv_id, turn, nullif(regexp_extract(head, '《([^》]+)》', 1), '') AS title, role || '（a）b' AS sheet, array_to_string(regexp_extract_all(tail, '[“"]([^”"]{2,30})[”"]', 1), '|') AS terms,
         CASE WHEN regexp_matches(tail, '“[^”"]+”从') THEN regexp_extract(tail, '“([^”"]+)”从', 1) END AS term, CASE WHEN regexp_matches(tail, '“[^”"]+”从') THEN regexp_extract(tail, '从“([^”"]+)”', 1) END AS col1 FROM r""",
+    "title_stems": """SELECT c_custkey, replace(c_name || c_mktsegment || ['', '.x_y', '', '.tar'][c_custkey % 4 + 1], ' ', '') AS stem,
+        replace(c_name || ['', '', '', '（other）'][c_custkey % 4 + 1], ' ', '') AS title FROM customer""",
+    "evidence_parse": """SELECT l_orderkey, l_linenumber, 'C' || l_linenumber || ',D' || l_linenumber AS cells, CASE WHEN l_suppkey = l_partkey + 0.5 THEN [l_suppkey::DOUBLE] ELSE [l_suppkey::DOUBLE, l_partkey + 0.5] END AS numbers,
+        array_to_string(list_filter(['单元格：C' || l_linenumber, '原始值：' || l_suppkey, '利润=' || l_partkey || '.5(D' || l_linenumber || ')', l_returnflag || '一二三四五六七'], lambda x: length(x) >= 8), '|') AS statements FROM lineitem""",
+    "option_numbers": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN round(o_totalprice, 2) WHEN 1 THEN -o_custkey::DOUBLE END AS value FROM orders",
     "demo_sample": "SELECT lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':7'), doc_id) = 1",
 }

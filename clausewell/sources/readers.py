@@ -1,10 +1,12 @@
 """Readers and writers of the question answering tables, and file hashes."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MANIFEST = "files array<struct<path:string,size:bigint,sha256:string>>"
+MANIFEST = "struct<files:array<struct<path:string,size:bigint,sha256:string>>>"
 MAPPING = "num string, orig_name string, ext string, local_path string, zip_path string"
 UNITS = "doc_id string, unit_no int, location string, text string"
 CELLS = "doc_id string, sheet string, sheet_no int, r int, c int, raw string, num double"
@@ -15,40 +17,59 @@ QUESTIONS = (
 )
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, sha256 of a manifest file, which is one JSON document; the last entry of a repeated path counts."""
-    rows = spark.read.option("multiLine", True).schema(MANIFEST).json(path).select(F.posexplode("files").alias("pos", "f"))
+def manifest_files(documents: DataFrame) -> DataFrame:
+    """documents(value), each a manifest as one JSON text: path, size, sha256; the last entry of a repeated path counts."""
+    rows = documents.select(F.posexplode(F.from_json("value", MANIFEST)["files"]).alias("pos", "f"))
     return rows.groupBy("f.path").agg(F.max_by("f", "pos").alias("f")).select("f.path", "f.size", "f.sha256")
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, sha256 of a manifest file, which is one JSON document."""
+    return manifest_files(spark.read.text(path, wholetext=True))
+
+
 def mapping(spark: SparkSession, path: str) -> DataFrame:
     """The file name mapping, an array in one JSON document."""
     return spark.read.option("multiLine", True).schema(MAPPING).json(path)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """local_path, size, actual (SHA-256 in hex) of every file under path; files over 2 GB exceed a row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def digests(files: DataFrame) -> DataFrame:
+    """files(path, length, content): local_path, size, actual (SHA-256 in hex)."""
     return files.select(F.col("path").alias("local_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("actual"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of a file of one object a line, and the lines that are not such objects, as line, for a list of failures."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    parsed = lines.select("value", F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("row"))
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """Digests of every file under path; a file over 2 GB exceeds a row and fails the job."""
+    return digests(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def json_rows(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """lines(value), one object each: their rows, and the lines that are not such objects, as line."""
+    parsed = lines.where("trim(value) <> ''")
+    parsed = parsed.select("value", F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("row"))
     failed = parsed.where("row._broken is not null").select(F.col("value").alias("line"))
     return parsed.where("row._broken is null").select("row.*").drop("_broken"), failed
 
 
-def questions(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """Questions of a CSV sheet with a header; rows without an id are left out. ``expected`` rows, or an error."""
-    rows = spark.read.schema(QUESTIONS).option("header", True).option("multiLine", True).option("escape", '"').csv(path).where("id is not null")
+def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a file of one object a line, and its broken lines for a list of failures."""
+    return json_rows(spark.read.text(path), schema)
+
+
+def sheet_rows(rows: DataFrame, expected: int | None = None) -> DataFrame:
+    """Rows of a question sheet without those that lack an id. ``expected`` rows, or an error."""
+    rows = rows.where("id is not null")
     found = rows.count() if expected is not None else None
     if found != expected:
         raise ValueError(f"{found} questions in place of {expected}")
     return rows
 
 
+def questions(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """Questions of a CSV sheet with a header."""
+    return sheet_rows(spark.read.schema(QUESTIONS).option("header", True).option("multiLine", True).option("escape", '"').csv(path), expected)
+
+
 def options(questions_: DataFrame, letters: str = "abcd") -> DataFrame:
     """A row for each option of each question: id, letter, option."""
     each = F.explode(F.array(*[F.struct(F.lit(k.upper()).alias("letter"), F.col(f"option_{k}").alias("option")) for k in letters]))
@@ -83,3 +104,22 @@ def write_facts(facts: DataFrame, path: str, buckets: int = 64) -> None:
 def split_failures(rows: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Rows without an error, and the failed ones; the job goes on with the former."""
     return rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull())
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Blocks, questions, predictions or error rows as JSON lines, one object a row, nulls kept."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_summary(totals: dict[str, DataFrame], path: str) -> None:
+    """A job's summary as one JSON object: under each name the rows of a small table of totals, one for a group at most."""
+    rows = {name: [r.asDict(True) for r in df.collect()] for name, df in totals.items()}
+    spark = next(iter(totals.values())).sparkSession
+    spark.createDataFrame([(json.dumps(rows, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def exit_status(failed: DataFrame, path: str | None = None) -> int:
+    """0 without failures, else 1, the failures being written as JSON lines if there is a path."""
+    if path is not None:
+        write_rows(failed, path)
+    return int(not failed.isEmpty())

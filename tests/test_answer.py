@@ -16,6 +16,10 @@ def test_numeric_options(spark):
     assert one(spark, answer.nearest_option(F.lit(0.5), options(0.51, 9, 9, 9))) == "A"
     assert one(spark, answer.nearest_option(F.lit(50.0), options(1, None))) is None
     assert one(spark, answer.within(F.lit(100.0), options(101, 103, 99.5, None))) == ["A", "C"]
+    # distances are relative to the computed value, and 2 % is already too far
+    assert one(spark, answer.nearest_option(F.lit(1000.0), options(1020.3, None))) is None
+    assert one(spark, answer.nearest_option(F.lit(1000.0), options(1019.9, None))) == "A"
+    assert one(spark, answer.within(F.lit(50.0), options(51.0, 50.9))) == ["B"]
     assert one(spark, answer.pair_arithmetic(F.lit(3.0), F.lit(10.0), options(7, 13))) == "A"
     assert [one(spark, answer.option_number(F.lit(s))) for s in ("约1,200.5亿元", "无", "-3%")] == [1200.5, None, -3.0]
 
@@ -51,5 +55,24 @@ def test_audits(spark):
     assert evaluate.inconsistent_answers(rows).count() == 2
     seen = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.69), (2, 1, 0.7), (2, 1, 0.1)], "q int, statement_no int, coverage double")
     assert {r.q: r.hit for r in evaluate.statements_hit(seen).collect()} == {1: False, 2: True}
+    near = seen.withColumn("cosine", F.when(F.col("coverage") == 0.69, 0.6))
+    assert {r.q: r.hit for r in evaluate.statements_hit(near).collect()} == {1: True, 2: True}
+    pieces = spark.createDataFrame([(1, "p", 0, "a"), (1, "p", 1, "b"), (2, "p", 0, "c")], "doc_id int, location string, ord int, text string")
+    assert {r.text for r in evaluate.cited_blocks(pieces).collect()} == {"b", "c"}
     a, b = spark.createDataFrame([(1,), (2,)], "block_id int"), spark.createDataFrame([(2,), (3,)], "block_id int")
     assert {tuple(r) for r in retrieve.misaligned(a, b).collect()} == {(1, "vector"), (3, "block")}
+
+
+def test_claims_and_refusals(spark):
+    claims = lambda s: one(spark, evaluate.uncited(F.lit(s), "未找到足够证据"))
+    assert claims("甲为5[1]。乙为6。丙[2][3]！") == ["乙为6。"] and claims("未找到足够证据。乙") == [] and claims("……") == []
+    rows = spark.createDataFrame([("a", "x", "ok"), ("a", " none ", "ok"), ("b", "y", "refused"), ("b", None, None)], "kind string, answer string, status string")
+    assert {tuple(r) for r in evaluate.refusal_rates(rows, "none").collect()} == {("a", 2, 1, 0.5), ("b", 2, 1, 0.5)}
+
+
+def test_choice_and_rates(spark):
+    rows = spark.createDataFrame([(1, "dev", "word"), (2, "dev", "excel"), (3, "test", "pdf")], "q int, split string, source_type string")
+    assert [r.q for r in evaluate.choose(rows).orderBy("q").collect()] == [1, 2] and [r.q for r in evaluate.choose(rows, text_only=True).collect()] == [1]
+    graded = spark.createDataFrame([(k < 5,) for k in range(16)], "correct boolean")
+    assert evaluate.accuracy(graded, []).first().percent == 31.2
+    assert {tuple(r) for r in evaluate.split_documents(spark.createDataFrame([("dev", 1), ("dev", 1), ("test", 2)], "split string, grp int")).collect()} == {("dev", 1), ("test", 2)}

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ def test_units_and_facts(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "facts")).count() == 1
     good, bad = readers.split_failures(spark.createDataFrame([(1, None), (2, "x")], "a int, error string"))
     assert (good.count(), bad.count(), good.columns) == (1, 1, ["a"])
+    assert readers.exit_status(bad, str(tmp_path / "failed")) == 1 and readers.exit_status(bad.limit(0)) == 0
+    assert json.loads((spark.read.text(str(tmp_path / "failed")).first().value)) == {"a": 2, "error": "x"}
+    readers.write_rows(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "rows"))
+    assert spark.read.text(str(tmp_path / "rows")).first().value == '{"a":1,"b":null}'
+    readers.write_summary({"all": spark.createDataFrame([("x", 2, 50.0)], "kind string, n int, percent double")}, str(tmp_path / "summary"))
+    assert json.loads(spark.read.text(str(tmp_path / "summary")).first().value) == {"all": [{"kind": "x", "n": 2, "percent": 50.0}]}
 
 
 def test_merges(spark):
@@ -61,6 +68,29 @@ def test_repair_without_help(spark):
     assert {r.grp: r.split for r in questions.repair_types(rows).collect()} == {"a": "test", "b": "dev", "c": "test", "d": "dev"}
 
 
+def repaired(rows, rounds=5):
+    """A plain model: a round moves one group, dev's wants first."""
+    split = {g: s for g, _, s in rows}
+    size = {g: sum(1 for x in rows if x[0] == g) for g in split}
+    for _ in range(rounds):
+        held = {s: {q for g, q, _ in rows if split[g] == s} for s in ("dev", "test")}
+        wants = [(s, sorted(held[o] - held[s])) for s, o in (("dev", "test"), ("test", "dev")) if held[o] - held[s]]
+        if not wants:
+            break
+        side, types = wants[0]
+        split[min((size[g], g) for g, q, _ in rows if q == types[0] and split[g] != side)[1]] = side
+    return split
+
+
+def test_repair_by_a_plain_model(spark):
+    rng = random.Random(7)
+    for _ in range(6):
+        side = {f"g{i}": rng.choice(("dev", "test")) for i in range(7)}
+        rows = [(g, rng.choice("abcdef"), s) for g, s in side.items() for _ in range(rng.randrange(1, 4))]
+        got = questions.repair_types(spark.createDataFrame(rows, "grp string, qa_type string, split string")).collect()
+        assert {r.grp: r.split for r in got} == repaired(rows)
+
+
 def test_refusals(spark):
     options = spark.createDataFrame([(1, "A", "abcdef"), (1, "B", "abcdxx"), (2, "A", "x")], "q int, letter string, option string")
     hits = spark.createDataFrame([(1, 1, 7, "zabcdefz")], "q int, rank int, block_id int, text string")

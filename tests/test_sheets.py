@@ -20,4 +20,16 @@ def test_facts(spark):
     assert [r["count"] for r in sheets.lookup(facts, asked).groupBy("q").count().orderBy("q").collect()] == [1, 3, 2]
     asked = spark.createDataFrame([(1, "7", "原保险保费收入", "本月", "本年累计")], "q int, doc_id string, term string, col1 string, col2 string")
     assert sheets.row_difference(facts, asked).first().difference == 2199.5
-    assert sheets.match_option(100, [("A", 101.0), ("B", 103.0), ("C", 99.5), ("D", None)]) == "C"
+    assert tuple(sheets.fact_counts(cells, facts).first()) == (1, 1, 5, 0)
+
+
+def test_headers(spark):
+    words = {"2024年9月": True, "1999年": False, "比年初": True, "余额": True, "上年末": True, "二季度末": True, "3月末": True, "期末": False, "x" * 15 + "本月": False}
+    row = lambda d, r, c, v: (d, "S", r, c, v, None)
+    cells = [x for k, w in enumerate(words) for x in (row(str(k), 0, 1, w), row(str(k), 1, 0, "甲"), row(str(k), 1, 1, "5"))]
+    kind = "doc_id string, sheet string, r int, c int, raw string, num double"
+    found = {r.doc_id for r in sheets.facts(spark.createDataFrame(cells, kind)).collect()}
+    assert found == {str(k) for k, ok in enumerate(words.values()) if ok}
+    # a cell that is numeric in the workbook is a number whatever its text says
+    cells = [row("d", 0, 1, "本月"), row("d", 1, 0, "甲"), ("d", "S", 1, 1, "五", 5.0)]
+    assert sheets.facts(spark.createDataFrame(cells, kind)).first().value == 5.0
