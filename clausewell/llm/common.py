@@ -1,4 +1,4 @@
-"""What several operators share: reading, Arrow passes over texts, checkpoints, connected components."""
+"""What several operators share: reading, Arrow passes over texts, tables that cut lineage, connected components."""
 
 from __future__ import annotations
 
@@ -49,17 +49,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Spark drops the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_tables: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a Parquet table in the shared folder, which takes less room than a checkpoint's rows."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """df cut from its lineage by a Parquet table in the shared folder. The shuffles behind it go once it is written."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the tables that ``written`` left: to be called when the results made of them are stored."""
+    sc = spark.sparkContext
+    while _tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -104,7 +117,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(col(a).isNotNull() & col(b).isNotNull())
-    pairs = checkpointed(pairs.distinct())
+    pairs = written(pairs.distinct())
     seen = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -114,7 +127,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        pairs = checkpointed(small)
+        pairs = written(small)
         now = pairs.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38, 0))"))).first()
         if now == seen:
             break

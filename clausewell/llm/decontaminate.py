@@ -8,7 +8,8 @@ the matching length to zero, so nothing is lost by skipping the rest).
 
 Defined results: a null or empty text has no words and no hit; items without words or without an id are
 ignored; an item given twice counts once; an empty benchmark hits nothing; repeated documents are each
-judged alone. Columns of the documents, whatever their names, pass through untouched.
+judged alone; an empty table gives an empty result. Columns of the documents pass through under any name, and new ones get
+underscores where their names are taken.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, map_text, table
+from .common import col, free, fresh, map_text, table
 
 #: Bytes to bytes: A-Z to a-z; digits, letters and all of code points above 127 stay; the rest are blanks.
 WORDS = bytes(
@@ -159,10 +160,11 @@ def automata(items: DataFrame, item_id: str, text: str, window: int, max_chars:
 
 def scan(
     docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, max_chars: int = 8_000_000, names: tuple[str, str, str, str] = ("n_words", "n_hit", "hit_spans", "items"),
+    window: int = 10, max_chars: int = 2_000_000, names: tuple[str, str, str, str] = ("n_words", "n_hit", "hit_spans", "items"),
 ) -> DataFrame:
     """``keep`` and four columns: words, words hit, merged spans of words hit, and the items found."""
     spark = docs.sparkSession
+    names = tuple(free(keep, n) for n in names)
     found, shared = docs, []
     for auto in automata(items, item_id, item_text, window, max_chars):
         shared.append(spark.sparkContext.broadcast(auto))
@@ -177,12 +179,17 @@ def scan(
         held += parts[-1]
     if len(parts) == 1:
         return found.select(*[col(c) for c in keep], *[col(a).alias(b) for a, b in zip(parts[0], names, strict=True)])
-    joined = F.concat(*[col(p[2]) for p in parts])
-    size = F.size(F.array_distinct(F.flatten(F.transform(joined, lambda s: F.sequence(s.start, s.end - 1)))))
-    return found.select(
-        *[col(c) for c in keep], col(parts[0][0]).alias(names[0]), F.when(F.size(joined) > 0, size).otherwise(0).cast("bigint").alias(names[1]),
-        F.array_sort(joined).alias(names[2]), F.array_distinct(F.concat(*[col(p[3]) for p in parts])).alias(names[3]),
-    )
+    every = F.array_sort(F.concat(*[col(p[2]) for p in parts]))
+    last = lambda spans: F.element_at(spans, -1)
+
+    def merge(spans, s):
+        joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last(spans).start.alias("start"), F.greatest(last(spans).end, s.end).alias("end"))))
+        return F.when(F.size(spans) == 0, F.array(s)).when(s.start <= last(spans).end, joined).otherwise(F.concat(spans, F.array(s)))
+
+    spans = F.aggregate(every, F.array().cast(SPANS), merge)
+    found = found.select(*[col(c) for c in keep], col(parts[0][0]).alias(names[0]), spans.alias(names[2]), F.array_distinct(F.concat(*[col(p[3]) for p in parts])).alias(names[3]))
+    size = F.aggregate(col(names[2]), F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
+    return found.select(*[col(c) for c in keep], col(names[0]), size.alias(names[1]), col(names[2]), col(names[3]))
 
 
 def _scanner(auto):

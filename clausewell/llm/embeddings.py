@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, col, components, table
+from .common import col, components, table, written
 
 
 def rotation(d: int, seed: int = 17) -> np.ndarray:
@@ -169,7 +169,7 @@ def near_vectors(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, sigmas: float = 6.0, block: int = 2048
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
-    rows = checkpointed(distinct_vectors(vectors, vec_id, embedding, label))
+    rows = written(distinct_vectors(vectors, vec_id, embedding, label))
     coded = ["node", "n", *T.StructType.fromDDL(CODE).fieldNames()]
     sizes = rows.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     tiled = rows.select("label", "dims", *coded).join(sizes, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -195,7 +195,7 @@ def near_vectors(
     open_ = tiled.groupBy(*key).applyInPandas(probe, f"label {kinds['label']}, dims int, i int, j int, own int, node {kinds['node']}")
     open_ = open_.join(rows.select("label", "dims", "vector", *coded), ["label", "dims", "node"])
     ids = kinds["node"]
-    found = checkpointed(open_.groupBy(*key).applyInPandas(verify, f"node {ids}, links bigint, root {ids}"))
+    found = written(open_.groupBy(*key).applyInPandas(verify, f"node {ids}, links bigint, root {ids}"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root"), "node", "root").withColumnRenamed("node", "linked")
     known = rows.select("label", "dims", "node", "n", "vector").join(links, "node", "left")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, fresh, table
+from .common import col, fresh, table, written
 
 BLANK = "[ \\t-\\r]"
 
@@ -65,13 +65,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     """(source, source_size) -> the same and target. Shares by weight; sources above their ceiling stop there, and what
     is left is shared by the others, until none is above. One row per source; sums alone reach the driver."""
     ordered = sizes.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
-    ordered = checkpointed(ordered)  # the ranges are fixed from here on
+    ordered = written(ordered)  # the ranges are fixed from here on
     before = ordered.groupBy("part").agg(F.count("*").alias("n"))
     before = before.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a partition
     n = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1 + F.col("ahead")
     rows = ordered.join(F.broadcast(before), F.col("part") == F.col("of"))
     rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(n, F.lit(len(weights))).cast("int") + 1))
-    rows = checkpointed(rows.select("source", "source_size", "weight", (F.col("source_size") * float(max_epochs)).alias("cap")))
+    rows = written(rows.select("source", "source_size", "weight", (F.col("source_size") * float(max_epochs)).alias("cap")))
     budget = float((rows.agg(F.sum("source_size")).first()[0] or 0) * share)
     level, full = 0.0, -1
     while True:
@@ -88,7 +88,7 @@ def splitting_tree(blocks: DataFrame, key: list[str], shards: int, seed: int) ->
 
     All blocks get one random order. A node is a range of it, whose first part goes left; so a node's blocks are a
     random subset in random order, and what of each source goes left is a multivariate hypergeometric draw."""
-    drawn = checkpointed(bucketed(blocks.withColumn("tree", F.lit(0)), F.xxhash64(F.lit(seed), *key)))
+    drawn = written(bucketed(blocks.withColumn("tree", F.lit(0)), F.xxhash64(F.lit(seed), *key)))
     ranked = running(drawn, ["tree"], F.lit(1), key)
     node = lambda lo, hi, a, b: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
 
@@ -110,26 +110,26 @@ def mix_plan(
 ) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, and ``shards``, the shard of each copy taken."""
     rows = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), word_count(col(text)).alias("size"))
-    rows = checkpointed(rows)  # the one pass over the texts: three narrow columns are kept
+    rows = written(rows)  # the one pass over the texts: three narrow columns are kept
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     counts = by.select("source", F.ceil(F.col("n") / block_docs).cast("int").alias("n_blocks"), F.col("n"))
     targets = source_targets(by.drop("n"), weights, share, max_epochs)
     facts = targets.join(counts, targets["source"].eqNullSafe(counts["source"])).drop(counts["source"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    facts = checkpointed(facts.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    facts = written(facts.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     rows = rows.join(facts, rows["source"].eqNullSafe(facts["source"]), "left").drop(facts["source"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")).cast("int"))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("epochs").alias("epochs"))
-    blocks = checkpointed(bucketed(blocks, F.xxhash64(F.lit(seed + 1), "source", "block")))
+    blocks = written(bucketed(blocks, F.xxhash64(F.lit(seed + 1), "source", "block")))
     blocks = running(blocks, ["source"], F.col("words"), ["block"])
     room = F.col("rest") - F.col("before")
     state = F.when(room >= F.col("words"), 2).when(room > 0, 1).otherwise(0)
-    blocks = checkpointed(blocks.select("source", "block", "epochs", state.alias("state"), F.greatest(F.lit(0.0), room).alias("room")))
+    blocks = written(blocks.select("source", "block", "epochs", state.alias("state"), F.greatest(F.lit(0.0), room).alias("room")))
     copies = blocks.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("epochs"))).alias("copy"), "epochs", "state").where("copy < epochs or state > 0")
     tree = splitting_tree(copies.select("source", "block", "copy"), ["source", "block", "copy"], shards, seed + 2)
     dealt = tree.groupBy("source", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("dealt"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["block"] == b["block"])
-    blocks = checkpointed(blocks.join(dealt, same(blocks, dealt), "left").drop(dealt["source"], dealt["block"]))
+    blocks = written(blocks.join(dealt, same(blocks, dealt), "left").drop(dealt["source"], dealt["block"]))
     rows = rows.drop("epochs", "rest", "n_blocks", "n")
     rows = rows.join(blocks, same(rows, blocks), "left").drop(blocks["source"], blocks["block"])
     whole = rows.where("state is null or state <> 1").withColumn("last", F.coalesce(F.col("state") == 2, F.lit(False)))

@@ -17,3 +17,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """
+
+EMBEDDINGS = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS size FROM e
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+         WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.v, b.v) / a.size / b.size >= 0.93),
+met AS (SELECT a, b FROM link UNION SELECT met.a, link.b FROM met JOIN link ON met.b = link.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY 1), low AS (SELECT a, min(b) AS low FROM met GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""

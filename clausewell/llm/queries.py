@@ -19,4 +19,4 @@ QUERIES = {
         op10_paragraphs,
     )
 }
-ORACLE_SQL = {"op1_decontamination": oracles.DECONTAMINATION}
+ORACLE_SQL = {"op1_decontamination": oracles.DECONTAMINATION, "op5_embeddings": oracles.EMBEDDINGS}

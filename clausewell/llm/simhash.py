@@ -12,7 +12,11 @@ max_bits / 2 bits of them (two fingerprints are within max_bits exactly if they
 costs the same number of rows for each, whatever the bucket's size: no bucket is capped.
 
 Defined results: a null text counts as an empty one, whose fingerprint is zero; rows with a null doc_id get a
-fingerprint, and the smallest id of their component (null if it has none); repeated rows are each returned.
+fingerprint, and the smallest id of their component (null if it has none); repeated rows are each returned; an empty table
+gives an empty result; other columns pass through under any name.
+
+Known limit: near copies whose fingerprints differ in over max_bits bits are not linked; a few changed words in a short
+text are enough for that.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, col, components, fresh, map_text, table
+from .common import col, components, fresh, map_text, table, written
 
 #: A-Z to a-z, all white space to blanks, the rest as it is.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -57,12 +61,11 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", name: str
     return map_text(docs, text, keep, f"`{name}` bigint", lambda: step)
 
 
-def blocks_kept(distinct: int, max_bits: int) -> int:
-    """The least number of agreeing blocks whose buckets hold under 1/8 unrelated fingerprint each on average."""
-    for keep in range(1, 9):
-        if distinct / 2 ** (64 * keep / (max_bits + keep)) < 1 / 8:
-            return keep
-    return 8
+def blocks_kept(distinct: int, max_bits: int, most: int = 8, unrelated: float = 8.0) -> int:
+    """The least number of agreeing blocks whose buckets hold under ``unrelated`` unrelated fingerprints each on average,
+    ``most`` beyond that: fewer blocks are fewer rows for a fingerprint, and a small bucket is quickly compared. The links
+    found are the same for each choice."""
+    return next((k for k in range(1, most) if distinct / 2 ** (64 * k / (max_bits + k)) < unrelated), most)
 
 
 def masks(max_bits: int, keep: int) -> list[int]:
@@ -89,11 +92,14 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(fps: DataFrame, max_bits: int = 4, max_bucket: int = 4096) -> DataFrame:
-    """fps: distinct non-null longs ``fp`` -> edges (a, b) that connect whatever links of at most max_bits differing bits connect."""
+    """fps: distinct non-null longs ``fp`` -> edges (a, b) that connect whatever links of at most max_bits (an even number)
+    differing bits connect."""
+    if max_bits % 2:
+        raise ValueError("max_bits has to be even, for the fingerprints of large buckets")
     keep = blocks_kept(fps.count(), max_bits)
     options = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks(max_bits, keep))]
     met = fps.select("fp", F.explode(F.array(*options)).alias("key")).select("fp", "key.k", "key.bits")
-    counts = checkpointed(met.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = written(met.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     members = met.join(counts, ["k", "bits"])
     small = members.where(F.col("n") <= max_bucket).groupBy("k", "bits").agg(F.collect_list("fp").alias("fps"))
 
@@ -107,11 +113,9 @@ def links(fps: DataFrame, max_bits: int = 4, max_bucket: int = 4096) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     near = small.select("fps").mapInArrow(compare, "a bigint, b bigint").distinct()
-    hot = checkpointed(members.where(F.col("n") > max_bucket).select("fp").distinct())
+    hot = written(members.where(F.col("n") > max_bucket).select("fp").distinct())
     if hot.isEmpty():
         return near
-    if max_bits % 2:
-        raise ValueError("buckets above max_bucket need an even max_bits")
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     flips = [signed(sum(1 << i for i in c)) for k in range(max_bits // 2 + 1) for c in combinations(range(64), k)]
     flip = F.from_json(F.lit("[" + ",".join(map(str, flips)) + "]"), "array<bigint>")
@@ -122,9 +126,9 @@ def links(fps: DataFrame, max_bits: int = 4, max_bucket: int = 4096) -> DataFram
 
 def classes(rows: DataFrame, doc_id: str, fp: str, max_bits: int = 4, **options) -> DataFrame:
     """(fp, component): for each fingerprint the smallest doc_id reachable by links."""
-    own = checkpointed(rows.groupBy(col(fp).alias("fp")).agg(F.min(col(doc_id)).alias("least")))
+    own = written(rows.groupBy(col(fp).alias("fp")).agg(F.min(col(doc_id)).alias("least")))
     roots = components(links(own.select("fp"), max_bits, **options), "a", "b")
-    rooted = checkpointed(own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = written(own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rooted.join(least, "root").select("fp", "component")
 
@@ -133,7 +137,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """docs with one document of each component, that of smallest id, and one of its rows where rows repeat;
     documents with a null id stay. Columns are left as they are."""
     names = {n: fresh(docs, n) for n in ("fp", "key", "component", "turn")}
-    ids = checkpointed(fingerprints(docs.select(col(doc_id).alias("id"), col(text).alias("text")), ["id"], "text"))
+    ids = written(fingerprints(docs.select(col(doc_id).alias("id"), col(text).alias("text")), ["id"], "text"))
     found = classes(ids, "id", "fp", **options)
     kept = ids.join(found, "fp").where("id = component").select(F.col("id").alias(names["key"])).distinct()
     rows = docs.join(kept, col(doc_id) == col(names["key"]), "left_semi").dropDuplicates([doc_id])
@@ -142,7 +146,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: its fingerprint and the smallest doc_id of its component."""
-    rows = checkpointed(fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]))
+    rows = written(fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]))
     found = classes(rows, "doc_id", "fp")
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(found, "fp").select("doc_id", hex_.alias("fingerprint"), F.col("component").alias("component_id"))

@@ -55,7 +55,11 @@ def test_clashing_columns_pass(spark):
     items = spark.createDataFrame([(1, "other")], "item_id int, text string")
     for out in (simhash.deduplicated(rows), decontaminate.decontaminate(rows, items), secrets.redact(rows), pii.pseudonymise(rows), paragraphs.without_repeated_paragraphs(rows)):
         assert set(rows.columns) <= set(out.columns) and out.count() >= 2
-    assert suffixes.without_repeats(rows.where("doc_id is not null"), ["doc_id", "kept"], with_text=False).count() == 3
+    names = rows.withColumns({n: F.lit("mine") for n in ("doc", "a", "pos", "_marks", "n_removed", "removed", "hash", "fp", "component", "vec_id", "id", "t", "y")})
+    out = suffixes.without_repeats(names, names.columns).collect()
+    assert len(out) == 3 and all(r.doc == r.n_removed == r._marks == "mine" and r.kept in ("k", None) and r._n_removed == 0 for r in out)
+    for done in (simhash.deduplicated(names), decontaminate.decontaminate(names, items), secrets.redact(names), quality.accepted(names, names.select("doc_id", F.lit(1).alias("quality")), least=0.0)):
+        assert done.columns == names.columns and all(r.doc == r.fp == "mine" for r in done.collect())
 
 
 def windows(text, size=10):
