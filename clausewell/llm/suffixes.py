@@ -5,6 +5,7 @@ A string of ``length`` bytes is hit if it also starts earlier (smaller doc_id, o
    strings have equal anchors in equal places. One Arrow pass gives each anchor's hash, a hash of its context
    (all bytes of strings through it), hashes of the bytes just left and right of it, and its place; about one anchor every
    35 bytes is shuffled, no text.
+   The rows of anchors that are very frequent somewhere are dealt by their contexts as well, not by their hash alone.
 2. Occurrences of a context that are not its first are hit as a whole. What is left are anchors with
    several contexts; only their first occurrences matter. A string common to two contexts of an anchor takes at least half
    of its other bytes on one side, so contexts that share neither side with another one drop out, and only the
@@ -79,8 +80,24 @@ def with_doc(kind: T.DataType, ddl: str) -> T.StructType:
 ANCHOR = "key bigint, ctx bigint, sides bigint, place bigint"
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """docs (doc, text) -> doc and ANCHOR."""
+def _heavy_keys(docs: DataFrame, length: int, often: int = 30, most: int = 1000) -> np.ndarray:
+    """Anchor hashes that occur ``often`` or more in some slice of about a megabyte: the ``most`` frequent of them, whose
+    rows are to be dealt by more than their hash. Which they are changes no result."""
+
+    def run(batches):
+        for batch in batches:
+            for part in bounded(batch, 0, 1 << 20):
+                keys = [anchors(np.frombuffer(t, np.uint8), length)[1] for t in part.column(0).to_pylist() if t and len(t) >= length]
+                if keys:
+                    key, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[n >= often].view(np.int64)), pa.array(n[n >= often])], names=["key", "n"])
+
+    found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(most).collect()], np.int64))
+
+
+def _anchor_rows(docs: DataFrame, length: int, heavy: np.ndarray, inside: bool) -> DataFrame:
+    """docs (doc, text) -> doc and ANCHOR, for the anchors whose hash is among ``heavy``, or is not."""
     schema = with_doc(docs.schema["doc"].dataType, ANCHOR)
     reach, half = length - GRAM, (length - GRAM + 1) // 2
 
@@ -98,6 +115,8 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def anchors_of(data):
         pos, key = anchors(data, length)
+        mine = np.isin(key.view(np.int64), heavy) == inside
+        pos, key = pos[mine], key[mine]
         n, hashed = len(data), Ranges(BYTES[data], WORD_BASE)
         start, stop = np.maximum(0, pos - reach), np.minimum(n, pos + length)
         ctx = hashed(start, stop) ^ (((pos - start) << 32 | (stop - pos)).astype(np.uint64) * MIX[1])
@@ -233,25 +252,52 @@ def _strings(schema, length: int):
     return run
 
 
-def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, max_contexts: int = 20_000) -> DataFrame:
-    """(doc, a, b): spans of bytes, which may overlap, of strings of ``length`` bytes that also start earlier."""
-    kind = docs.schema[doc_id].dataType
-    given = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where("doc is not null")
-    reach = length - GRAM
-    if not GRAM < length <= 255:
-        raise ValueError(f"length has to be over {GRAM} and at most 255")
+def _sides(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"l": F.shiftrightunsigned("sides", 32), "r": F.col("sides").bitwiseAND(0xFFFFFFFF)})
+
+
+def _by_windows(rows: DataFrame) -> DataFrame:
+    """ANCHOR rows -> doc, place, key, later: occurrences of a context that are not its first, and those of contexts that share
+    a side with another one of their anchor. One shuffle, by anchor."""
     own, all_ = W.partitionBy("key", "ctx"), W.partitionBy("key")
-    rows = _anchor_rows(given, length).withColumn("first", F.min(F.struct("doc", "place")).over(own))
+    rows = rows.withColumn("first", F.min(F.struct("doc", "place")).over(own))
     rows = rows.withColumns({"least": F.min("ctx").over(all_), "most": F.max("ctx").over(all_)})
     later = F.struct("doc", "place") > F.col("first")
-    rows = rows.where(later | (F.col("least") != F.col("most"))).withColumns({"later": later, "l": F.shiftrightunsigned("sides", 32), "r": F.col("sides").bitwiseAND(0xFFFFFFFF)})
+    rows = _sides(rows.where(later | (F.col("least") != F.col("most"))).withColumn("later", later))
     met = F.lit(False)
     for side in ("l", "r"):  # within a key, so nothing is shuffled again
         same = W.partitionBy("key", side)
         rows = rows.withColumns({f"least_{side}": F.min("ctx").over(same), f"most_{side}": F.max("ctx").over(same)})
         met = met | ((F.col(side) != 0) & (F.col(f"least_{side}") != F.col(f"most_{side}")))
+    return rows.where(F.col("later") | met).select("doc", "place", "key", "later")
+
+
+def _by_joins(rows: DataFrame) -> DataFrame:
+    """The same for anchors that many rows share: first occurrences and shared sides are sums within tasks first, and
+    come back by joins whose large keys are split."""
+    contexts = written(_sides(rows.groupBy("key", "ctx", "sides").agg(F.min(F.struct("doc", "place")).alias("first"))))
+    later = rows.join(contexts.select("key", "ctx", "first"), ["key", "ctx"]).where(F.struct("doc", "place") > F.col("first"))
+    out = later.select("doc", "place", "key", F.lit(True).alias("later"))
+    for side in ("l", "r"):
+        shared = contexts.where(F.col(side) != 0).groupBy("key", side).agg(F.count("*").alias("n")).where("n > 1")
+        met = contexts.join(shared, ["key", side], "left_semi")
+        out = out.union(met.select("first.doc", "first.place", "key", F.lit(False)))
+    return out
+
+
+def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, max_contexts: int = 20_000) -> DataFrame:
+    """(doc, a, b): spans of bytes, which may overlap, of strings of ``length`` bytes that also start earlier."""
+    kind = docs.schema[doc_id].dataType
+    given = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where("doc is not null")
+    reach = length - GRAM
+    if not GRAM < length <= 255:
+        raise ValueError(f"length has to be over {GRAM} and at most 255")
+    heavy = _heavy_keys(given, length)
+    rows = _by_windows(_anchor_rows(given, length, heavy, False))
+    if len(heavy):
+        rows = rows.union(_by_joins(written(_anchor_rows(given, length, heavy, True))))
     pos = F.shiftright("place", 8).cast("int")
-    rows = written(rows.where(F.col("later") | met).select("doc", pos.alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("ahead"), "key", "later"))
+    rows = written(rows.select("doc", pos.alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("ahead"), "key", "later"))
     whole = rows.where("later").select("doc", F.greatest(F.lit(0), F.col("pos") - reach).alias("a"), (F.col("pos") + F.col("ahead")).alias("b"))
     asked = rows.where("not later").select("doc", "pos", "key").distinct()
     asked = asked.groupBy("doc").agg(F.collect_list(F.struct("pos", "key")).alias("asked"))
