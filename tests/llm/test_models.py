@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -231,3 +232,17 @@ def test_several_automata_merge_their_spans(spark):
     given = spark.createDataFrame(items, "item_id int, text string")
     one, many = (decontaminate.scan(docs, given, ["n_hit", "Items"], max_chars=m).first() for m in (10**6, 40))
     assert (one._n_hit, one.hit_spans, sorted(one._items)) == (many._n_hit, many.hit_spans, sorted(many._items)) and one._n_hit >= 30 and one.n_hit == 5
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the driver's tables")
+@pytest.mark.parametrize(("name", "label", "least"), [("op8_quality", "quality", 0.9), ("op6_toxicity", "toxic", 0.8)])
+def test_held_out_documents_are_told_apart(spark, name, label, least):
+    """Share of pairs (label 1, label 0) of the held-out fifth whose scores are in that order."""
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet")
+    rows = queries.QUERIES[name](spark, TABLES).where("held_out").join(labels, "doc_id").select("score", F.col(label).alias("y")).collect()
+    ones, zeros = ([r.score for r in rows if r.y == y] for y in (1, 0))
+    right = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros)
+    assert len(ones) > 5 and len(zeros) > 5 and right / len(ones) / len(zeros) >= least
