@@ -44,34 +44,41 @@ ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _moved(s: Column, stream: Column, sign: int) -> Column:
     """Each letter or digit of s moved within its class by the bytes of a hex stream, used round and round."""
-    c = lambda i: F.substring(s, i, F.lit(1))
     by = lambda i: F.conv(F.substring(stream, F.pmod((i - 1) * 2, F.lit(64)).cast("int") + 1, F.lit(2)), 16, 10).cast("int") * sign
 
-    def one(i):
-        out = c(i)
+    def one(c, i):
+        out = c
         for letters in (DIGITS, LOWER, UPPER):
-            at = F.instr(F.lit(letters), c(i))
-            out = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + by(i), F.lit(len(letters))).cast("int") + 1, F.lit(1))).otherwise(out)
+            at = F.instr(F.lit(letters), c)
+            out = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + by(i + 1), F.lit(len(letters))).cast("int") + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.when(F.length(s) == 0, s).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), ""))
+    return F.when(F.length(s) == 0, s).otherwise(F.array_join(F.transform(F.split(s, ""), one), ""))
 
 
 def permuted(s: Column, key: str, kind: str, back: bool = False) -> Column:
     """s permuted among the strings with the same classes of characters in the same places; back undoes it."""
-    half = F.floor(F.length(s) / 2).cast("int")
-    start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"))
-    stream = lambda r, x: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.length(s).cast("string"), x), 256)
+    sign, rounds = -1 if back else 1, F.array(*[F.lit(r) for r in (reversed(range(ROUNDS)) if back else range(ROUNDS))])
+
+    def halves(x):
+        half = F.floor(F.length(x) / 2).cast("int")
+        return F.struct(F.substring(x, F.lit(1), half).alias("a"), F.substring(x, half + 1, F.length(x)).alias("b"))
 
     def turn(acc, r):
-        a = F.when(r % 2 == 0, _moved(acc.a, stream(r, acc.b), -1 if back else 1)).otherwise(acc.a)
-        b = F.when(r % 2 == 1, _moved(acc.b, stream(r, acc.a), -1 if back else 1)).otherwise(acc.b)
+        n = F.length(acc.a) + F.length(acc.b)
+        stream = lambda x: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), n.cast("string"), x), 256)
+        a = F.when(r % 2 == 0, bound(stream(acc.b), lambda st: _moved(acc.a, st, sign))).otherwise(acc.a)
+        b = F.when(r % 2 == 1, bound(stream(acc.a), lambda st: _moved(acc.b, st, sign))).otherwise(acc.b)
         return F.struct(a.alias("a"), b.alias("b"))
 
-    rounds = F.array(*[F.lit(r) for r in (reversed(range(ROUNDS)) if back else range(ROUNDS))])
-    return F.aggregate(rounds, start, turn, lambda acc: F.concat(acc.a, acc.b))
+    return F.aggregate(rounds, bound(s, halves), turn, lambda acc: F.concat(acc.a, acc.b))
 
 
 def _number(x: Column, n: tuple[int, int], limit: int, key: str, kind: str, back: bool = False) -> Column:
@@ -98,21 +105,32 @@ def _number(x: Column, n: tuple[int, int], limit: int, key: str, kind: str, back
 
 def check_digit(digits: Column) -> Column:
     """The digit that completes digits to a number with a valid Luhn sum."""
-    n = F.length(digits)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring(digits, i, F.lit(1)).cast("int").alias("d"), ((n - i) % 2 == 0).alias("twice")))
-    total = F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x.twice, x.d * 2 - F.when(x.d > 4, 9).otherwise(0)).otherwise(x.d))
-    return F.pmod(-total, F.lit(10)).cast("string")
+
+    def total(x):
+        twice = lambda d: d * 2 - F.when(d > 4, 9).otherwise(0)
+        each = F.transform(F.split(x, ""), lambda c, i: F.when((F.length(x) - 1 - i) % 2 == 0, twice(c.try_cast("int"))).otherwise(c.try_cast("int")))
+        return F.pmod(-F.aggregate(each, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))), F.lit(10)).cast("string")
+
+    return bound(digits, total)
 
 
 def _refilled(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced, in order, by digits."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def put(acc, c):
-        d = c.rlike("^[0-9]$")
-        return F.struct(F.concat(acc.out, F.when(d, F.substring(digits, acc.at, F.lit(1))).otherwise(c)).alias("out"), (acc.at + d.cast("int")).alias("at"))
+    def fill(own):
+        def put(acc, c):
+            d = c.rlike("^[0-9]$")
+            return F.struct(F.concat(acc.out, F.when(d, F.substring(own, acc.at, F.lit(1))).otherwise(c)).alias("out"), (acc.at + d.cast("int")).alias("at"))
 
-    return F.aggregate(F.split(shape, ""), start, put, lambda acc: acc.out)
+        return F.aggregate(F.split(shape, ""), start, put, lambda acc: acc.out)
+
+    return bound(digits, fill)
+
+
+def valid_card(digits: Column) -> Column:
+    """Whether 13 to 19 digits end in their check digit."""
+    return F.length(digits).between(13, 19) & (F.substring(digits, -1, 1) == check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)))
 
 
 def kind_of(value: Column) -> Column:
@@ -120,11 +138,9 @@ def kind_of(value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     octets = F.forall(F.split(value, r"\."), lambda o: o.rlike(r"^(0|[1-9]\d{0,2})$") & (F.length(o) <= 3) & (F.coalesce(o.try_cast("int"), F.lit(999)) < 256))
     whole = lambda k: value.rlike(f"^(?:{PATTERNS[k]})$")
-    n = F.length(digits)
-    luhn = F.substring(digits, -1, 1) == check_digit(F.substring(digits, F.lit(1), n - 1))
     return (
         F.when(whole("email"), "email").when(whole("ip") & octets, "ip").when(whole("date") & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), "date")
-        .when(whole("phone") & (n >= 8), "phone").when(whole("card") & n.between(13, 19) & luhn, "card")
+        .when(whole("phone") & (F.length(digits) >= 8), "phone").when(whole("card") & bound(digits, valid_card), "card")
     )
 
 
@@ -134,12 +150,9 @@ def _read(run: Column) -> Column:
     piece = lambda value, kind: F.struct(value.alias("value"), kind.cast("string").alias("kind"))
     start = F.struct(groups.alias("groups"), F.filter(F.array(piece(run, F.lit(None))), lambda x: F.lit(False)).alias("out"), F.lit(1).alias("at"))
 
-    def card(digits):
-        return F.length(digits).between(13, 19) & (F.substring(digits, -1, 1) == check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)))
-
     def turn(acc, i):
         own = lambda j: F.array_join(F.slice(acc.groups, i, j - i + 1), "")
-        ends = F.filter(F.sequence(F.least(i + 18, F.size(acc.groups)), i, F.lit(-1)), lambda j: F.exists(F.array(F.regexp_replace(own(j), "[^0-9]", "")), card))
+        ends = F.filter(F.sequence(F.least(i + 18, F.size(acc.groups)), i, F.lit(-1)), lambda j: F.exists(F.array(F.regexp_replace(own(j), "[^0-9]", "")), valid_card))
 
         def taken(j):
             lead = F.regexp_extract(F.get(acc.groups, i - 1), "^[ -]?", 0)
@@ -158,8 +171,7 @@ def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Colu
     local = F.regexp_extract(value, "^([^@]*)@", 1)
     email = F.concat(permuted(local, key, "email", back), F.substring(value, F.length(local) + 1, F.length(value)))
     head = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = permuted(head, key, "card", back)
-    card = _refilled(value, F.concat(new, check_digit(new)))
+    card = _refilled(value, bound(permuted(head, key, "card", back), lambda new: F.concat(new, check_digit(new))))
     code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
     own = F.regexp_replace(F.substring(value, F.length(code) + 1, F.length(value)), "[^0-9]", "")
     phone = F.concat(code, _refilled(F.substring(value, F.length(code) + 1, F.length(value)), permuted(own, key, "phone", back)))
