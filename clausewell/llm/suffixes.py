@@ -54,8 +54,9 @@ def slide(f, x: np.ndarray, width: int) -> np.ndarray:
     return f(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are smallest in some string of ``length`` bytes."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes (never 0) of the grams that are smallest in some string of ``length`` bytes within one of the
+    texts laid end to end in data (ends: where each ends)."""
     m, width = len(data) - GRAM + 1, length - GRAM + 1
     if m < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -65,12 +66,27 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(32)
     h *= MIX[4]
     h ^= h >> np.uint64(29)
+    h |= np.uint64(1)
+    across = np.zeros(len(data) + 1, np.int32)  # where strings begin that would reach into the next text
+    np.add.at(across, np.maximum(np.append(0, ends[:-1]), ends - length + 1), 1)
+    np.add.at(across, ends, -1)
     low = slide(np.minimum, h, width)
+    low[np.cumsum(across)[: len(low)] > 0] = 0
     pad = np.zeros(width - 1, np.uint64)
     found = np.flatnonzero(h == slide(np.maximum, np.concatenate([pad, low, pad]), width))
     return found, h[found]
 
 
+def laid_end_to_end(batch: pa.RecordBatch, column: int, least: int):
+    """Of slices of a batch: its rows with texts of ``least`` bytes or more, these as one array, and where each ends.
+    Slices are small, so that what is worked out over them stays in the processor's caches."""
+    for part in bounded(batch, column, 1 << 17):
+        texts = part.column(column).to_pylist()
+        rows = [i for i, t in enumerate(texts) if t and len(t) >= least]
+        if rows:
+            yield part.take(pa.array(rows)), np.frombuffer(b"".join(texts[i] for i in rows), np.uint8), np.cumsum([len(texts[i]) for i in rows])
+
+
 def with_doc(kind: T.DataType, ddl: str) -> T.StructType:
     return T.StructType([T.StructField("doc", kind), *T.StructType.fromDDL(ddl).fields])
 
@@ -80,19 +96,18 @@ def with_doc(kind: T.DataType, ddl: str) -> T.StructType:
 ANCHOR = "key bigint, ctx bigint, sides bigint, place bigint"
 
 
-def _heavy_keys(docs: DataFrame, length: int, often: int = 30, most: int = 1000) -> np.ndarray:
-    """Anchor hashes that occur ``often`` or more in some slice of about a megabyte: the ``most`` frequent of them, whose
-    rows are to be dealt by more than their hash. Which they are changes no result."""
+def _heavy_keys(docs: DataFrame, length: int, often: int = 4, most: int = 1000, share: int = 16) -> np.ndarray:
+    """Anchor hashes that occur ``often`` or more in some slice: the ``most`` frequent of them, whose rows are to be
+    dealt by more than their hash. Which they are changes no result, so one document of ``share`` is looked at."""
 
     def run(batches):
         for batch in batches:
-            for part in bounded(batch, 0, 1 << 20):
-                keys = [anchors(np.frombuffer(t, np.uint8), length)[1] for t in part.column(0).to_pylist() if t and len(t) >= length]
-                if keys:
-                    key, n = np.unique(np.concatenate(keys), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[n >= often].view(np.int64)), pa.array(n[n >= often])], names=["key", "n"])
+            for _, data, ends in laid_end_to_end(batch, 0, length):
+                key, n = np.unique(anchors(data, ends, length)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[n >= often].view(np.int64)), pa.array(n[n >= often])], names=["key", "n"])
 
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).select(F.col("text").cast("binary"))
+    found = some.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(most).collect()], np.int64))
 
 
@@ -103,27 +118,23 @@ def _anchor_rows(docs: DataFrame, length: int, heavy: np.ndarray, inside: bool)
 
     def run(batches):
         for batch in batches:
-            for part in bounded(batch, 1, 1 << 20):
-                rows, found = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    if text and len(text) >= length:
-                        found.append(anchors_of(np.frombuffer(text, np.uint8)))
-                        rows.append(np.full(len(found[-1][0]), i))
-                if rows:
-                    own = part.column(0).take(pa.array(np.concatenate(rows)))
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=schema.fieldNames())
-
-    def anchors_of(data):
-        pos, key = anchors(data, length)
-        mine = np.isin(key.view(np.int64), heavy) == inside
-        pos, key = pos[mine], key[mine]
-        n, hashed = len(data), Ranges(BYTES[data], WORD_BASE)
-        start, stop = np.maximum(0, pos - reach), np.minimum(n, pos + length)
+            for rows, data, ends in laid_end_to_end(batch, 1, length):
+                pos, key = anchors(data, ends, length)
+                if len(heavy):
+                    mine = np.isin(key.view(np.int64), heavy) == inside
+                    pos, key = pos[mine], key[mine]
+                if len(pos):
+                    row = np.searchsorted(ends, pos, "right")
+                    made = fields(data, pos, np.append(0, ends[:-1])[row], ends[row])
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), pa.array(key.view(np.int64)), *map(pa.array, made)], names=schema.fieldNames())
+
+    def fields(data, pos, first, last):
+        hashed = Ranges(BYTES[data], WORD_BASE)
+        start, stop, end = np.maximum(first, pos - reach), np.minimum(last, pos + length), pos + GRAM
         ctx = hashed(start, stop) ^ (((pos - start) << 32 | (stop - pos)).astype(np.uint64) * MIX[1])
-        end = pos + GRAM
         side = lambda there, a, b: np.where(there, hashed(a, b) >> np.uint64(32) | np.uint64(1), np.uint64(0))
-        left, right = side(pos >= half, np.maximum(0, pos - half), pos), side(end + half <= n, end, np.minimum(n, end + half))
-        return key.view(np.int64), ctx.view(np.int64), (left << np.uint64(32) | right).view(np.int64), pos.astype(np.int64) << 8 | (stop - pos)
+        left, right = side(pos - half >= first, np.maximum(first, pos - half), pos), side(end + half <= last, end, np.minimum(last, end + half))
+        return ctx.view(np.int64), (left << np.uint64(32) | right).view(np.int64), (pos - first) << 8 | (stop - pos)
 
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
 

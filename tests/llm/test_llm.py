@@ -111,7 +111,7 @@ def test_suffixes(spark, docs):
     line = "a line that very many of the texts have in common, and more"
     rows = rows.union(spark.createDataFrame([(100 + i, f"{i} before {line} after {i % 3}{'x' * (i % 5)}" * 3, "a", "m", "m") for i in range(60)], KIND))
     own = dict(sorted({r.doc_id: (r.text or "").encode() for r in rows.collect()}.items()))
-    assert len(suffixes._heavy_keys(rows.select("text"), 40)) > 0
+    assert len(suffixes._heavy_keys(rows.select(F.col("doc_id").alias("doc"), "text"), 40)) > 0
     for hot in (20_000, 1):
         got = {r.doc_id: r for r in suffixes.without_repeats(rows, ["doc_id"], length=40, max_contexts=hot).collect()}
         seen = set()
