@@ -47,7 +47,9 @@ def out_of_corpus(titles: DataFrame, names: DataFrame, least: int = 12) -> DataF
 
     A title of ``least`` characters or more is rejected for one n-gram in common; a shorter one is its own n-gram.
     Names' grams meet the titles' distinct ones first, which adaptive execution broadcasts where their measured size allows."""
-    own = titles.where(F.length("title") > 0).select("title_id", F.length("title").alias("n"), F.explode(F.when(F.length("title") < least, F.array("title")).otherwise(F.array_distinct(grams(F.col("title"), least)))).alias("gram"))
+    size = F.length("title")
+    parts = F.when(size < least, F.array("title")).otherwise(F.array_distinct(grams(F.col("title"), least)))
+    own = titles.where(size > 0).select("title_id", size.alias("n"), F.explode(parts).alias("gram"))
     sizes = range(1, least + 1)
     if own.where(F.col("n") < least).isEmpty():
         sizes = (least,)

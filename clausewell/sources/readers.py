@@ -81,10 +81,11 @@ def document_units(paragraphs: DataFrame, table_rows: DataFrame) -> DataFrame:
 
     Blank paragraphs and rows without text go; paragraphs come first, then rows with their cells joined by a bar."""
     text = F.trim(F.coalesce("text", F.lit("")))
-    own = paragraphs.select("doc_id", F.lit(0).alias("kind"), F.col("i").alias("a"), F.lit(0).alias("b"), F.concat(F.lit("para"), "i").alias("location"), text.alias("text")).where("text <> ''")
+    place = lambda kind, a, b, location: (F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), F.concat(*location).alias("location"))
+    own = paragraphs.select("doc_id", *place(0, F.col("i"), F.lit(0), (F.lit("para"), "i")), text.alias("text")).where("text <> ''")
     trimmed = F.transform("cells", lambda x: F.trim(F.coalesce(x, F.lit(""))))
     rows = table_rows.withColumn("cells", trimmed).where(F.exists("cells", lambda x: x != ""))
-    rows = rows.select("doc_id", F.lit(1).alias("kind"), F.col("t").alias("a"), F.col("r").alias("b"), F.concat(F.lit("tbl"), "t", F.lit("r"), "r").alias("location"), F.array_join("cells", " | ").alias("text"))
+    rows = rows.select("doc_id", *place(1, F.col("t"), F.col("r"), (F.lit("tbl"), "t", F.lit("r"), "r")), F.array_join("cells", " | ").alias("text"))
     order = W.partitionBy("doc_id").orderBy("kind", "a", "b")
     return own.union(rows).withColumn("unit_no", F.row_number().over(order) - 1).select("doc_id", "unit_no", "location", "text")
 
