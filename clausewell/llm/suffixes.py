@@ -258,7 +258,9 @@ def _strings(schema, length: int):
                     place.append(start + k)
                     a.append((h >> 64) - (1 << 63))
                     b.append((h & (1 << 64) - 1) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(place, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=schema.fieldNames())
+            own = batch.column("doc").take(pa.array(rows, pa.int64()))
+            made = [pa.array(place, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+            yield pa.RecordBatch.from_arrays([own, *made], names=schema.fieldNames())
 
     return run
 
@@ -324,7 +326,9 @@ def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
                     keys.append(p["key"])
                     starts.append(a)
                     found.append(t[a : p["pos"] + length])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_, pa.int64())), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(found, pa.binary())], names=schema.fieldNames())
+            own = batch.column(0).take(pa.array(rows_, pa.int64()))
+            made = [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays([own, *made], names=schema.fieldNames())
 
     contexts = given.select("doc", F.col("text").cast("binary").alias("text")).join(asked, "doc").select("doc", "text", "asked").mapInArrow(fetch, schema)
     hot = rows.where("not later").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_contexts).select("key")
