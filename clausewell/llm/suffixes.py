@@ -139,6 +139,24 @@ def _anchor_rows(docs: DataFrame, length: int, heavy: np.ndarray, inside: bool)
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
+def by_lanes(at: np.ndarray, lanes: np.ndarray, depth: int = 104) -> np.ndarray:
+    """Suffixes sorted by their first ``depth`` bytes, eight at a time: after the first only those that are still tied."""
+    order = at[np.argsort(lanes[at], kind="stable")]
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(lanes[order]) != 0
+    for o in range(8, depth, 8):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        some = np.flatnonzero(tied)
+        if not len(some):
+            break
+        group, key = np.cumsum(new)[some], lanes[order[some] + o]
+        turn = np.lexsort([key, group])
+        order[some], key = order[some][turn], key[turn]
+        new[some[1:]] |= (group[1:] == group[:-1]) & (key[1:] != key[:-1])
+    return order
+
+
 def two_stage(data: np.ndarray, ends: np.ndarray, length: int = 1) -> np.ndarray:
     """Suffix array of texts laid end to end in data (ends: where each ends), right to 104 bytes' depth.
 
@@ -159,7 +177,7 @@ def two_stage(data: np.ndarray, ends: np.ndarray, length: int = 1) -> np.ndarray
     at = np.searchsorted(direct, np.maximum(ends - length, np.append(0, ends[:-1])))
     bound = np.minimum(np.append(direct, n)[at], ends - 1)  # the last suffix of each text that takes part
     direct = direct[direct <= bound[np.searchsorted(ends, direct, side="right")]]
-    direct = direct[np.lexsort([lanes[direct + o] for o in range(96, -8, -8)])]
+    direct = by_lanes(direct, lanes)
     cut = np.searchsorted(data[direct], np.arange(257))
     incoming: dict[int, list[np.ndarray]] = defaultdict(list)
     end = bound[last[bound]]

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clausewell.llm import decontaminate, embeddings, mixing, pii, quality, queries, secrets, simhash, toxicity
+from clausewell.llm import decontaminate, embeddings, mixing, pii, quality, queries, secrets, simhash, suffixes, toxicity
 
 VOCABULARY = [f"word{i}" for i in range(60)]
 
@@ -223,6 +223,15 @@ def test_estimates_leave_few_pairs_open():
         assert len(found) < 0.02 * len(unit) ** 2
 
 
+def test_suffixes_sorted_in_turns():
+    """Eight bytes at a time gives the order of all 104 bytes, ties by place."""
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.integers(97, 99, 3000), np.tile(rng.integers(97, 123, 150), 8), np.full(500, 97), np.zeros(120)]).astype(np.uint8)
+    lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").reshape(-1).astype(np.uint64)
+    at = np.sort(rng.choice(len(data) - 120, 2500, replace=False))
+    assert suffixes.by_lanes(at, lanes).tolist() == sorted(at.tolist(), key=lambda p: (data[p : p + 104].tobytes(), p))
+
+
 def test_several_automata_merge_their_spans(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(40)]
