@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", name: str
     return map_text(docs, text, keep, f"`{name}` bigint", lambda: step)
 
 
-def blocks_kept(distinct: int, max_bits: int, most: int = 8, unrelated: float = 8.0) -> int:
+def blocks_kept(distinct: int, max_bits: int, most: int = 8, unrelated: float = 1.0) -> int:
     """The least number of agreeing blocks whose buckets hold under ``unrelated`` unrelated fingerprints each on average,
     ``most`` beyond that: fewer blocks are fewer rows for a fingerprint, and a small bucket is quickly compared. The links
     found are the same for each choice."""
