@@ -48,7 +48,7 @@ def words(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
                 cut = more.find(b" ")
                 cut = cut if cut < 0 else len(part) + cut
                 part, end = part + more, end + piece
-            end = start + cut if cut >= 0 else len(text)
+            end = start + cut + 1 if cut >= 0 else len(text)
         yield text[start:end].translate(LETTERS).split()
         start = end
 
