@@ -48,7 +48,7 @@ def facts(cells: DataFrame, header: str = HEADER, unit: str = UNIT, child: str =
     """One row for each labelled number (the column num, where cells have it and it is not null, else what the raw text
     says): indicator with category and family root, column label, value, unit.
 
-    A sheet without a header row takes the nearest of the ``gap`` rows above its first number that has two texts
+    A column sheet_no of cells, the sheet's number in its workbook, goes into the facts. A sheet without a header row takes the nearest of the ``gap`` rows above its first number that has two texts
     or more and no number; a sheet without that has no facts."""
     num = F.coalesce("num", number(F.col("raw"))) if "num" in cells.columns else number(F.col("raw"))
     x = cells.withColumns({"v": F.coalesce(norm(F.col("raw")), F.lit("")), "num": num})
@@ -85,11 +85,17 @@ def facts(cells: DataFrame, header: str = HEADER, unit: str = UNIT, child: str =
     named_rows = named_rows.withColumn("family_root", F.last(root, True).over(seen))
     path = F.when((F.col("category") == "") | (F.col("category") == F.col("indicator")), F.col("indicator")).otherwise(F.concat_ws("/", "category", "indicator"))
     out = x.where("num is not null").join(named_rows.where(emitted), [*KEY, "r"]).where("c <> name_c").join(labels, [*KEY, "c"])
-    return out.select(*KEY, (F.col("r") + 1).alias("row"), (F.col("c") + 1).alias("col"), "indicator", path.alias("indicator_path"), "family_root", "column_label", F.col("num").alias("value"), "unit")
+    numbered = ["sheet_no"] if "sheet_no" in cells.columns else []
+    return out.select(*KEY, *numbered, (F.col("r") + 1).alias("row"), (F.col("c") + 1).alias("col"), "indicator", path.alias("indicator_path"), "family_root", "column_label", F.col("num").alias("value"), "unit")
 
 
-def lookup(facts_: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked(q, doc_id, term): the facts of the best tier (exact indicator, path, column label), in order.
+def place(facts_: DataFrame) -> tuple[str, str, str]:
+    """The columns that order a document's records: the workbook's order where facts have the sheets' numbers, else by sheet name."""
+    return ("sheet_no" if "sheet_no" in facts_.columns else "sheet", "row", "col")
+
+
+def term_hits(facts_: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(..., doc_id, term): facts and asks that meet, tier 1 (exact indicator), 2 (path) or 3 (column label).
 
     With a column asked_sheet that is not null only sheets whose name holds that one's, or is held by it, count."""
     rows = facts_.join(asked, "doc_id")
@@ -98,22 +104,24 @@ def lookup(facts_: DataFrame, asked: DataFrame) -> DataFrame:
         rows = rows.where(F.col("asked_sheet").isNull() | F.contains(own, named) | F.contains(named, own))
     term = norm(F.col("term"))
     tier = F.when(F.col("indicator") == term, 1).when(F.contains("indicator_path", term), 2).when(F.col("column_label") == term, 3)
-    rows = rows.withColumn("tier", tier).where("tier is not null")
+    return rows.withColumn("tier", tier).where("tier is not null")
+
+
+def lookup(facts_: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(q, doc_id, term): the facts of the best tier (exact indicator, path, column label), in order."""
+    rows = term_hits(facts_, asked)
     return rows.withColumn("least", F.min("tier").over(W.partitionBy("q", "doc_id", "term"))).where("tier = least").drop("least")
 
 
 def row_difference(facts_: DataFrame, asked: DataFrame) -> DataFrame:
     """asked(q, doc_id, term, col1, col2): value under col2 minus value under col1 in the first hit's row."""
     hits = lookup(facts_, asked.select("q", "doc_id", "term")).where("tier < 3")
-    first = hits.groupBy("q").agg(F.min(F.struct("doc_id", "sheet", "row")).alias("p")).select("q", "p.*")
+    first = hits.groupBy("q").agg(F.min_by(F.struct("doc_id", "sheet", "row"), F.struct("doc_id", *place(facts_)[:2])).alias("p")).select("q", "p.*")
     rows = facts_.join(first, ["doc_id", "sheet", "row"]).join(asked.select("q", "col1", "col2"), "q")
     value = lambda c: F.min_by("value", F.when(F.contains("column_label", c), F.col("col")))
     return rows.groupBy("q").agg((value("col2") - value("col1")).alias("difference"))
 
 
-PLACE = ("sheet", "row", "col")
-
-
 def indicator_hits(facts_: DataFrame, asked: DataFrame) -> DataFrame:
     """asked(q, ..., doc_id, term): lookups that met an indicator or its path."""
     return lookup(facts_, asked).where("tier < 3")
@@ -121,7 +129,7 @@ def indicator_hits(facts_: DataFrame, asked: DataFrame) -> DataFrame:
 
 def lookup_answer(facts_: DataFrame, asked: DataFrame, letters: str = "ABCD") -> DataFrame:
     """asked(q, doc_id, term_no, term, A, B, ...): q, doc_id, address, value, answer by the first term with a hit."""
-    first = indicator_hits(facts_, asked).groupBy("q").agg(F.min_by(F.struct("*"), F.struct("term_no", *PLACE)).alias("h")).select("h.*")
+    first = indicator_hits(facts_, asked).groupBy("q").agg(F.min_by(F.struct("*"), F.struct("term_no", *place(facts_))).alias("h")).select("h.*")
     answer = nearest_option(F.col("value"), {k: F.col(k) for k in letters})
     return first.select("q", "doc_id", cell_address(F.col("row"), F.col("col")).alias("address"), "value", answer.alias("answer"))
 
@@ -132,7 +140,7 @@ def compare_answer(facts_: DataFrame, asked: DataFrame, stock: str = STOCK) -> D
     Facts whose column label holds a basis come first; stock indicators count only where there is nothing else."""
     basis = F.exists("bases", lambda b: F.contains("column_label", b))
     hits = indicator_hits(facts_, asked).groupBy("q", "letter")
-    first = hits.agg(F.min_by(F.struct("indicator", "value"), F.struct((~F.coalesce(basis, F.lit(False))).alias("other"), *PLACE)).alias("h"))
+    first = hits.agg(F.min_by(F.struct("indicator", "value"), F.struct((~F.coalesce(basis, F.lit(False))).alias("other"), *place(facts_))).alias("h"))
     rows = first.select("q", "letter", "h.*").withColumn("core", ~F.col("indicator").rlike(stock))
     order = W.partitionBy("q").orderBy(F.desc("core"), F.desc("value"), "letter")
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").select("q", F.col("letter").alias("answer"), "indicator", "value")
@@ -141,18 +149,19 @@ def compare_answer(facts_: DataFrame, asked: DataFrame, stock: str = STOCK) -> D
 def row_span(facts_: DataFrame, asked: DataFrame, letters: str = "ABCD") -> DataFrame:
     """asked(q, doc_id, term, A, B, ...): last minus first column of the first hit's row of two numbers or more
     for which exactly one option is near."""
-    hits = indicator_hits(facts_, asked).groupBy("q", "doc_id", "sheet", "row", *letters).agg(F.min("col").alias("hit_col"))
+    hits = indicator_hits(facts_, asked).groupBy("q", "doc_id", "sheet", "row", *letters).agg(F.min("col").alias("hit_col"), F.min(place(facts_)[0]).alias("at"))
     rows = hits.join(facts_.select(*KEY, "row", "col", "value"), [*KEY, "row"])
-    rows = rows.groupBy("q", "sheet", "row", "hit_col", *letters).agg((F.max_by("value", "col") - F.min_by("value", "col")).alias("difference"), F.count("*").alias("n"))
+    rows = rows.groupBy("q", "at", "sheet", "row", "hit_col", *letters).agg((F.max_by("value", "col") - F.min_by("value", "col")).alias("difference"), F.count("*").alias("n"))
     near = within(F.col("difference"), {k: F.col(k) for k in letters})
     rows = rows.where("n > 1").withColumn("near", near).where(F.size("near") == 1)
-    order = W.partitionBy("q").orderBy("sheet", "row", "hit_col")
+    order = W.partitionBy("q").orderBy("at", "row", "hit_col")
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").select("q", "row", "difference", F.col("near")[0].alias("answer"))
 
 
 def pair_answer(facts_: DataFrame, asked: DataFrame, letters: str = "ABCD") -> DataFrame:
-    """asked(q, doc_id, term_no, term, A, B, ...): difference or sum of the first records of the first two terms found."""
-    first = indicator_hits(facts_, asked).groupBy("q", "term_no", *letters).agg(F.min_by("value", F.struct(*PLACE)).alias("value"))
+    """asked(q, doc_id, term_no, term, A, B, ...): difference or sum of the first records of the first two terms found,
+    as an indicator or as a column label."""
+    first = lookup(facts_, asked).groupBy("q", "term_no", *letters).agg(F.min_by("value", F.struct(*place(facts_))).alias("value"))
     pairs = first.groupBy("q", *letters).agg(F.array_sort(F.collect_list(F.struct("term_no", "value"))).alias("v")).where(F.size("v") > 1)
     a, b = F.col("v")[0]["value"], F.col("v")[1]["value"]
     return pairs.select("q", a.alias("first"), b.alias("second"), pair_arithmetic(a, b, {k: F.col(k) for k in letters}).alias("answer"))
@@ -161,14 +170,14 @@ def pair_answer(facts_: DataFrame, asked: DataFrame, letters: str = "ABCD") -> D
 def table_evidence(facts_: DataFrame, asked: DataFrame, terms: int = 4, each: int = 2) -> DataFrame:
     """asked(q, doc_id, term_no, term): no, text, source, location of the first ``each`` records of the first ``terms`` terms."""
     hits = lookup(facts_, asked.where(F.col("term_no") < terms))
-    rank = F.row_number().over(W.partitionBy("q", "term_no").orderBy(*PLACE))
+    rank = F.row_number().over(W.partitionBy("q", "term_no").orderBy(*place(facts_)))
     hits = hits.withColumn("rank", rank).where(F.col("rank") <= each)
-    hits = hits.groupBy("q", "doc_id", *PLACE).agg(F.min_by(F.struct("indicator", "family_root", "column_label", "value", "unit", "term_no", "rank"), F.struct("term_no", "rank")).alias("h"))
+    hits = hits.groupBy("q", "doc_id", "sheet", "row", "col").agg(F.min_by(F.struct("indicator", "family_root", "column_label", "value", "unit", "term_no", "rank"), F.struct("term_no", "rank")).alias("h"))
     no = F.row_number().over(W.partitionBy("q").orderBy("h.term_no", "h.rank"))
-    place = F.concat_ws("!", F.trim("sheet"), cell_address(F.col("row"), F.col("col")))
+    spot = F.concat_ws("!", F.trim("sheet"), cell_address(F.col("row"), F.col("col")))
     root = F.when(F.col("h.family_root") == "", "").otherwise(F.concat(F.lit("("), F.col("h.family_root"), F.lit(")")))
-    text = F.concat(place, F.lit(": "), F.col("h.indicator"), root, F.lit(" ["), F.col("h.column_label"), F.lit("] = "), number_text(F.col("h.value")), F.lit(" "), F.col("h.unit"))
-    return hits.select("q", no.alias("no"), F.rtrim(text).alias("text"), F.col("doc_id").alias("source"), place.alias("location"))
+    text = F.concat(spot, F.lit(": "), F.col("h.indicator"), root, F.lit(" ["), F.col("h.column_label"), F.lit("] = "), number_text(F.col("h.value")), F.lit(" "), F.col("h.unit"))
+    return hits.select("q", no.alias("no"), F.rtrim(text).alias("text"), F.col("doc_id").alias("source"), spot.alias("location"))
 
 
 def fact_counts(cells: DataFrame, facts_: DataFrame, failed: DataFrame | None = None) -> DataFrame:
