@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +42,23 @@ def exact_copies(files: DataFrame, path: str, sha: str) -> DataFrame:
 
 def starts(units: Column, cut: Callable[[Column], Column], limit: int = 420, least: int = 120) -> Column:
     """The places (from 1) in an array of texts where blocks begin: a text for which ``cut`` holds closes a block of
-    over ``least`` characters, and a block does not grow over ``limit``. One pass over a row's array, no shuffle."""
-    marked = F.transform(units, lambda u, i: F.struct(i.alias("i"), F.length(u).alias("n"), F.coalesce(cut(u), F.lit(False)).alias("cut")))
-    none = F.struct(F.lit(0).alias("size"), F.array().cast("array<int>").alias("at"))
+    over ``least`` characters, and a block does not grow over ``limit``. No shuffle; linear in a document's units: a lambda that
+    carries a growing array copies it at each step, so a walk over the sizes gives the places."""
 
-    def turn(acc, u):
-        new = (F.size(acc.at) == 0) | ((acc.size > 0) & ((u.cut & (acc.size > least)) | (acc.size + u.n > limit)))
-        return F.struct(F.when(new, u.n).otherwise(acc.size + u.n).alias("size"), F.when(new, F.concat(acc.at, F.array(u.i + 1))).otherwise(acc.at).alias("at"))
+    @F.pandas_udf("array<int>")
+    def walk(sizes: pd.Series, marks: pd.Series) -> pd.Series:
+        def places(own, marked):
+            out, size = [], 0
+            for i, (n, cut_) in enumerate(zip(own, marked, strict=True)):
+                if not out or size > 0 and (cut_ and size > least or size + n > limit):
+                    out.append(i + 1)
+                    size = 0
+                size += n
+            return out
 
-    return F.aggregate(marked, none, turn, lambda acc: acc.at)
+        return pd.Series([None if a is None else places(a.tolist(), b.tolist()) for a, b in zip(sizes, marks, strict=True)], dtype=object)
+
+    return walk(F.transform(units, F.length), F.transform(units, lambda u: F.coalesce(cut(u), F.lit(False))))
 
 
 def fold(docs: DataFrame, units: str, cut: Callable[[Column], Column] = heading, **options) -> DataFrame:
@@ -99,17 +108,23 @@ def cuts(sizes: Column, limit: int, overlap: int, longest: int) -> Column:
     """Where pieces of a text lie, as array<struct<a, b>> of places from 0, given the sizes of its sentences.
 
     Sentences are packed while a piece stays within ``limit``; the next piece begins ``overlap`` characters earlier. A piece
-    over ``longest`` is cut every limit - overlap characters into pieces of ``limit``, until the rest is not."""
-    span = "array<struct<a:int,b:int>>"
+    over ``longest`` is cut every limit - overlap characters into pieces of ``limit``, until the rest is not. Linear in the sentences."""
     piece = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    state = lambda a, b, out: F.struct(a.alias("a"), b.alias("b"), out.alias("out"))
 
-    def turn(acc, n):
-        full = (acc.b > acc.a) & (acc.b - acc.a + n > limit)
-        start = F.when(full, F.greatest(acc.a, acc.b - overlap)).otherwise(acc.a)
-        return state(start, acc.b + n, F.when(full, F.concat(acc.out, F.array(piece(acc.a, acc.b)))).otherwise(acc.out))
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def walk(sizes: pd.Series) -> pd.Series:
+        def spans(own):
+            out, a, b = [], 0, 0
+            for n in own:
+                if b > a and b - a + n > limit:
+                    out.append({"a": a, "b": b})
+                    a = max(a, b - overlap)
+                b += n
+            return [*out, {"a": a, "b": b}]
+
+        return pd.Series([None if x is None else spans(x.tolist()) for x in sizes], dtype=object)
 
-    packed = F.aggregate(sizes, state(F.lit(0), F.lit(0), F.array().cast(span)), turn, lambda acc: F.concat(acc.out, F.array(piece(acc.a, acc.b))))
+    packed = walk(sizes)
     step = limit - overlap
     more = lambda p: F.greatest(F.lit(0), F.ceil((p.b - p.a - longest) / step)).cast("int")
     part = lambda p, k: piece(p.a + k * step, F.when(k < more(p), p.a + k * step + limit).otherwise(p.b))

@@ -1,31 +1,63 @@
 """Containment and longest-common-substring joins of titles with names."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rolling import hashed
 from ..functions.text import grams
+from ..sources.shared import stored
 
 
-def locate(titles: DataFrame, names: DataFrame, n: int = 4) -> DataFrame:
+def _lengths(texts: DataFrame, size: Column) -> list[int]:
+    """The distinct values of a length: numbers up to the longest, however many rows there are."""
+    return sorted(r.n for r in texts.select(size.alias("n")).distinct().collect() if r.n)
+
+
+def locate(titles: DataFrame, names: DataFrame) -> DataFrame:
     """titles(title_id, title), names(name_id, name): every name that contains a title, cand_no by (length, id).
 
-    Joined on the title's rarest n-gram, which each containing name holds; titles under n characters meet
-    names through their own grams of that length."""
-    short = titles.where((F.length("title") > 0) & (F.length("title") < n))
-    long_ = titles.where(F.length("title") >= n)
-    held = names.select("name_id", "name", F.explode(F.array_distinct(grams(F.col("name"), n))).alias("gram"))
-    df = held.groupBy("gram").agg(F.count("*").alias("df"))
-    own = long_.select("title_id", "title", F.explode(F.array_distinct(grams(F.col("title"), n))).alias("gram")).join(df, "gram", "left")
-    anchor = own.groupBy("title_id", "title").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    pairs = anchor.join(held, "gram").where(F.contains("name", "title")).select("title_id", "name_id", "name")
-    for size in range(1, n):
-        some = names.select("name_id", "name", F.explode(F.array_distinct(grams(F.col("name"), size))).alias("title"))
-        pairs = pairs.union(short.where(F.length("title") == size).join(some, "title").select("title_id", "name_id", "name"))
+    Each name's substrings of the titles' lengths are hashed in one pass over it (rolling hashes), and meet the titles on (length,
+    hash); texts are compared after. Work on a name does not depend on how many others share its parts. name_id is unique."""
+    own = titles.where(F.length("title") > 0)
+    lengths = _lengths(own, F.length("title"))
+    asked = hashed(own.select("title_id", "title"), "title", lengths, whole=True)
+    held = hashed(names.select("name_id", "name"), "name", lengths, among=asked).drop("name").distinct()
+    pairs = asked.join(held, ["n", "h"]).select("title_id", "title", "name_id").join(names.select("name_id", "name"), "name_id").where(F.contains("name", "title"))
     order = W.partitionBy("title_id").orderBy(F.length("name"), F.col("name_id").cast("string"))
     return pairs.withColumn("cand_no", F.row_number().over(order)).select("title_id", "name_id", "cand_no")
 
 
+def best_common(a: DataFrame, b: DataFrame, least: int = 15) -> DataFrame:
+    """a(a_id, s), b(b_id, s) -> a_id, b_id, lcs: for each a the longest substring of ``least`` characters or more that it shares with
+    any b, and the smallest b_id that holds one of that length. Others are absent.
+
+    If a shares a substring of some length it shares all shorter ones, so each a's length is found by halving: a round asks which
+    a's have a substring of their middle length in any b, a semi-join of hashes, and no pairs are made. Only the last round looks for
+    the smallest id of each substring. Hashes have 62 bits; texts are compared at the end."""
+    state = stored(a.where(F.length("s") >= least).select("a_id", "s", F.lit(least - 1).alias("low"), F.length("s").alias("high"), F.lit(least).alias("mid")))
+    while True:
+        some = state.where("low < high")
+        lengths = _lengths(some, F.col("mid"))
+        if not lengths:
+            break
+        asked = stored(hashed(some.select("a_id", "mid", "s"), "s", lengths, own="mid").select("a_id", "n", "h"))
+        held = hashed(b.select("s"), "s", lengths, among=asked).select("n", "h").distinct()
+        met = asked.join(held, ["n", "h"], "left_semi").select("a_id").distinct().withColumn("met", F.lit(True))
+        rows = state.join(met, "a_id", "left").withColumn("open", F.col("low") < F.col("high"))
+        low = F.when(F.col("open") & F.col("met").isNotNull(), F.col("mid")).otherwise(F.col("low"))
+        high = F.when(F.col("open") & F.col("met").isNull(), F.col("mid") - 1).otherwise(F.col("high"))
+        rows = rows.select("a_id", "s", low.alias("low"), high.alias("high"))
+        state = stored(rows.withColumn("mid", F.ceil((F.col("low") + F.col("high")) / 2).cast("int")))
+    best = state.where(F.col("low") >= least).select("a_id", "s", F.col("low").alias("mid"))
+    lengths = _lengths(best, F.col("mid"))
+    asked = stored(hashed(best, "s", lengths, own="mid").select("a_id", "s", "n", "h", "at"))
+    held = hashed(b.select("b_id", "s"), "s", lengths, among=asked).groupBy("n", "h").agg(F.min("b_id").alias("b_id"))
+    pairs = asked.join(held, ["n", "h"]).join(b.select("b_id", F.col("s").alias("other")), "b_id")
+    pairs = pairs.where(F.contains("other", F.substring(F.col("s"), F.col("at") + 1, F.col("n"))))
+    return pairs.groupBy("a_id").agg(F.min("b_id").alias("b_id"), F.first("n").alias("lcs"))
+
+
 def common_substring(a: DataFrame, b: DataFrame, least: int = 15) -> DataFrame:
     """a(a_id, s), b(b_id, s): pairs whose longest common substring has ``least`` characters or more, and its length."""
     spread = lambda d, k: d.select(k, F.posexplode(grams(F.col("s"), least)).alias("pos", "gram"))

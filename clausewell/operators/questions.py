@@ -5,7 +5,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
-from .match import best_label, common_substring, locate
+from .match import best_common, best_label, locate
+
 
 def match_labels(labels: DataFrame, names: DataFrame, least: int = 15) -> DataFrame:
     """labels(label_id, label, label_ext), names(name_id, name, ext): label_id, name_id, stage.
@@ -16,8 +17,8 @@ def match_labels(labels: DataFrame, names: DataFrame, least: int = 15) -> DataFr
     pairs = held.select(F.col("title_id").alias("label_id"), "name_id").join(labels, "label_id").join(names, "name_id")
     one = best_label(pairs)
     rest = labels.join(one, "label_id", "left_anti")
-    near = common_substring(rest.select(F.col("label_id").alias("a_id"), F.col("label").alias("s")), names.select(F.col("name_id").alias("b_id"), F.col("name").alias("s")), least)
-    two = near.groupBy(F.col("a_id").alias("label_id")).agg(F.max_by("b_id", F.struct("lcs", -F.col("b_id"))).alias("name_id"))
+    two = best_common(rest.select(F.col("label_id").alias("a_id"), F.col("label").alias("s")), names.select(F.col("name_id").alias("b_id"), F.col("name").alias("s")), least)
+    two = two.select(F.col("a_id").alias("label_id"), F.col("b_id").alias("name_id"))
     return one.withColumn("stage", F.lit(1)).union(two.withColumn("stage", F.lit(2)))
 
 

@@ -24,12 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: list[str] = []
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, which ``drop_stored`` removes."""
+    _tables.append(f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written as a Parquet table, in the shared folder if no path is given, and read again: a lost executor costs no earlier step."""
-    own = path or f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    own = path or new_path(df.sparkSession)
     df.write.parquet(own)
-    if path is None:
-        _tables.append(own)
     return df.sparkSession.read.schema(df.schema).parquet(own)
 
 
