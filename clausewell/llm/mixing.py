@@ -5,17 +5,16 @@ documents of each source are dealt into blocks by hash; blocks are permuted, who
 the target, and inside the one block where the target falls the documents are taken in permuted order,
 passing over those that no longer fit (``passes`` times), then the one further document that comes
 nearest to the words still missing. A splitting tree halves the
-taken blocks again and again among the output shards: at each node the first half of the node's blocks, in random order,
-goes left, which draws the sources' quotas from the multivariate hypergeometric law and deals disjoint permuted blocks
-in one step. ``shuffled`` orders a shard locally.
+sources' counts of taken blocks again and again among the output shards, drawing each node's quotas from the multivariate
+hypergeometric law; then each source's own blocks, permuted, are dealt out by its exact quotas. ``shuffled`` orders a shard locally.
 
 Scale: texts are read once and never shuffled for the plan. Ranks and running sums, of blocks and of sources, are taken
 in ``BUCKETS`` hash buckets (or ranges) at a time: a window holds one bucket, and what lies before a bucket comes from a table
 of bucket totals, so no window holds a whole source or node. Windows over documents hold one block. Everything
-is a function of (doc_id, seed), so reruns agree.
+is a function of (id, seed), so reruns agree.
 
-Defined results: a null text has no words; the null source is a source of its own, last in order; equal
-document ids have equal fates; an empty table gives an empty mix. Only the columns named are read.
+Defined results: a null text has no words; the null source is a source of its own, last in order; the
+rows of an id (without an id: of a text) and source are one unit, of their words together, and are taken equally often; an empty table gives an empty mix. Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -83,13 +82,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return rows.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def splitting_tree(blocks: DataFrame, key: list[str], shards: int, seed: int) -> DataFrame:
-    """blocks with ``shard``: each node's blocks are halved at random (sizes in proportion to the shards below).
+def source_quotas(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """blocks(source, ...) -> source, quotas array<bigint>: how many of a source's blocks go to each shard.
 
-    All blocks get one random order. A node is a range of it, whose first part goes left; so a node's blocks are a
-    random subset in random order, and what of each source goes left is a multivariate hypergeometric draw."""
-    drawn = written(bucketed(blocks.withColumn("tree", F.lit(0)), F.xxhash64(F.lit(seed), *key)))
-    ranked = running(drawn, ["tree"], F.lit(1), key)
+    The multivariate hypergeometric splitting tree: a node holds counts of blocks of each source and is halved (in proportion to
+    the shards below) until one shard is left. What a half takes of each source is drawn as from an urn: tokens, one a block, that say
+    only a source, lie in one keyed random order; a node is a range of it and its left half the first part, so counts of tokens by source
+    in a part follow the hypergeometric law given the node's, and parts sum to their node exactly."""
+    names = [c for c in blocks.columns if c != "source"]
+    urn = written(bucketed(blocks.withColumn("urn", F.lit(0)), F.xxhash64(F.lit(seed), "source", *names)))
+    drawn = running(urn, ["urn"], F.lit(1), blocks.columns)
     node = lambda lo, hi, a, b: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
 
     def turn(at, depth):
@@ -101,16 +103,43 @@ def splitting_tree(blocks: DataFrame, key: list[str], shards: int, seed: int) ->
 
     depths = F.sequence(F.lit(1), F.lit(max(1, (shards - 1).bit_length())))
     leaf = F.aggregate(depths, node(F.lit(0), F.lit(shards), F.lit(0), F.col("whole")), turn, lambda at: at.lo)
-    return ranked.select(*blocks.columns, leaf.alias("shard"))
+    counts = drawn.select("source", leaf.alias("shard")).groupBy("source", "shard").agg(F.count("*").alias("n"))
+    held = counts.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))  # a row a shard at most
+    quota = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.coalesce(F.element_at("held", k), F.lit(0)))
+    return held.select("source", quota.alias("quotas"))
+
+
+def splitting_tree(blocks: DataFrame, key: list[str], shards: int, seed: int) -> DataFrame:
+    """blocks, of which "source" is a key, with ``shard``: each source's own blocks, permuted by a second keyed order, are dealt out by its exact quotas."""
+    quotas = written(source_quotas(blocks.select(*key), shards, seed))
+    own = written(bucketed(blocks, F.xxhash64(F.lit(seed + 1), *key)))
+    ranked = running(own, ["source"], F.lit(1), key)
+    ranked = ranked.join(quotas, ranked["source"].eqNullSafe(quotas["source"])).drop(quotas["source"])
+    ends = F.transform("quotas", lambda q, k: F.aggregate(F.slice("quotas", F.lit(1), k + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return ranked.select(*blocks.columns, F.size(F.filter(ends, lambda e: e <= F.col("before"))).alias("shard"))
 
 
 def mix_plan(
     docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5,
     max_epochs: float = 2.0, shards: int = 16, block_docs: int = 256, passes: int = 2, seed: int = 42,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, and ``shards``, the shard of each copy taken."""
-    rows = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), word_count(col(text)).alias("size"))
-    rows = written(rows)  # the one pass over the texts: three narrow columns are kept
+    """One row per row of docs: doc_id, unit, source, size, source_size, target, taken, and ``shards``, the shard of each copy taken."""
+    each = docs.select(col(doc_id).alias("doc_id"), unit_of(docs, doc_id, text).alias("unit"), col(source).cast("string").alias("source"), word_count(col(text)).alias("size"))
+    each = written(each)  # the one pass over the texts: narrow columns are kept
+    plan = _unit_plan(each.groupBy("unit", "source").agg(F.sum("size").alias("size")), weights, share, max_epochs, shards, block_docs, passes, seed)
+    plan = plan.select(F.col("unit").alias("_unit"), F.col("source").alias("_source"), "source_size", "target", "shards")
+    rows = each.join(plan, (F.col("unit") == F.col("_unit")) & F.col("source").eqNullSafe(F.col("_source")))
+    return rows.select("doc_id", "unit", "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("bigint").alias("taken"), "shards")
+
+
+def unit_of(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """What is taken or left together: the rows of an id, or without an id the rows of a text."""
+    return F.coalesce(col(doc_id).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(col(text), F.lit("")), 256)))
+
+
+def _unit_plan(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, shards: int, block_docs: int, passes: int, seed: int) -> DataFrame:
+    """rows(unit, source, size), a row a unit of each source, with source_size, target, and ``shards``, the shard of each copy taken."""
+    rows = written(rows)
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     counts = by.select("source", F.ceil(F.col("n") / block_docs).cast("int").alias("n_blocks"), F.col("n"))
     targets = source_targets(by.drop("n"), weights, share, max_epochs)
@@ -118,7 +147,7 @@ def mix_plan(
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     facts = written(facts.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     rows = rows.join(facts, rows["source"].eqNullSafe(facts["source"]), "left").drop(facts["source"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.col("n_blocks")).cast("int"))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("epochs").alias("epochs"))
     blocks = written(bucketed(blocks, F.xxhash64(F.lit(seed + 1), "source", "block")))
     blocks = running(blocks, ["source"], F.col("words"), ["block"])
@@ -135,31 +164,31 @@ def mix_plan(
     whole = rows.where("state is null or state <> 1").withColumn("last", F.coalesce(F.col("state") == 2, F.lit(False)))
     part = rows.where("state = 1")
     own = W.partitionBy("source", "block")
-    turn = own.orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    turn = own.orderBy(F.xxhash64(F.lit(seed + 3), "unit"), "unit").rowsBetween(W.unboundedPreceding, 0)
     part = part.withColumn("last", F.lit(False)).withColumn("gap", F.col("room"))
     for _ in range(passes):
         small = ~F.col("last") & (F.col("size") <= F.col("gap"))
         part = part.withColumn("last", F.col("last") | (small & (F.sum(F.when(small, F.col("size")).otherwise(0)).over(turn) <= F.col("gap"))))
         part = part.withColumn("gap", F.col("room") - F.coalesce(F.sum(F.when(F.col("last"), F.col("size"))).over(own), F.lit(0)))
     off = F.when(~F.col("last"), F.abs(F.col("gap") - F.col("size")))
-    nearest = F.row_number().over(own.orderBy(off.asc_nulls_last(), F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size"))
+    nearest = F.row_number().over(own.orderBy(off.asc_nulls_last(), F.xxhash64(F.lit(seed + 3), "unit"), "unit"))
     part = part.withColumn("nearest", nearest)
     part = part.withColumn("last", F.col("last") | ((F.col("nearest") == 1) & F.coalesce(off < F.col("gap"), F.lit(False)))).drop("gap", "nearest")
     rows = whole.unionByName(part)
     epochs, last = F.coalesce(F.col("epochs"), F.lit(0)), F.col("last")
-    taken = F.col("size") * (epochs + last.cast("int"))
     drawn = F.transform(F.when(epochs + last.cast("int") > 0, F.sequence(F.lit(0), epochs + last.cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.element_at("dealt", k))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), drawn.alias("shards"))
+    return rows.select("unit", "source", "source_size", "target", drawn.alias("shards"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", seed: int = 42, **options) -> DataFrame:
     """The mix itself: a row of docs for each copy taken, with shard, copy and a local order, partitioned by
     shard and sorted in it. New columns: shard, copy, position_key (their names get underscores where docs has them)."""
+    text, source = options.get("text", "text"), options.get("source", "source")
     plan = mix_plan(docs, doc_id=doc_id, seed=seed, **options)
-    key, shards = fresh(docs, "mix_id"), fresh(docs, "shards")
+    key, of, shards = fresh(docs, "mix_unit"), fresh(docs, "mix_source"), fresh(docs, "shards")
     names = {n: n if n not in {c.lower() for c in docs.columns} else fresh(docs, n) for n in ("shard", "copy", "position_key")}
-    plan = plan.groupBy(F.col("doc_id").alias(key)).agg(F.first("shards").alias(shards))
-    rows = docs.join(plan, col(doc_id).eqNullSafe(col(key))).drop(key)
+    plan = plan.groupBy(F.col("unit").alias(key), F.col("source").alias(of)).agg(F.first("shards").alias(shards))  # equal in all rows of a unit
+    rows = docs.join(plan, (unit_of(docs, doc_id, text) == col(key)) & col(source).cast("string").eqNullSafe(col(of))).drop(key, of)
     rows = rows.select("*", F.posexplode(shards).alias(names["copy"], names["shard"])).drop(shards)
     rows = rows.withColumn(names["position_key"], F.xxhash64(F.lit(seed + 4), col(names["shard"]), col(names["copy"]), col(doc_id)))
     return rows

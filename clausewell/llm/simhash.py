@@ -125,23 +125,25 @@ def links(fps: DataFrame, max_bits: int = 4, max_bucket: int = 4096) -> DataFram
 
 
 def classes(rows: DataFrame, doc_id: str, fp: str, max_bits: int = 4, **options) -> DataFrame:
-    """(fp, component): for each fingerprint the smallest doc_id reachable by links."""
+    """(fp, component, root): for each fingerprint the smallest doc_id reachable by links, and the fingerprint that stands for what is linked."""
     own = written(rows.groupBy(col(fp).alias("fp")).agg(F.min(col(doc_id)).alias("least")))
     roots = components(links(own.select("fp"), max_bits, **options), "a", "b")
     rooted = written(own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(least, "root").select("fp", "component")
+    return rooted.join(least, "root").select("fp", "component", "root")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each component, that of smallest id, and one of its rows where rows repeat;
-    documents with a null id stay. Columns are left as they are."""
-    names = {n: fresh(docs, n) for n in ("fp", "key", "component", "turn")}
-    ids = written(fingerprints(docs.select(col(doc_id).alias("id"), col(text).alias("text")), ["id"], "text"))
-    found = classes(ids, "id", "fp", **options)
-    kept = ids.join(found, "fp").where("id = component").select(F.col("id").alias(names["key"])).distinct()
-    rows = docs.join(kept, col(doc_id) == col(names["key"]), "left_semi").dropDuplicates([doc_id])
-    return rows.unionByName(docs.where(col(doc_id).isNull()))
+    """docs with one document of each component, that of smallest id, and one of its rows where rows repeat. Rows that share an id but
+    not a fingerprint are documents of their own, of which a component keeps that of smallest fingerprint; documents with a
+    null id stay. Columns are left as they are."""
+    fp, key, kept, root = (fresh(docs, n) for n in ("fp", "key", "kept", "root"))
+    rows = written(fingerprints(docs.where(col(doc_id).isNotNull()), docs.columns, text, fp))
+    found = classes(rows, doc_id, fp, **options).select(F.col("fp").alias(fp), F.col("component").alias(kept), F.col("root").alias(root))
+    least = rows.groupBy(fp).agg(F.min(col(doc_id)).alias(key)).join(found, fp).where(F.col(key) == F.col(kept))
+    least = least.groupBy(root, kept).agg(F.min(fp).alias(key)).drop(root)
+    rows = rows.join(least, (col(doc_id) == F.col(kept)) & (F.col(fp) == F.col(key)), "left_semi").dropDuplicates([doc_id, fp])
+    return rows.select(*[col(c) for c in docs.columns]).unionByName(docs.where(col(doc_id).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

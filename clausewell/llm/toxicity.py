@@ -43,24 +43,21 @@ def grams(text: np.ndarray) -> list[np.ndarray]:
 
 
 def tokens(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words of a folded text, and whether a chain begins at each."""
+    """Starts and ends of words of a folded text, and how many ends of chains come before each."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (text > 32).view(np.int8), [0]))))
     starts, ends = edge[::2], edge[1::2]
-    breaks = np.cumsum(text == 10)
-    chain = breaks[starts] if len(starts) else starts
-    first = np.ones(len(starts), bool)
-    first[1:] = np.diff(chain) > 0
-    return starts, ends, first
-
-
-def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of chains of at most CHAIN words, longest first."""
-    at = np.flatnonzero(first)
-    n = np.diff(np.append(at, len(first)))
-    parts = -(-n // CHAIN)
+    return starts, ends, np.cumsum(text == 10)[starts] if len(starts) else starts
+
+
+def chains(chain: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of words of equal chain, longest first; of at most ``most`` words, if given."""
+    at = np.flatnonzero(np.diff(chain, prepend=-1))
+    n = np.diff(np.append(at, len(chain)))
+    most = most or max(1, len(chain))
+    parts = -(-n // most)
     k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = np.repeat(at, parts) + k * CHAIN
-    sizes = np.minimum(CHAIN, np.repeat(n, parts) - k * CHAIN)
+    starts = np.repeat(at, parts) + k * most
+    sizes = np.minimum(most, np.repeat(n, parts) - k * most)
     order = np.argsort(-sizes, kind="stable")
     return starts[order], sizes[order]
 
@@ -121,11 +118,32 @@ class Field:
         return self.bias + np.add.reduceat(total, np.stack([starts, ends], 1).reshape(-1))[::2]  # word by word
 
     def logits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the words of a folded text and their marginal log-odds."""
-        starts, ends, first = tokens(text)
-        if not len(starts):
-            return starts, ends, np.zeros(0)
-        return starts, ends, marginals(self.emissions(text, starts, ends), *chains(first), self.t)[2]
+        """Starts and ends of the words of a folded text and their marginal log-odds.
+
+        Emissions are taken from pieces of SLICE bytes that end between words, with the bytes after them that their n-grams reach into;
+        chains run over all pieces, so a piece's end changes nothing. Beyond a piece only numbers a word are held."""
+        held, a, ended = [], 0, 0
+        while a < len(text):
+            b = a + SLICE
+            if b < len(text):
+                stops = np.flatnonzero(text[a:b] <= 32)
+                if not len(stops):  # one word reaches beyond the piece
+                    while b < len(text) and text[b] > 32:
+                        more = np.flatnonzero(text[b : b + SLICE] <= 32)
+                        b = b + int(more[0]) if len(more) else b + SLICE
+                    b = min(b, len(text))
+                else:
+                    b = a + int(stops[-1]) + 1
+            b = min(b, len(text))
+            starts, ends, chain = tokens(text[a:b])
+            if len(starts):
+                held.append((starts + a, ends + a, chain + ended, self.emissions(text[a : b + max(SIZES)], starts, ends)))
+            ended += int(np.count_nonzero(text[a:b] == 10))
+            a = b
+        if not held:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        starts, ends, chain, e = (np.concatenate(x) for x in zip(*held, strict=True))
+        return starts, ends, marginals(e, *chains(chain), self.t)[2]
 
     def evidence(self, logit: np.ndarray, n: np.ndarray, of: np.ndarray, docs: int) -> np.ndarray:
         """(docs, 4): 1, log of the expected number of toxic words, their share, and the largest log-odds."""
@@ -140,29 +158,15 @@ class Field:
         """Scores, and the byte spans of toxic words."""
         scores, spans = [], []
         for held in slices(texts):
-            logits, of, n = [], [], np.zeros(len(held))
             folded = [FOLD[np.frombuffer(t, np.uint8)] for t in held]
             cuts = np.cumsum([0, *(len(t) + 1 for t in folded)])
-            flat = np.concatenate([np.append(t, np.uint8(10)) for t in folded])
-            a = 0
+            s, e, logit = self.logits(np.concatenate([np.append(t, np.uint8(10)) for t in folded]))
+            doc = np.searchsorted(cuts, s, "right") - 1
             marks: list[list[tuple[int, int]]] = [[] for _ in held]
-            while a < len(flat):
-                b = len(flat)
-                if b - a > 2 * SLICE:  # one long text, cut at the end of a chain, else of a word
-                    b = a + SLICE
-                    stops = np.flatnonzero(flat[a:b] == 10)
-                    stops = stops if len(stops) else np.flatnonzero(flat[a:b] <= 32)
-                    b = a + int(stops[-1]) + 1 if len(stops) else b
-                s, e, logit = self.logits(flat[a:b])
-                doc = np.searchsorted(cuts, s + a, "right") - 1
-                logits.append(logit)
-                of.append(doc)
-                n += np.bincount(doc, minlength=len(held))
-                for i in np.flatnonzero(logit > 0).tolist():
-                    d = int(doc[i])
-                    marks[d].append((int(s[i] + a - cuts[d]), int(e[i] + a - cuts[d])))
-                a = b
-            x = self.evidence(np.concatenate(logits), n, np.concatenate(of), len(held))
+            for i in np.flatnonzero(logit > 0).tolist():
+                d = int(doc[i])
+                marks[d].append((int(s[i] - cuts[d]), int(e[i] - cuts[d])))
+            x = self.evidence(logit, np.bincount(doc, minlength=len(held)).astype(float), doc, len(held))
             # the last bits of a float sum can depend on the shape of an array, that is on the texts beside this one
             scores.append(np.round(sigmoid((x * self.doc).sum(axis=1)), 9) if self.constant is None else np.full(len(held), self.constant))
             spans += marks
@@ -216,12 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     toxic = toxic if len(buckets) else np.zeros(1, bool)
     flat = np.concatenate([np.append(FOLD[np.frombuffer(rows[i][2], np.uint8)], np.uint8(10)) for i in fit])
     cuts = np.cumsum([0, *(len(rows[i][2]) + 1 for i in fit)])
-    starts, _, first = tokens(flat)
+    starts, _, chain = tokens(flat)
     word, feature = field.features(flat, starts)
     own = y[fit][np.searchsorted(cuts, starts, "right") - 1]
     truth = ((np.bincount(word, weights=toxic[feature], minlength=len(starts)) > 0) & (own == 1)).astype(float)
     field.bias = float(np.log(max(1.0, truth.sum()) / max(1.0, len(truth) - truth.sum())))
-    _learn(field, word, feature, truth, *chains(first), steps)
+    _learn(field, word, feature, truth, *chains(chain, CHAIN), steps)
     _calibrate(field, [rows[i][2] for i in rest], y[rest], _share(labels, label))
     return field
 
