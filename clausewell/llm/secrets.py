@@ -72,10 +72,13 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def transitions(strings: DataFrame, s: str) -> DataFrame:
-    """(label, pair, n): how often each two characters of ALPHABET follow one another in strings(label, s)."""
+    """(label, pair, n): how often each two characters of ALPHABET follow one another in strings(label, s).
+
+    Equal strings are counted first, within tasks and then over all, so only distinct ones are taken apart."""
     grams = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(col(s), i, F.lit(2)))
-    rows = strings.where(F.length(s) > 1).select("label", F.explode(grams).alias("pair"))
-    return rows.groupBy("label", "pair").agg(F.count("*").alias("n")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
+    each = strings.where(F.length(s) > 1).groupBy("label", s).agg(F.count("*").alias("times"))
+    rows = each.select("label", "times", F.explode(grams).alias("pair"))
+    return rows.groupBy("label", "pair").agg(F.sum("times").alias("n")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
 
 
 def train(docs: DataFrame, text: str = "text", random_strings: int = 4000) -> list[float]:
