@@ -42,6 +42,8 @@ from .common import bounded, col, free, fresh, table, written
 from .paragraphs import BYTES, WORD_BASE, Ranges
 
 GRAM = 32
+#: Bytes to which suffixes are sorted: strings that are looked for are no longer.
+DEPTH = 104
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -139,7 +141,7 @@ def _anchor_rows(docs: DataFrame, length: int, heavy: np.ndarray, inside: bool)
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def by_lanes(at: np.ndarray, lanes: np.ndarray, depth: int = 104) -> np.ndarray:
+def by_lanes(at: np.ndarray, lanes: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` bytes, eight at a time: after the first only those that are still tied."""
     order = at[np.argsort(lanes[at], kind="stable")]
     new = np.ones(len(order), bool)
@@ -321,8 +323,8 @@ def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     kind = docs.schema[doc_id].dataType
     given = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where("doc is not null")
     reach = length - GRAM
-    if not GRAM < length <= 255:
-        raise ValueError(f"length has to be over {GRAM} and at most 255")
+    if not GRAM < length <= DEPTH:
+        raise ValueError(f"length has to be over {GRAM} and at most {DEPTH}")
     heavy = _heavy_keys(given, length)
     rows = _by_windows(_anchor_rows(given, length, heavy, False))
     if len(heavy):

@@ -1,13 +1,15 @@
 """Rows that share an id, quotas of the splitting tree, and texts longer than a piece."""
 
+import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewell.llm import mixing, simhash, toxicity
+from clausewell.llm import mixing, secrets, simhash, suffixes, toxicity
 
 DOC = "doc_id bigint, text string, source string, shard string"
 
@@ -81,3 +83,41 @@ def test_scores_do_not_depend_on_pieces(monkeypatch, piece):
     assert scores.tolist() == again.tolist() and spans == same
     if piece > 1 << 15:
         assert len(texts[0]) > 2 * 10**6 * 0.9  # no sentence ends in it
+
+
+def test_removals_at_production_length(spark):
+    """Bytes that a 100-byte string covers which starts earlier too, by a set of all strings."""
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("abcdefghij é", k=k)) for k in (99, 100, 101, 150, 400)]
+    texts = ["".join(rng.choice([*parts, "".join(rng.choices("klmnop ", k=60))]) for _ in range(rng.randrange(5))) for _ in range(60)] + ["ab" * 300, "ab" * 300, None, ""]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()}
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for a in range(len(data) - 99):
+            if data[a : a + 100] in seen:
+                gone[a : a + 100] = True
+            seen.add(data[a : a + 100])
+        spans = int(np.count_nonzero(gone[:-1] & ~np.roll(gone, 1)[:-1])) if len(data) else 0
+        want[i] = (len(data), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, x in zip(data, gone) if not x)).hexdigest())
+    assert got == want and sum(w[1] for w in want.values()) > 5000
+    with pytest.raises(ValueError, match="at most"):
+        suffixes.hit_spans(spark.createDataFrame([], "doc_id bigint, text string"), length=150)
+
+
+def test_model_of_secrets_by_a_plain_count(spark):
+    """Ratios of pairs from counts of every string of every document, repeats counted."""
+    rng = random.Random(9)
+    words = ["ordinary", "words", "token", "snake_case-name", "ab", "x" * 40]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(40)] + [None, "", "password = Zq9Zq9Zq9Zq9", "secret: Zq9Zq9Zq9Zq9"]
+    one = secrets.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3), random_strings=0)
+    n = len(secrets.ALPHABET)
+    counts = np.ones((2, n, n))
+    for t in texts:
+        for label, group in ((1, re.findall(r"(?i)(?:password|secret)\s*[:=]\s*([A-Za-z0-9]+)", t or "")), (0, re.findall(r"[A-Za-z0-9+/_=-]{3,}", re.sub(r"(?i)(password|secret)\s*[:=]\s*[A-Za-z0-9]+", " ", t or "")))):
+            for word in group:
+                for a, b in zip(word, word[1:]):
+                    counts[label, secrets.ALPHABET.index(a), secrets.ALPHABET.index(b)] += 1
+    want = np.log(counts[1] / counts[1].sum(1, keepdims=True)) - np.log(counts[0] / counts[0].sum(1, keepdims=True))
+    assert np.allclose(np.array(one).reshape(n, n), want)
