@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import heading
+from ..sources.readers import checked, split_failures
 
 
 def verify(mapping: DataFrame, manifest: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -154,6 +155,14 @@ def text_blocks(docs: DataFrame, cut: Callable[[Column], Column] = heading) -> D
     return pieces.select(F.concat_ws("-", "doc_id", "block_no", "piece_no").alias("block_id"), "doc_id", "orig_name", "source_type", "location", "n_units", F.col("piece").alias("text"))
 
 
+def text_blocks_or_failures(docs: DataFrame, cut: Callable[[Column], Column] = heading) -> tuple[DataFrame, DataFrame]:
+    """``text_blocks`` of the documents that can be cut, and (doc_id, error) of those of a text kind that cannot; the others go on."""
+    some = docs.where(F.col("type").isin(*KINDS))
+    rules = {"no_units": F.col("units").isNull(), "unit_without_text": F.exists("units", lambda u: u.isNull() | u.text.isNull()), "unit_without_place": F.exists("units", lambda u: u.location.isNull())}
+    good, failed = split_failures(checked(some, rules))
+    return text_blocks(good, cut), failed.select("doc_id", "error")
+
+
 def block_counts(docs: DataFrame, blocks: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row: text documents of docs(doc_id, type), blocks, and failed documents."""
     n = docs.agg(F.count_if(F.col("type").isin(*KINDS)).alias("docs"))

@@ -4,17 +4,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import ranked
+
 
 def grade(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
     return rows.withColumn("correct", F.coalesce(F.col(pred) == F.col(gold), F.lit(False)))
 
 
 def accuracy(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Overall and by each of groups: grp, value, n, correct, and percent to one decimal."""
-    pairs = F.array(F.struct(F.lit("all").alias("grp"), F.lit("").alias("value")), *[F.struct(F.lit(g).alias("grp"), F.col(g).cast("string").alias("value")) for g in groups])
-    each = rows.select("correct", F.explode(pairs).alias("p")).select("correct", "p.grp", "p.value")
-    rows = each.groupBy("grp", "value").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
-    return rows.withColumn("percent", F.bround(F.col("correct") * 100 / F.col("n"), 1))
+    """Overall and by each of groups: grp, value, n, correct, and percent to one decimal. The overall row is there for an empty table as well, with 0."""
+    percent = F.coalesce(F.try_divide(F.col("correct") * 100, F.col("n")), F.lit(0.0))
+    whole = rows.agg(F.count("*").alias("n"), F.count_if("correct").alias("correct")).select(F.lit("all").alias("grp"), F.lit("").alias("value"), "n", "correct")
+    if groups:
+        pairs = F.array(*[F.struct(F.lit(g).alias("grp"), F.col(g).cast("string").alias("value")) for g in groups])
+        each = rows.select("correct", F.explode(pairs).alias("p")).select("correct", "p.grp", "p.value")
+        whole = whole.union(each.groupBy("grp", "value").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct")))
+    return whole.withColumn("percent", F.bround(percent, 1))
 
 
 def choose(questions: DataFrame, split: str = "dev", text_only: bool = False, text_kinds: tuple[str, ...] = ("word", "pdf")) -> DataFrame:
@@ -27,7 +32,8 @@ def group_split(sizes: DataFrame, share: int = 3, slack: int = 15) -> DataFrame:
     """sizes(stratum, grp, n) -> split: whole groups, smallest first, are dev while dev has less than its quota.
 
     The running sum is over a histogram of sizes. How many groups of a size are dev follows by arithmetic; only
-    where that is some of them and not all do the groups of that size need an order."""
+    where that is some of them and not all do the groups of that size need an order, which ranges of them take, so no window
+    holds all groups of a size. Strata and groups are not null."""
     order = W.partitionBy("stratum").orderBy("n")
     bins = sizes.groupBy("stratum", "n").agg(F.count("*").alias("groups"))
     bins = bins.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("groups")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -36,11 +42,10 @@ def group_split(sizes: DataFrame, share: int = 3, slack: int = 15) -> DataFrame:
     bins = bins.withColumn("dev", F.greatest(F.lit(0), F.least("groups", under, within)))
     rows = sizes.join(bins.select("stratum", "n", "groups", "dev"), ["stratum", "n"])
     some = (F.col("dev") > 0) & (F.col("dev") < F.col("groups"))
-    # where all or none are dev, a group is a window of its own
-    key = F.when(some, F.lit(None).cast("string")).otherwise(F.col("grp").cast("string"))
-    place = F.row_number().over(W.partitionBy("stratum", "n", key).orderBy(F.col("grp").cast("string")))
-    dev = F.when(some, place <= F.col("dev")).otherwise(F.col("dev") > 0)
-    return rows.select("stratum", "grp", "n", F.when(dev, "dev").otherwise("test").alias("split"))
+    names = ["stratum", "grp", "n"]
+    whole = rows.where(~some).select(*names, F.when(F.col("dev") > 0, "dev").otherwise("test").alias("split"))
+    part = ranked(rows.where(some), ["stratum", "n"], [F.col("grp").cast("string")])
+    return whole.union(part.select(*names, F.when(F.col("place") <= F.col("dev"), "dev").otherwise("test").alias("split")))
 
 
 def answer_numbers(answer: Column) -> Column:

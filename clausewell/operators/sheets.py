@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_address, norm, number, number_text
+from ..sources.readers import checked
 from .answer import nearest_option, pair_arithmetic, within
 
 KEY = ["doc_id", "sheet"]
@@ -89,6 +90,14 @@ def facts(cells: DataFrame, header: str = HEADER, unit: str = UNIT, child: str =
     return out.select(*KEY, *numbered, (F.col("r") + 1).alias("row"), (F.col("c") + 1).alias("col"), "indicator", path.alias("indicator_path"), "family_root", "column_label", F.col("num").alias("value"), "unit")
 
 
+def facts_or_failures(cells: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``facts`` of the workbooks whose cells all have a place of their own, and (doc_id, error) of the others."""
+    spots = cells.groupBy(*KEY, "r", "c").agg(F.count("*").alias("n"))
+    rules = {"cell_without_place": F.col("sheet").isNull() | F.col("r").isNull() | F.col("c").isNull(), "two_cells_in_a_place": F.col("n") > 1}
+    failed = checked(spots, rules).where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))
+    return facts(cells.join(failed.select("doc_id"), "doc_id", "left_anti"), **options), failed
+
+
 def place(facts_: DataFrame) -> tuple[str, str, str]:
     """The columns that order a document's records: the workbook's order where facts have the sheets' numbers, else by sheet name."""
     return ("sheet_no" if "sheet_no" in facts_.columns else "sheet", "row", "col")

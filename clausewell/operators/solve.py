@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_address, clean_title, difference_terms, norm, question_sheet, question_terms, question_title
+from ..sources.readers import checked, split_failures
 from ..sources.shared import stored
 from .answer import first_solved, nearest_option, option_number, relative, routed
 from .evaluate import grade
@@ -161,6 +162,15 @@ def table_solve(questions: DataFrame, names: DataFrame, facts: DataFrame, letter
     return rows.select("q", "doc_id", "answer", reason.alias("reason"), "sheet", "address", "indicator", "value")
 
 
+def solved_or_failures(questions: DataFrame, names: DataFrame, facts: DataFrame, letters: str = "ABCD") -> tuple[DataFrame, DataFrame]:
+    """``table_solve`` of the questions that can be asked, and (q, error) of those without text, without any option, or whose q is another's too."""
+    twice = questions.groupBy("q").agg(F.count("*").alias("_n"))
+    rules = {"no_question": F.col("question").isNull(), "no_options": F.coalesce(*[F.col(k) for k in letters]).isNull(), "repeated_id": F.col("_n") > 1}
+    rows = checked(questions.join(twice, "q", "left"), rules)
+    good, failed = split_failures(rows)
+    return table_solve(good.drop("_n"), names, facts, letters), failed.select("q", "error")
+
+
 def graded_batch(questions: DataFrame, names: DataFrame, facts: DataFrame, by_text: DataFrame, letters: str = "ABCD") -> DataFrame:
     """questions(q, question, qa_type, source_type, gold, A, B, ...) -> q, answer, route, reason, gold, correct.
 

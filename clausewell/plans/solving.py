@@ -1,11 +1,15 @@
 """Queries that answer questions from their text on, by tables and by text, and their SQL."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
-from ..operators import answer, sheets, solve
-from ..sources.shared import stored
-from .queries import _CELLS, _cells, _values, t
+from ..operators import answer, corpus, sheets, solve
+from ..sources import readers
+from ..sources.shared import new_path, stored
+from .queries import _CELLS, _FOLD, _SPLIT, _block_docs, _cells, _opening, _values, t
 
 LETTERS = "ABCD"
 #: no, kind, title (n: a nation's, r: a region's, x: nobody's), sheet, two quoted terms, row and columns of a change, set of options.
@@ -94,7 +98,33 @@ def graded_batch(spark, d):
     return solve.graded_batch(rows, _names(spark, d).select("doc_id", "name"), _facts(spark, d), by_text).select("q", "answer", "route", "reason", "gold", "correct")
 
 
-QUERIES = {f.__name__: f for f in (table_solve, graded_batch)}
+def failed_rows(spark, d):
+    """What blocks, facts and answers leave out, and how many rows each makes of the rest."""
+    docs = _block_docs(spark, d).withColumn("n", F.expr("try_cast(substring(orig_name, 5) as int)"))
+    broken = F.transform("units", lambda u: u.withField("text", F.when(F.col("n") % 19 > 0, u.text)))
+    docs = docs.withColumn("units", F.when(F.col("n") % 17 > 0, broken)).drop("n")
+    blocks, no_blocks = corpus.text_blocks_or_failures(docs, _opening)
+    cells = stored(_cells(spark, d))
+    bad = cells.where("doc_id = '3' and r = 0").unionByName(cells.where("doc_id = '4' and r = 0").withColumn("c", F.lit(None).cast("int")))
+    facts, no_facts = sheets.facts_or_failures(stored(cells.unionByName(bad)))
+    facts = stored(facts)
+    asked = _questions(spark, d).where("j < 4")
+    asked = asked.withColumn("question", F.when(F.col("q") % 5 > 0, F.col("question"))).drop("j")
+    answers, no_answers = solve.solved_or_failures(asked.union(asked.where("q = 101")), _names(spark, d).select("doc_id", "name"), facts)
+    parts = [(no_blocks, "doc_id", "blocks"), (no_facts, "doc_id", "facts"), (no_answers, "q", "answers")]
+    rows = [df.select(F.lit(step).alias("step"), F.col(key).cast("string").alias("id"), "error", F.lit(1).cast("bigint").alias("n")) for df, key, step in parts]
+    rows += [df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit("").alias("id"), F.lit("kept").alias("error"), "n") for df, step in ((blocks, "blocks"), (facts, "facts"), (answers, "answers"))]
+    return functools.reduce(DataFrame.union, rows)
+
+
+def facts_written(spark, d):
+    """Facts written as they are stored for lookups, and read back."""
+    path = new_path(spark)
+    readers.write_facts(sheets.facts(stored(_cells(spark, d))), path)
+    return spark.read.parquet(path).select("doc_id", "row", "col", "indicator", "column_label", "value")
+
+
+QUERIES = {f.__name__: f for f in (table_solve, graded_batch, failed_rows, facts_written)}
 
 _ROWS = ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in TEMPLATES)
 _SETS = {
@@ -172,4 +202,15 @@ ORACLE_SQL = {
         g AS (SELECT z.q, j % 5 = 4 AS word, 'ABCD'[j % 4 + 1] AS gold, ts.answer AS a, ts.reason, tx.letter AS b FROM z JOIN ts USING (q) LEFT JOIN tx USING (q)),
         h AS (SELECT q, CASE WHEN word THEN b ELSE coalesce(a, b) END AS answer, CASE WHEN NOT word AND a IS NOT NULL THEN 'table' ELSE 'text' END AS route, CASE WHEN NOT word AND a IS NULL THEN reason END AS reason, gold FROM g)
         SELECT *, coalesce(answer = gold, false) AS correct FROM h""",
+    "facts_written": f"WITH {_CELLS} SELECT doc_id, r + 1 AS row, c + 1 AS col, p AS indicator, (c + 1991) || '年累计' AS column_label, CAST(v AS DOUBLE) AS value FROM b",
+    "failed_rows": f"""WITH RECURSIVE typed AS (SELECT doc_id, replace(text, '. ', '。') AS text, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) > 0 AS filled FROM documents WHERE doc_id % 4 < 3),
+        lost AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'no_units' ELSE 'unit_without_text' END AS error FROM typed WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 AND filled),
+        rest AS (SELECT doc_id, text FROM typed WHERE doc_id NOT IN (SELECT doc_id FROM lost)), {_FOLD.format(text="text", docs="rest")}, {_SPLIT},
+        {_CELLS.replace("b AS (SELECT *, dense", "fb AS (SELECT *, dense")}, q AS (SELECT n_nationkey * 100 + j AS q FROM nation, unnest(range(4)) u(j))
+        SELECT 'blocks' AS step, CAST(doc_id AS VARCHAR) AS id, error, 1::BIGINT AS n FROM lost UNION ALL SELECT 'blocks', '', 'kept', count(*) FROM pieces
+        UNION ALL SELECT DISTINCT 'facts', doc_id, CASE doc_id WHEN '3' THEN 'two_cells_in_a_place' ELSE 'cell_without_place' END, 1 FROM fb WHERE doc_id IN ('3', '4')
+        UNION ALL SELECT 'facts', '', 'kept', count(*) FROM fb WHERE doc_id NOT IN ('3', '4')
+        UNION ALL SELECT 'answers', CAST(q AS VARCHAR), 'no_question', 1 FROM q WHERE q % 5 = 0
+        UNION ALL SELECT 'answers', '101', 'repeated_id', 1 FROM q, unnest([1, 2]) WHERE q = 101
+        UNION ALL SELECT 'answers', '', 'kept', count(*) FROM q WHERE q % 5 > 0 AND q <> 101""",
 }

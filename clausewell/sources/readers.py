@@ -1,8 +1,11 @@
 """Readers and writers of the question answering tables, and file hashes."""
 
+import hashlib
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,9 +41,49 @@ def digests(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("local_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("actual"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Digests of every file under path; a file over 2 GB exceeds a row and fails the job."""
-    return digests(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+#: Bytes that a task holds of a file.
+CHUNK = 8 << 20
+
+
+def _opened(path: str):
+    """A file's bytes as a stream, from the store that its address names; a bare path is a local one."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_stream("/" + re.sub("^(file:)?/+", "", path))
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name)
+
+
+def streamed_digests(files: DataFrame) -> DataFrame:
+    """files(path), of any size: local_path, size, actual (SHA-256 in hex), error. A task streams its files in chunks, so none has to fit
+    a row; a file that cannot be read has an error in place of a digest, for ``split_failures``."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for path in frame["path"]:
+                digest, size = hashlib.sha256(), 0
+                try:
+                    with _opened(path) as stream:
+                        while chunk := stream.read(CHUNK):
+                            digest.update(chunk)
+                            size += len(chunk)
+                    out.append((path, size, digest.hexdigest(), None))
+                except (OSError, ValueError) as broken:
+                    out.append((path, None, None, f"{type(broken).__name__}: {broken}"[:300]))
+            yield pd.DataFrame(out, columns=["local_path", "size", "actual", "error"]).astype({"size": "Int64"})
+
+    return files.select("path").mapInPandas(run, "local_path string, size bigint, actual string, error string")
+
+
+def file_hashes(spark: SparkSession, path: str, whole: int = 1 << 28) -> DataFrame:
+    """Digests of every file under path: local_path, size, actual, error. Files of at most ``whole`` bytes are rows of Spark's own reader;
+    larger ones, which a row may not hold, are streamed."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = digests(listed.where(F.col("length") <= whole)).withColumn("error", F.lit(None).cast("string"))
+    large = listed.where(F.col("length") > whole).select("path")  # no content is read
+    return small.unionByName(streamed_digests(large))
 
 
 def json_rows(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -124,3 +167,9 @@ def exit_status(failed: DataFrame, path: str | None = None) -> int:
     if path is not None:
         write_rows(failed, path)
     return int(not failed.isEmpty())
+
+
+def checked(rows: DataFrame, rules: dict[str, Column], error: str = "error") -> DataFrame:
+    """rows with ``error``: the name of the first rule that a row breaks (its condition holds), or null. A condition that is null counts as broken."""
+    broken = F.coalesce(*[F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()])
+    return rows.withColumn(error, broken)

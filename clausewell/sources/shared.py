@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +45,16 @@ def drop_stored(spark: SparkSession) -> None:
     while _tables:
         path = sc._jvm.org.apache.hadoop.fs.Path(_tables.pop())
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], place: str = "place") -> DataFrame:
+    """rows with ``place``, the rank from 1 among rows of equal keys (none of them null), when a key may hold any share of them.
+
+    Rows are dealt by ranges of (keys, order) and stored; a window holds one key's part of one range, and counts of the ranges before,
+    a row for each key and range, are added."""
+    dealt = stored(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    dealt = dealt.withColumn(place, F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)))
+    return dealt.join(parts, [*keys, "_part"]).withColumn(place, F.col(place) + F.col("_before")).drop("_part", "_before")

@@ -137,3 +137,48 @@ def test_pieces_of_long_texts(spark):
         else:
             assert own.piece.str.len().max() <= 672 and own.piece.iloc[0] == text[: len(own.piece.iloc[0])] and own.piece.iloc[-1] == text[len(text) - len(own.piece.iloc[-1]) :]
     assert isinstance(got, pd.DataFrame)
+
+
+def test_ranks_of_a_hot_key(spark):
+    from clausewell.sources.shared import ranked
+
+    rows = [("hot" if i % 4 else f"k{i % 3}", i * 7919 % 2003) for i in range(2000)]
+    got = ranked(spark.createDataFrame(rows, "k string, v int").repartition(6), ["k"], [F.col("v")]).collect()
+    want = {(k, v, n) for key in {r[0] for r in rows} for n, (k, v) in enumerate(sorted(r for r in rows if r[0] == key), 1)}
+    assert {tuple(r) for r in got} == want and len(got) == 2000
+
+
+def test_a_sparse_file_of_three_gigabytes(spark, tmp_path):
+    import hashlib
+
+    from clausewell.sources import readers
+
+    size = 3 * 2**30 + 5
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.seek(size - 1)
+        f.write(b"x")
+    (tmp_path / "small name é.txt").write_bytes(b"abc")
+    digest = hashlib.sha256()
+    for _ in range((size - 1) // 2**20):
+        digest.update(bytes(2**20))
+    digest.update(bytes((size - 1) % 2**20) + b"x")
+    got = {r.local_path.split("/")[-1]: r for r in readers.file_hashes(spark, str(tmp_path)).collect()}
+    assert (got["large.bin"].size, got["large.bin"].actual, got["large.bin"].error) == (size, digest.hexdigest(), None)
+    assert [r.actual for n, r in got.items() if n.startswith("small")] == [hashlib.sha256(b"abc").hexdigest()]
+    gone = readers.streamed_digests(spark.createDataFrame([(str(tmp_path / "none"),)], "path string")).first()
+    assert gone.actual is None and "FileNotFound" in gone.error
+
+
+def test_one_broken_document_fails_alone(spark, tmp_path):
+    from clausewell.operators import sheets
+    from clausewell.sources import readers
+
+    unit = "array<struct<unit_no:int,location:string,text:string>>"
+    docs = spark.createDataFrame([("1", "a", "pdf", [(0, "para0", "text")]), ("2", "b", "pdf", None), ("3", "c", "doc", [(0, "para0", None)]), ("4", "d", "xls", None)], f"doc_id string, orig_name string, type string, units {unit}")
+    blocks, failed = corpus.text_blocks_or_failures(docs)
+    assert [r.doc_id for r in blocks.collect()] == ["1"] and {tuple(r) for r in failed.collect()} == {("2", "no_units"), ("3", "unit_without_text")}
+    assert readers.exit_status(failed, str(tmp_path / "failed")) == 1 and readers.exit_status(failed.limit(0)) == 0
+    cells = [(d, "S", r, c, v) for d in "12" for r, c, v in ((0, 0, "项目"), (0, 1, "2020年"), (1, 0, "保费"), (1, 1, "5"))]
+    rows = spark.createDataFrame([*cells, ("2", "S", None, 1, "9")], "doc_id string, sheet string, r int, c int, raw string")
+    facts, failed = sheets.facts_or_failures(rows)
+    assert [(r.doc_id, r.value) for r in facts.collect()] == [("1", 5.0)] and [tuple(r) for r in failed.collect()] == [("2", "cell_without_place")]
