@@ -85,6 +85,16 @@ def sweep(options: DataFrame, hits: DataFrame, strength: DataFrame, variants: li
     return scores.withColumn("chosen", first)
 
 
+def sweep_accuracy(scores: DataFrame, questions: DataFrame, names: list[str]) -> DataFrame:
+    """scores(name, q, letter, chosen) as ``sweep`` gives them, questions(q, qa_type, gold): for each variant of ``names``, overall and by
+    type, n, refused, correct, percent. A question that a variant has no hits for is refused, not left out; a refusal is wrong."""
+    asked = questions.select("q", "qa_type", "gold", F.explode(F.array(*map(F.lit, names))).alias("name"))
+    rows = asked.join(scores.where("chosen").select("name", "q", "letter"), ["name", "q"], "left")
+    each = rows.withColumn("value", F.explode(F.array(F.lit("all"), F.coalesce("qa_type", F.lit("")))))
+    out = each.groupBy("name", "value").agg(F.count("*").alias("n"), F.count_if(F.col("letter").isNull()).alias("refused"), F.count_if(F.col("letter") == F.col("gold")).alias("correct"))
+    return out.withColumn("percent", F.bround(F.col("correct") * 100 / F.col("n"), 1))
+
+
 def first_solved(attempts: DataFrame) -> DataFrame:
     """attempts(q, cand_no, answer, reason): the first candidate with an answer, else the first one's failure."""
     order = W.partitionBy("q").orderBy(F.col("answer").isNull(), "cand_no", "answer", "reason")

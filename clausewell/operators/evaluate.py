@@ -132,6 +132,14 @@ def statements_hit(coverage: DataFrame, least: float = 0.7, least_cosine: float
     return best.groupBy("q").agg(F.min("found").alias("hit"))
 
 
+def with_cosine(coverage: DataFrame, statements: DataFrame, blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_no")) -> DataFrame:
+    """coverage(q, statement_no, keys, ...) with the cosine of each statement's vector in statements(q, statement_no, v) and each block's
+    in blocks(keys, v), all of unit length; null where either has none."""
+    rows = coverage.join(statements.withColumnRenamed("v", "_s"), ["q", "statement_no"], "left").join(blocks.withColumnRenamed("v", "_b"), list(keys), "left")
+    dot = F.aggregate(F.zip_with("_s", "_b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn("cosine", dot).drop("_s", "_b")
+
+
 def cited_blocks(blocks: DataFrame) -> DataFrame:
     """blocks(doc_id, location, ord, ...): of the pieces that share a place the last one, as evidence names places."""
     return blocks.groupBy("doc_id", "location").agg(F.max_by(F.struct("*"), "ord").alias("b")).select("b.*")

@@ -50,6 +50,32 @@ def statement_hits_cosine(spark, d):
     return evaluate.statements_hit(_statements(spark, d).join(near.select("q", dot.alias("cosine")), "q", "left"), least=0.9, least_cosine=0.1)
 
 
+def _vectors(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", retrieve.unit(F.col("embedding")).alias("v"))
+
+
+def statement_hits_vectors(spark, d):
+    """As statement_hits, with a vector for each statement and for each block, and their cosine."""
+    rows = _statements(spark, d).join(_located(spark, d), "q")
+    said = rows.select("q", "statement_no", ((F.col("q") * 31 + F.col("clause_no")) % 100).alias("vec_id")).distinct().join(_vectors(spark, d), "vec_id").drop("vec_id")
+    held = rows.select("doc_id", "block_no", ((F.col("doc_id") + F.col("block_no") * 7) % 100).alias("vec_id")).distinct().join(_vectors(spark, d), "vec_id").drop("vec_id")
+    return evaluate.statements_hit(evaluate.with_cosine(rows, said, held), least=0.9, least_cosine=0.3)
+
+
+def cited_blocks(spark, d):
+    """Lines of documents under places of three lines each: the last of each place."""
+    blocks = _units(spark, d).select("doc_id", F.concat(F.lit("para"), F.floor(F.col("unit_no") / 3)).alias("location"), F.col("unit_no").alias("ord"), "text")
+    return evaluate.cited_blocks(blocks)
+
+
+def strategy_accuracy(spark, d):
+    """Variants over all questions, some of which have no options that a document was found for."""
+    q = F.col("item_id")
+    asked = t(spark, d, "benchmark").select(q.alias("q"), F.when(q % 3 == 0, "single").otherwise("other").alias("qa_type"), F.when(q % 4 == 1, "B").otherwise("A").alias("gold"))
+    asked = asked.union(asked.where("q % 5 = 0").withColumn("q", F.col("q") + 1000000))
+    return answer.sweep_accuracy(strategy_sweep(spark, d), asked, [v[0] for v in VARIANTS])
+
+
 def _located(spark, d):
     return _bm25(spark, d, 1).select(F.col("query_id").alias("q"), F.col("block_id").alias("doc_id"))
 
@@ -171,7 +197,7 @@ def option_numbers(spark, d):
     return t(spark, d, "orders").select("o_orderkey", answer.option_number(F.coalesce(text, F.lit("none"))).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (fallback_option, strategy_sweep, statement_hits, statement_hits_cosine, document_prompts, retrieved_evidence, extraction_audit, extraction_totals, extraction_misses, label_match, label_issues, sheet_locate, unlocated_titles, outside_questions, outside_counts, type_repair, demo_sample, question_parse, title_stems, evidence_parse, option_numbers)}
+QUERIES = {f.__name__: f for f in (fallback_option, strategy_sweep, strategy_accuracy, statement_hits, statement_hits_cosine, statement_hits_vectors, cited_blocks, document_prompts, retrieved_evidence, extraction_audit, extraction_totals, extraction_misses, label_match, label_issues, sheet_locate, unlocated_titles, outside_questions, outside_counts, type_repair, demo_sample, question_parse, title_stems, evidence_parse, option_numbers)}
 
 _OPTIONS = f"""{_BM25}, o AS (SELECT * FROM (SELECT item_id AS q, 'A' AS letter, text AS option FROM benchmark UNION ALL SELECT item_id - 1, 'B', text FROM benchmark) WHERE q IN (SELECT query_id FROM bm)),
 hit AS (SELECT query_id AS q, block_id, rank, {_N.format('text')} AS t FROM bm JOIN documents ON doc_id = block_id WHERE rank <= 20)"""
@@ -244,3 +270,15 @@ ORACLE_SQL = {
     "option_numbers": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN round(o_totalprice, 2) WHEN 1 THEN -o_custkey::DOUBLE END AS value FROM orders",
     "demo_sample": "SELECT lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':7'), doc_id) = 1",
 }
+ORACLE_SQL["strategy_accuracy"] = f"""WITH sw AS ({ORACLE_SQL["strategy_sweep"]}), b AS (SELECT item_id AS q, CASE WHEN item_id % 3 = 0 THEN 'single' ELSE 'other' END AS kind, CASE WHEN item_id % 4 = 1 THEN 'B' ELSE 'A' END AS gold FROM benchmark),
+    z AS (FROM b UNION ALL SELECT q + 1000000, kind, gold FROM b WHERE q % 5 = 0),
+    r AS (SELECT names.name, z.*, letter FROM z CROSS JOIN (SELECT unnest(['V0', 'V1', 'V2', 'V3', 'V4']) AS name) names LEFT JOIN (SELECT * FROM sw WHERE chosen) s ON s.name = names.name AND s.q = z.q),
+    e AS (SELECT name, 'all' AS value, letter, gold FROM r UNION ALL SELECT name, kind, letter, gold FROM r)
+    SELECT name, value, count(*) AS n, count(*) FILTER (letter IS NULL) AS refused, count(*) FILTER (letter = gold) AS correct, round_even(count(*) FILTER (letter = gold) * 100 / count(*), 1) AS percent FROM e GROUP BY ALL"""
+ORACLE_SQL["cited_blocks"] = f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    u AS (SELECT doc_id, i - 1 AS n, trim(ls[i], ' ') AS x FROM l, unnest(range(1, len(ls) + 1)) t(i) WHERE trim(ls[i], ' ') <> '')
+    SELECT doc_id, 'para' || (n // 3) AS location, CAST(max(n) AS INT) AS ord, arg_max(x, n) AS text FROM u GROUP BY doc_id, n // 3"""
+ORACLE_SQL["statement_hits_vectors"] = f"""WITH {_COVERAGE}, e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    n AS (SELECT cov.*, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS cosine FROM cov JOIN top USING (q)
+          LEFT JOIN e a ON a.vec_id = (q * 31 + clause_no) % 100 LEFT JOIN e b ON b.vec_id = (top.doc_id + block_no * 7) % 100)
+    SELECT q, bool_and(f) AS hit FROM (SELECT q, letter, clause_no, bool_or(coverage >= 0.9 OR coalesce(cosine >= 0.3, false)) AS f FROM n GROUP BY ALL) GROUP BY q"""
