@@ -145,24 +145,36 @@ def kind_of(value: Column) -> Column:
 
 
 def _read(run: Column) -> Column:
-    """A run of digits as pieces (value, kind): from the left the longest valid cards from separator to separator, and the rest."""
-    groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
+    """A run of digits as pieces (value, kind): from the left the longest valid cards from separator to separator, and the rest.
+
+    The walk over the groups of digits carries only the places of the cards found so far; texts are cut out after it."""
     piece = lambda value, kind: F.struct(value.alias("value"), kind.cast("string").alias("kind"))
-    start = F.struct(groups.alias("groups"), F.filter(F.array(piece(run, F.lit(None))), lambda x: F.lit(False)).alias("out"), F.lit(1).alias("at"))
+    joined = lambda groups, a, b: F.array_join(F.slice(groups, a, F.greatest(b - a + 1, F.lit(0))), "")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def cards(groups):
+        def turn(acc, i):
+            valid = lambda j: F.exists(F.array(F.regexp_replace(joined(groups, i, j), "[^0-9]", "")), valid_card)
+            ends = F.filter(F.sequence(F.least(i + 18, F.size(groups)), i, F.lit(-1)), valid)
+            taken = lambda j: F.struct(F.when(j > 0, F.concat(acc.out, F.array(F.struct(i.alias("a"), j.alias("b"))))).otherwise(acc.out).alias("out"), F.when(j > 0, j + 1).otherwise(i + 1).alias("at"))
+            return F.when(i < acc.at, acc).otherwise(bound(F.coalesce(F.get(ends, F.lit(0)), F.lit(0)), taken))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), F.struct(none.alias("out"), F.lit(1).alias("at")), turn, lambda acc: acc.out)
 
-    def turn(acc, i):
-        own = lambda j: F.array_join(F.slice(acc.groups, i, j - i + 1), "")
-        ends = F.filter(F.sequence(F.least(i + 18, F.size(acc.groups)), i, F.lit(-1)), lambda j: F.exists(F.array(F.regexp_replace(own(j), "[^0-9]", "")), valid_card))
+    def pieces(groups):
+        def cut(found):
+            def one(c, k):
+                before = F.when(k > 0, F.get(found, k - 1).b).otherwise(0)
+                lead = F.regexp_extract(F.get(groups, c.a - 1), "^[ -]?", 0)
+                card = joined(groups, c.a, c.b)
+                return F.array(piece(F.concat(joined(groups, before + 1, c.a - 1), lead), F.lit(None)), piece(F.substring(card, F.length(lead) + 1, F.length(card)), F.lit("card")))
 
-        def taken(j):
-            lead = F.regexp_extract(F.get(acc.groups, i - 1), "^[ -]?", 0)
-            found = F.array(piece(lead, F.lit(None)), piece(F.substring(own(j), F.length(lead) + 1, F.length(own(j))), F.lit("card")))
-            plain = F.array(piece(F.get(acc.groups, i - 1), F.lit(None)))
-            return F.struct(acc.groups.alias("groups"), F.concat(acc.out, F.when(j > 0, found).otherwise(plain)).alias("out"), F.when(j > 0, j + 1).otherwise(i + 1).alias("at"))
+            last = F.when(F.size(found) > 0, F.element_at(found, -1).b).otherwise(0)
+            return F.concat(F.flatten(F.transform(found, one)), F.array(piece(joined(groups, last + 1, F.size(groups)), F.lit(None))))
 
-        return F.when(i < acc.at, acc).otherwise(F.element_at(F.transform(F.array(F.coalesce(F.get(ends, F.lit(0)), F.lit(0))), taken), 1))
+        return bound(cards(groups), cut)
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, turn, lambda acc: acc.out)
+    return bound(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), pieces)
 
 
 def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Column:
