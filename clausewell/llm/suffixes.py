@@ -5,7 +5,8 @@ A string of ``length`` bytes is hit if it also starts earlier (smaller doc_id, o
    strings have equal anchors in equal places. One Arrow pass gives each anchor's hash, a hash of its context
    (all bytes of strings through it), hashes of the bytes just left and right of it, and its place; about one anchor every
    35 bytes is shuffled, no text.
-   The rows of anchors that are very frequent somewhere are dealt by their contexts as well, not by their hash alone.
+   The rows of very frequent anchors, by counts over a sample of all documents, are dealt by their contexts as well,
+   not by their hash alone.
 2. Occurrences of a context that are not its first are hit as a whole. What is left are anchors with
    several contexts; only their first occurrences matter. A string common to two contexts of an anchor takes at least half
    of its other bytes on one side, so contexts that share neither side with another one drop out, and only the
@@ -17,7 +18,8 @@ A string of ``length`` bytes is hit if it also starts earlier (smaller doc_id, o
    grouped by a 128-bit hash instead, a row for each, so no task holds an unbounded group.
 4. Spans are gathered for each document and cut out of its bytes.
 
-Contexts are compared by 64-bit hashes from random tables, within one anchor hash; strings by their bytes.
+Contexts are the same if the hashes of their anchor (64 bits), of all their bytes (64 bits, random tables) and of the bytes
+left and right of the anchor (32 bits each) are; strings of different contexts are compared by their bytes.
 
 Defined results: a null text is empty; documents with a null id neither hit nor are hit, and lose nothing; rows that repeat
 an id with the same text are judged alike and do not hit each other; rows that share an id must share the text; an empty
@@ -42,8 +44,8 @@ from .common import bounded, col, free, fresh, table, written
 from .paragraphs import BYTES, WORD_BASE, Ranges
 
 GRAM = 32
-#: Bytes to which suffixes are sorted: strings that are looked for are no longer.
-DEPTH = 104
+#: Longest strings that are looked for: an anchor's row holds its distance to the end of its strings in one byte.
+LONGEST = 255
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -98,18 +100,19 @@ def with_doc(kind: T.DataType, ddl: str) -> T.StructType:
 ANCHOR = "key bigint, ctx bigint, sides bigint, place bigint"
 
 
-def _heavy_keys(docs: DataFrame, length: int, often: int = 4, most: int = 1000, share: int = 16) -> np.ndarray:
-    """Anchor hashes that occur ``often`` or more in some slice: the ``most`` frequent of them, whose rows are to be
-    dealt by more than their hash. Which they are changes no result, so one document of ``share`` is looked at."""
+def _heavy_keys(docs: DataFrame, length: int, often: int = 4, most: int = 4096, share: int = 16) -> np.ndarray:
+    """Anchor hashes that occur ``often`` or more in one document of ``share`` (by hash of the id), the ``most`` frequent of
+    them: their rows are to be dealt by more than their hash. Counts are sums over the whole sample, so a line that stands
+    once in each of a few documents of a hundred is found too. Which keys they are changes no result."""
 
     def run(batches):
         for batch in batches:
             for _, data, ends in laid_end_to_end(batch, 0, length):
                 key, n = np.unique(anchors(data, ends, length)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[n >= often].view(np.int64)), pa.array(n[n >= often])], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).select(F.col("text").cast("binary"))
-    found = some.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = some.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(most).collect()], np.int64))
 
 
@@ -141,7 +144,7 @@ def _anchor_rows(docs: DataFrame, length: int, heavy: np.ndarray, inside: bool)
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def by_lanes(at: np.ndarray, lanes: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+def by_lanes(at: np.ndarray, lanes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` bytes, eight at a time: after the first only those that are still tied."""
     order = at[np.argsort(lanes[at], kind="stable")]
     new = np.ones(len(order), bool)
@@ -160,7 +163,7 @@ def by_lanes(at: np.ndarray, lanes: np.ndarray, depth: int = DEPTH) -> np.ndarra
 
 
 def two_stage(data: np.ndarray, ends: np.ndarray, length: int = 1) -> np.ndarray:
-    """Suffix array of texts laid end to end in data (ends: where each ends), right to 104 bytes' depth.
+    """Suffix array of texts laid end to end in data (ends: where each ends), right to a depth of 104 bytes or ``length``.
 
     All suffixes of ``length`` bytes or more are in it. Of the shorter ones of a text, which cannot hold a string
     of that length, only those up to the first that is sorted directly take part, as the others are induced from it.
@@ -173,13 +176,14 @@ def two_stage(data: np.ndarray, ends: np.ndarray, length: int = 1) -> np.ndarray
     step[last] = -1  # the end of a text is smaller than any byte
     known = np.flatnonzero(step)
     smaller = step[known[np.searchsorted(known, np.arange(n))]] > 0  # than their successors
-    wide = np.concatenate([data, np.zeros(112, np.uint8)])
+    depth = max(104, -(-length // 8) * 8)
+    wide = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
     lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)).view(">u8").reshape(-1).astype(np.uint64)
     direct = np.flatnonzero(smaller)
     at = np.searchsorted(direct, np.maximum(ends - length, np.append(0, ends[:-1])))
     bound = np.minimum(np.append(direct, n)[at], ends - 1)  # the last suffix of each text that takes part
     direct = direct[direct <= bound[np.searchsorted(ends, direct, side="right")]]
-    direct = by_lanes(direct, lanes)
+    direct = by_lanes(direct, lanes, depth)
     cut = np.searchsorted(data[direct], np.arange(257))
     incoming: dict[int, list[np.ndarray]] = defaultdict(list)
     end = bound[last[bound]]
@@ -292,7 +296,7 @@ def _sides(rows: DataFrame) -> DataFrame:
 def _by_windows(rows: DataFrame) -> DataFrame:
     """ANCHOR rows -> doc, place, key, later: occurrences of a context that are not its first, and those of contexts that share
     a side with another one of their anchor. One shuffle, by anchor."""
-    own, all_ = W.partitionBy("key", "ctx"), W.partitionBy("key")
+    own, all_ = W.partitionBy("key", "ctx", "sides"), W.partitionBy("key")
     rows = rows.withColumn("first", F.min(F.struct("doc", "place")).over(own))
     rows = rows.withColumns({"least": F.min("ctx").over(all_), "most": F.max("ctx").over(all_)})
     later = F.struct("doc", "place") > F.col("first")
@@ -309,7 +313,7 @@ def _by_joins(rows: DataFrame) -> DataFrame:
     """The same for anchors that many rows share: first occurrences and shared sides are sums within tasks first, and
     come back by joins whose large keys are split."""
     contexts = written(_sides(rows.groupBy("key", "ctx", "sides").agg(F.min(F.struct("doc", "place")).alias("first"))))
-    later = rows.join(contexts.select("key", "ctx", "first"), ["key", "ctx"]).where(F.struct("doc", "place") > F.col("first"))
+    later = rows.join(contexts.select("key", "ctx", "sides", "first"), ["key", "ctx", "sides"]).where(F.struct("doc", "place") > F.col("first"))
     out = later.select("doc", "place", "key", F.lit(True).alias("later"))
     for side in ("l", "r"):
         shared = contexts.where(F.col(side) != 0).groupBy("key", side).agg(F.count("*").alias("n")).where("n > 1")
@@ -323,8 +327,8 @@ def hit_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     kind = docs.schema[doc_id].dataType
     given = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where("doc is not null")
     reach = length - GRAM
-    if not GRAM < length <= DEPTH:
-        raise ValueError(f"length has to be over {GRAM} and at most {DEPTH}")
+    if not GRAM < length <= LONGEST:
+        raise ValueError(f"length has to be over {GRAM} and at most {LONGEST}")
     heavy = _heavy_keys(given, length)
     rows = _by_windows(_anchor_rows(given, length, heavy, False))
     if len(heavy):

@@ -229,7 +229,7 @@ def test_suffixes_sorted_in_turns():
     data = np.concatenate([rng.integers(97, 99, 3000), np.tile(rng.integers(97, 123, 150), 8), np.full(500, 97), np.zeros(120)]).astype(np.uint8)
     lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").reshape(-1).astype(np.uint64)
     at = np.sort(rng.choice(len(data) - 120, 2500, replace=False))
-    assert suffixes.by_lanes(at, lanes).tolist() == sorted(at.tolist(), key=lambda p: (data[p : p + 104].tobytes(), p))
+    assert suffixes.by_lanes(at, lanes, 104).tolist() == sorted(at.tolist(), key=lambda p: (data[p : p + 104].tobytes(), p))
 
 
 def test_several_automata_merge_their_spans(spark):

@@ -85,25 +85,38 @@ def test_scores_do_not_depend_on_pieces(monkeypatch, piece):
         assert len(texts[0]) > 2 * 10**6 * 0.9  # no sentence ends in it
 
 
-def test_removals_at_production_length(spark):
-    """Bytes that a 100-byte string covers which starts earlier too, by a set of all strings."""
+@pytest.mark.parametrize("length", [100, 150, 255])
+def test_removals_at_production_length(spark, length):
+    """Bytes that a string of that length covers which starts earlier too, by a set of all strings."""
     rng = random.Random(8)
-    parts = ["".join(rng.choices("abcdefghij é", k=k)) for k in (99, 100, 101, 150, 400)]
+    parts = ["".join(rng.choices("abcdefghij é", k=k)) for k in (length - 1, length, length + 1, length + 50, 4 * length)]
     texts = ["".join(rng.choice([*parts, "".join(rng.choices("klmnop ", k=60))]) for _ in range(rng.randrange(5))) for _ in range(60)] + ["ab" * 300, "ab" * 300, None, ""]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"], length=length).collect()}
     seen, want = set(), {}
     for i, text in enumerate(texts):
         data = (text or "").encode()
         gone = np.zeros(len(data) + 1, bool)
-        for a in range(len(data) - 99):
-            if data[a : a + 100] in seen:
-                gone[a : a + 100] = True
-            seen.add(data[a : a + 100])
+        for a in range(len(data) - length + 1):
+            if data[a : a + length] in seen:
+                gone[a : a + length] = True
+            seen.add(data[a : a + length])
         spans = int(np.count_nonzero(gone[:-1] & ~np.roll(gone, 1)[:-1])) if len(data) else 0
         want[i] = (len(data), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, x in zip(data, gone) if not x)).hexdigest())
     assert got == want and sum(w[1] for w in want.values()) > 5000
     with pytest.raises(ValueError, match="at most"):
-        suffixes.hit_spans(spark.createDataFrame([], "doc_id bigint, text string"), length=150)
+        suffixes.hit_spans(spark.createDataFrame([], "doc_id bigint, text string"), length=256)
+
+
+def test_frequent_keys_by_counts_over_all_documents(spark):
+    """A line that stands once in one document of 200, so never twice in a slice, is a frequent key."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    line = word(140)
+    rows = [(i, word(300) + (line if i % 200 == 0 else "") + word(300)) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc bigint, text string")
+    found = set(suffixes._heavy_keys(docs, 100).tolist())
+    own = np.frombuffer(line.encode(), np.uint8)
+    assert set(suffixes.anchors(own, np.array([len(own)]), 100)[1].view(np.int64).tolist()) & found and len(found) < 10
 
 
 def test_model_of_secrets_by_a_plain_count(spark):
