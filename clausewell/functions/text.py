@@ -38,7 +38,13 @@ def number_text(x: Column) -> Column:
 
 
 def grams(s: Column, n: int = 4) -> Column:
-    return F.when(F.length(s) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
+    """All runs of n characters. The text is taken apart once: taking each run out of it by its place would be quadratic, as
+    places in UTF-8 are found by counting."""
+
+    def runs(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), ""))
+
+    return F.when(F.length(s) < n, F.array().cast("array<string>")).otherwise(F.transform(F.array(F.split(s, "")), runs)[0])
 
 
 def ngram_coverage(a: Column, b: Column, n: int = 4) -> Column:

@@ -4,13 +4,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clauses, ngram_coverage, number
+from ..functions.text import clauses, ngram_coverage, norm, number
+from .coverage import pair_coverage
 
 
 def clause_coverage(options: DataFrame, blocks: DataFrame) -> DataFrame:
-    """options(q, doc_id, letter, option), blocks(doc_id, block_no, text): q, letter, clause_no, block_no, coverage."""
+    """options(q, doc_id, letter, option), blocks(doc_id, block_no, text): q, letter, clause_no, block_no, coverage.
+
+    block_no names one block of its document. Clauses and blocks meet by their n-grams, not text by text."""
     each = options.select("q", "doc_id", "letter", F.posexplode(clauses(F.col("option"))).alias("clause_no", "clause"))
-    return each.join(blocks, "doc_id").select("q", "letter", "clause_no", "block_no", ngram_coverage(F.col("clause"), F.col("text")).alias("coverage"))
+    each = each.withColumn("a", norm(F.coalesce("clause", F.lit(""))))
+    found = pair_coverage(each.select("doc_id", "a"), blocks.select("doc_id", "block_no", F.col("text").alias("t")), ["doc_id"], ["block_no"])
+    return each.join(found, ["doc_id", "a"]).select("q", "letter", "clause_no", "block_no", "coverage")
 
 
 def option_scores(coverage: DataFrame) -> DataFrame:

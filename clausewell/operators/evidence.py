@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_coverage, norm
+from ..functions.text import norm
+from ..sources.shared import stored
+from .coverage import pair_coverage
 
 ITEM = ["q", "no", "text", "source", "location"]
 
@@ -60,11 +62,15 @@ def hit_rates(rows: DataFrame, table_kind: str = "excel") -> DataFrame:
 
 def extraction_audit(questions: DataFrame, units: DataFrame, least: float = 0.7) -> DataFrame:
     """questions(q, doc_id, source_type, evidence), units(doc_id, unit_no, text): coverage of the gold evidence in the
-    document's whole text and a note, 'empty' for documents without text."""
-    whole = units.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda u: norm(u.text)), "").alias("whole"))
-    rows = questions.join(whole, "doc_id", "left").withColumn("whole", F.coalesce("whole", F.lit("")))
-    rows = rows.withColumn("coverage", F.round(ngram_coverage(F.col("evidence"), F.col("whole")), 9))
-    note = F.when(F.col("whole") == "", "empty").when(F.col("coverage") < least, "miss").otherwise("ok")
+    document's whole text (null as empty) and a note, 'empty' for documents without text."""
+    whole = units.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda u: norm(u.text)), "").alias("t"))
+    texts = questions.select("doc_id").distinct().join(whole, "doc_id", "left").withColumn("t", F.coalesce("t", F.lit("")))
+    texts = stored(texts)
+    found = pair_coverage(questions.select("doc_id", F.col("evidence").alias("a")), texts, ["doc_id"], [])
+    rows = questions.join(texts.select("doc_id", (F.col("t") == "").alias("blank")), "doc_id", "left").withColumn("a", norm(F.coalesce("evidence", F.lit(""))))
+    rows = rows.join(found, ["doc_id", "a"], "left").withColumn("blank", F.coalesce("blank", F.lit(True)))
+    rows = rows.withColumn("coverage", F.round(F.coalesce("coverage", F.lit(0.0)), 9))
+    note = F.when(F.col("blank"), "empty").when(F.col("coverage") < least, "miss").otherwise("ok")
     return rows.select("q", "doc_id", "source_type", "coverage", note.alias("note"))
 
 
