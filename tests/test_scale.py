@@ -48,6 +48,31 @@ def test_index_built_once_and_searched_without_texts(spark, tmp_path):
     assert retrieve.search(spark, path, asked.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 16])
+def test_index_has_a_row_a_block_and_queries_go_in_groups(spark, tmp_path, monkeypatch, cells):
+    monkeypatch.setattr(retrieve, "CELLS", cells)
+    monkeypatch.setattr(retrieve, "ASKED", 50)
+    rng = random.Random(8)
+    blocks = [(f"b{i:03d}", " ".join(rng.choices(["hot", *(f"w{j}" for j in range(40))], k=rng.randrange(40)))) for i in range(150)]
+    queries = [(i, " ".join(rng.choices(["hot", *(f"w{j}" for j in range(45))], k=5))) for i in range(40)]
+    path = str(tmp_path / "index")
+    retrieve.build_index(spark.createDataFrame(blocks, "block_id string, text string").repartition(6), path)
+    assert spark.read.parquet(f"{path}/postings").count() == len(blocks)
+    got = retrieve.search(spark, path, spark.createDataFrame(queries, "query_id bigint, text string"), k=4).collect()
+    assert {(r.query_id, r.block_id, r["rank"]) for r in got} == _bm25(blocks, queries, 4)
+
+
+def test_best_of_many_rounds_with_ties_and_no_numbers():
+    rng = np.random.default_rng(9)
+    scores = rng.integers(0, 30, (7, 4000)) / 8.0
+    scores[:, 1::50] = np.nan
+    best = retrieve._Best(7, 5, 3)
+    for at in range(0, 4000, 800):
+        best.add(scores[:, at : at + 800], np.arange(at, at + 800), 0)
+    want = [(q, b) for q in range(7) for b in np.lexsort((np.arange(4000), -np.nan_to_num(scores[q], nan=-1)))[:5]]
+    assert list(zip(best.q, best.b, strict=True)) == want
+
+
 def test_index_of_no_blocks(spark, tmp_path):
     none = spark.createDataFrame([], "block_id int, text string")
     assert retrieve.bm25(none, spark.createDataFrame([(1, "a")], "query_id int, text string")).count() == 0
