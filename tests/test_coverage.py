@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausewell.functions import text as X
-from clausewell.operators import coverage, evidence
+from clausewell.operators import answer, coverage, evidence
 
 
 def plain(a, t, n=4):
@@ -56,3 +56,31 @@ def test_work_grows_with_the_texts_not_their_product(spark):
     seconds(1000)
     small, large = seconds(200_000), seconds(800_000)
     assert large < 8 * small + 2
+
+
+@pytest.mark.parametrize("n", [2, 4])
+def test_all_parts_of_a_question_in_one_pass_over_a_text(spark, n):
+    rng = random.Random(10 + n)
+    word = lambda k: "".join(rng.choices("ab资😀 ", k=k))
+    parts = [(q, i, a) for q in (1, 2, 3) for i, a in enumerate([word(rng.randrange(12)) for _ in range(6)] + ["", None, "aaaaaaa", "a b"])]
+    texts = [(q, b, t) for q in (1, 2, 4) for b, t in enumerate([word(rng.randrange(40)) for _ in range(5)] + ["", None, "aaa", "aaaa"])]
+    got = coverage.parts_coverage(spark.createDataFrame(parts, "q int, i int, a string"), spark.createDataFrame(texts, "q int, b int, t string"), "q", n).collect()
+    bare = lambda x: x and x.replace(" ", "")
+    want = {(q, b, i): None if a is None or t is None else plain(bare(a), bare(t), n) for q, i, a in parts for e, b, t in texts if q == e}
+    assert {(r.q, r.b, r.i): r.coverage for r in got} == want and len(got) == len(want)
+
+
+def test_options_as_long_as_their_texts(spark):
+    """Four times the length of options and texts takes far less than sixteen times the time."""
+    rng = random.Random(4)
+
+    def seconds(size):
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+        options = spark.createDataFrame([(1, "A", text[::-1]), (1, "B", text[1:])], "q int, letter string, option string")
+        begun = time.monotonic()
+        assert answer.fallback_option(options, spark.createDataFrame([(1, 1, 7, text)], "q int, rank int, block_id int, text string")).first().letter == "B"
+        return time.monotonic() - begun
+
+    seconds(1000)
+    small, large = seconds(50_000), seconds(200_000)
+    assert large < 8 * small + 2
