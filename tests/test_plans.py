@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from clausewell.operators import retrieve
-from clausewell.plans import queries, questions
+from clausewell.plans import answering, queries, questions
 from clausewell.plans import tables as table_plans
 
 WORDS = [f"w{i}" for i in range(12)]
@@ -63,6 +63,20 @@ def test_answers_take_twenty_hits(spark, tables):
     assert {r.name for r in questions.strategy_sweep(spark, tables).collect()} == {"V0", "V1", "V2", "V3", "V4"}
 
 
+def test_only_texts_of_located_documents_are_cut(spark, tables, monkeypatch):
+    """Of the documents only the best of each passage are cut into lines, and passages are ranked once a query."""
+    cut, ranked = [], []
+    units, bm25 = questions._units, questions._bm25
+    monkeypatch.setattr(questions, "_units", lambda spark, d, among=None: cut.append(units(spark, d, among)) or cut[-1])
+    for plans in (questions, answering):
+        monkeypatch.setattr(plans, "_bm25", lambda spark, d, k: ranked.append(k) or bm25(spark, d, k))
+    best = {r.block_id for r in queries._bm25(spark, tables, 1).collect()}
+    for query in (questions.extraction_audit, questions.document_prompts, questions.strategy_sweep, questions.statement_hits_vectors):
+        cut.clear(), ranked.clear()
+        assert query(spark, tables).count() > 0 and len(ranked) == 1
+        assert all({r.doc_id for r in x.collect()} == best for x in cut)
+
+
 def test_title_locate_takes_all(spark, tmp_path):
     names = {i: f"Customer#{i:09d}" for i in range(1, 130)}
     spark.createDataFrame(list(names.items()), "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
