@@ -5,7 +5,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
-from .match import best_common, best_label, locate
+from ..sources.shared import stored
+from .match import best_common, best_names, located
 
 
 def match_labels(labels: DataFrame, names: DataFrame, least: int = 15) -> DataFrame:
@@ -13,9 +14,7 @@ def match_labels(labels: DataFrame, names: DataFrame, least: int = 15) -> DataFr
 
     Stage 1: the best name that holds the label. Stage 2, for the others: the longest common substring of ``least``
     characters or more, the smallest name_id of a tie. Labels that neither finds are absent."""
-    held = locate(labels.select(F.col("label_id").alias("title_id"), F.col("label").alias("title")), names)
-    pairs = held.select(F.col("title_id").alias("label_id"), "name_id").join(labels, "label_id").join(names, "name_id")
-    one = best_label(pairs)
+    one = stored(best_names(labels, names))
     rest = labels.join(one, "label_id", "left_anti")
     two = best_common(rest.select(F.col("label_id").alias("a_id"), F.col("label").alias("s")), names.select(F.col("name_id").alias("b_id"), F.col("name").alias("s")), least)
     two = two.select(F.col("a_id").alias("label_id"), F.col("b_id").alias("name_id"))
@@ -31,8 +30,8 @@ def label_issues(labels: DataFrame, names: DataFrame, matched: DataFrame) -> Dat
 
 def absent_topics(topics: DataFrame, names: DataFrame) -> DataFrame:
     """topics(topic_id, topic, question) whose normalised words are in no name."""
-    held = locate(topics.select(F.col("topic_id").alias("title_id"), norm(F.col("topic")).alias("title")), names)
-    return topics.join(held.select(F.col("title_id").alias("topic_id")), "topic_id", "left_anti")
+    held = located(topics.select("topic_id", norm(F.col("topic")).alias("title")), names)
+    return topics.join(held, "topic_id", "left_anti")
 
 
 def outside_questions(

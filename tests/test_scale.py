@@ -107,6 +107,29 @@ def test_titles_in_names(spark, monkeypatch, sent):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_best_names_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    exts = ["x", "y", None]
+    names = [(i, n, rng.choice(exts)) for i, n in enumerate(_texts(rng, 200, "abé𝄞", 12) + [None, ""] + ["abab"] * 9)]
+    labels = [(i, n, rng.choice(exts)) for i, n in enumerate(_texts(rng, 80, "abé𝄞", 4) + [None, "", "abab", "zz"])]
+    a = spark.createDataFrame(labels, "label_id int, label string, label_ext string")
+    b = spark.createDataFrame(names, "name_id int, name string, ext string")
+    want = {tuple(r) for r in match.best_label(a.where("label <> ''").crossJoin(b).where(F.contains("name", "label"))).collect()}
+    assert {tuple(r) for r in match.best_names(a, b).collect()} == want and want
+    held = {label for _, label, _ in labels if label and any(n and label in n for _, n, _ in names)}
+    got = match.located(a.withColumnRenamed("label", "title"), b).collect()
+    assert {r.title for r in got} == held and len(got) == sum(label in held for _, label, _ in labels)
+
+
+def test_titles_are_ranked_once_for_all_rows_of_a_title(spark):
+    """2,000 rows of one title in 2,000 names: names are ranked for the title, and its rows meet the ranks after."""
+    ids = spark.range(2000)
+    got = match.locate(ids.select(F.col("id").alias("title_id"), F.lit("mm").alias("title")), ids.select(F.col("id").alias("name_id"), F.concat(F.lit("comma"), "id").alias("name")))
+    assert got.agg(F.count("*"), F.count_distinct("title_id"), F.max("cand_no")).first()[:] == (4_000_000, 2000, 2000)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the plan's top comes first
+
+
 def _lcs(a, b):
     return max((m for i in range(len(a)) for m in range(len(a) - i + 1) if a[i : i + m] in b), default=0)
 
