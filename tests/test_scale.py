@@ -134,6 +134,25 @@ def _lcs(a, b):
     return max((m for i in range(len(a)) for m in range(len(a) - i + 1) if a[i : i + m] in b), default=0)
 
 
+@pytest.mark.parametrize("short", [256, 9, 0])
+def test_common_substrings_of_all_pairs(spark, monkeypatch, short):
+    monkeypatch.setattr(match, "SHORT", short)
+    rng = random.Random(7)
+    a = [*enumerate(_texts(rng, 30, "abé𝄞", 18)), (40, "aaaaaaaa"), (41, "abababab"), (42, ""), (43, None)]
+    b = [*enumerate(_texts(rng, 40, "abé𝄞", 18)), (50, "aaaaaaaaaa"), (51, "babababa"), (52, None), (53, "abéxabéxabé")]
+    got = match.common_substring(spark.createDataFrame(a, "a_id int, s string"), spark.createDataFrame(b, "b_id int, s string"), 3).collect()
+    want = {(i, j): _lcs(s, t) for i, s in a for j, t in b if s and t and _lcs(s, t) >= 3}
+    assert {(r.a_id, r.b_id): r.lcs for r in got} == want and len(got) == len(want)
+
+
+def test_matches_of_short_texts_are_not_shuffled(spark):
+    """Every pair of 1,500 texts shares a string: rows are made where the texts meet, so the plan groups none of them."""
+    texts = spark.range(1500).select(F.col("id").alias("a_id"), F.concat(F.lit("shared by all of them "), "id").alias("s"))
+    got = match._local(texts, texts.withColumnRenamed("a_id", "b_id"), 17)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 1500 * 1500 and "Aggregate" not in plan and "Window" not in plan
+
+
 def test_best_common_substring_makes_no_pairs(spark):
     rng = random.Random(4)
     b = [*enumerate(_texts(rng, 70, "ab", 24)), (70, None), *((100 + i, "shared by all of them" + str(i)) for i in range(30))]
