@@ -249,3 +249,8 @@ def test_one_broken_document_fails_alone(spark, tmp_path):
     rows = spark.createDataFrame([*cells, ("2", "S", None, 1, "9")], "doc_id string, sheet string, r int, c int, raw string")
     facts, failed = sheets.facts_or_failures(rows)
     assert [(r.doc_id, r.value) for r in facts.collect()] == [("1", 5.0)] and [tuple(r) for r in failed.collect()] == [("2", "cell_without_place")]
+
+
+def test_common_substring_lengths_are_long_as_in_sql(spark):
+    a = spark.createDataFrame([(1, "shared by all")], "a_id int, s string")
+    assert dict(match.common_substring(a, a.withColumnRenamed("a_id", "b_id"), 5).dtypes)["lcs"] == "bigint"
