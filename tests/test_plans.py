@@ -77,6 +77,15 @@ def test_only_texts_of_located_documents_are_cut(spark, tables, monkeypatch):
         assert all({r.doc_id for r in x.collect()} == best for x in cut)
 
 
+def test_only_vectors_that_are_asked_are_made(spark, tables, monkeypatch):
+    """Vector 100 is no statement's or block's, so it is not made unit or joined."""
+    made, vectors = [], questions._vectors
+    monkeypatch.setattr(questions, "_vectors", lambda *a: made.append(vectors(*a)) or made[-1])
+    hits = {r.q: r.hit for r in questions.statement_hits_vectors(spark, tables).collect()}
+    said, held = ({r.vec_id for r in x.select("vec_id").collect()} for x in made)
+    assert said == {q * 31 % 100 + i for q in hits for i in range(2)} and 100 not in held and len(held) == 3
+
+
 def test_title_locate_takes_all(spark, tmp_path):
     names = {i: f"Customer#{i:09d}" for i in range(1, 130)}
     spark.createDataFrame(list(names.items()), "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
