@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,26 @@ def test_one_broken_document_fails_alone(spark, tmp_path):
 def test_common_substring_lengths_are_long_as_in_sql(spark):
     a = spark.createDataFrame([(1, "shared by all")], "a_id int, s string")
     assert dict(match.common_substring(a, a.withColumnRenamed("a_id", "b_id"), 5).dtypes)["lcs"] == "bigint"
+
+
+def test_every_pair_meets_in_one_block(spark, monkeypatch):
+    """Blocks of a few texts: each pair is listed once, whatever ends with a batch, a block or a part of the pairs."""
+    for name, few in (("SHARE", 3), ("PARTS", 4), ("ROWS", 5), ("PAIRS", 7)):
+        monkeypatch.setattr(match, name, few)
+    rng = random.Random(8)
+    a, b = ([*enumerate(_texts(rng, 30, "abé𝄞", 18)), (40, "aaaaaaaa"), (41, "abababab")] for _ in "ab")
+    want = {(i, j): _lcs(s, t) for i, s in a for j, t in b if s and t and _lcs(s, t) >= 3}
+    got = match.common_substring(spark.createDataFrame(a, "a_id int, s string"), spark.createDataFrame(b, "b_id bigint, s string"), 3).collect()
+    assert {(r.a_id, r.b_id): r.lcs for r in got} == want and len(got) == len(want)
+    rows = sorted([(p, True, i, None, s) for i, s in a for p in (0, 3) if s and len(s) >= 3] + [(p, False, None, j, t) for j, t in b for p in (0, 3, 4) if t and len(t) >= 3], key=lambda r: r[:2])
+    batches = [pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows[k : k + 11], strict=True))][:2] + [pa.array([r[c] for r in rows[k : k + 11]], kind) for c, kind in ((2, pa.int32()), (3, pa.int64()), (4, pa.string()))], names=list("vwxyz")) for k in range(0, len(rows), 11)]
+    got = [tuple(r.values()) for x in match._blocks(3)(batches) for r in x.to_pylist()]
+    assert Counter(got) == Counter({(i, j, lcs): 2 for (i, j), lcs in want.items()})
+
+
+def test_all_pairs_of_texts_that_share_much(spark):
+    """9 million pairs, all with some 200 characters in common: a pair costs no comparison of its two texts."""
+    texts = spark.range(3000).select(F.col("id").alias("a_id"), F.concat(F.col("id"), F.repeat(F.lit("shared by every one of these "), 7), "id").alias("s"))
+    began = time.time()
+    found = match.common_substring(texts, texts.withColumnRenamed("a_id", "b_id"), 17).agg(F.count("*"), F.min("lcs")).first()
+    assert found[0] == 9_000_000 and found[1] == 203 and time.time() - began < 60
