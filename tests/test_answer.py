@@ -1,6 +1,10 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from clausewell.operators import answer, corpus, evaluate, match, retrieve
+from clausewell.plans import answering
 
 
 def one(spark, c):
@@ -76,3 +80,42 @@ def test_choice_and_rates(spark):
     graded = spark.createDataFrame([(k < 5,) for k in range(16)], "correct boolean")
     assert evaluate.accuracy(graded, []).first().percent == 31.2
     assert {tuple(r) for r in evaluate.split_documents(spark.createDataFrame([("dev", 1), ("dev", 1), ("test", 2)], "split string, grp int")).collect()} == {("dev", 1), ("test", 2)}
+
+
+def test_documents_that_questions_name(spark):
+    """The shortest file name that holds the title, then the smallest number as text; white space, file kind, number and extension do not count."""
+    names = [(1, "7_资本 办法说明.pdf"), (9, "8_资本办法.docx"), (10, "9_资本办法.xls"), (11, "附件资本办法补充规定.pdf"), (12, None)]
+    asked = [(1, "依据《资本办法（PDF）》，哪项正确？"), (2, "依据《 办法 说明》？"), (3, "依据《保险法》？"), (4, "资本办法？"), (5, "《补充规定(Word)》与《资本办法》？"), (6, None), (7, "《（PDF）》")]
+    got = answer.scope(spark.createDataFrame(asked, "q int, question string"), spark.createDataFrame(names, "doc_id int, name string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 10), (2, 1), (5, 11)}
+
+
+def test_option_scoring_is_the_whole_method(spark, tmp_path):
+    """Four options a question, by clauses, over the blocks of the document that its title locates, against a plain model."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(60)]
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    items = {i: f"{said(6)}. {said(5)}; {said(4)}" for i in range(10)}
+    # documents i and i + 20 are equal but for their sources: the words find i, the title the one of the shorter name
+    texts = {i: f"{said(4)} d{i} {said(9)}\n{items[i][:20]}\n{items[i][20:]}\n{said(8)}" for i in items}
+    docs = [(i + k, s, "s" * (3 if (i + k // 20) % 2 else 1)) for i, s in texts.items() for k in (0, 20)]
+    spark.createDataFrame([*docs, (99, None, "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda s: "".join(s.replace(". ", "。").split())
+
+    def coverage(a, t):
+        return sum(a[i : i + 4] in t for i in range(len(a) - 3)) / (len(a) - 3) if len(a) > 3 else float(a in t)
+
+    want = set()
+    for q in items:
+        scores = {}
+        for k, other in enumerate(range(q - q % 4, q - q % 4 + 4)):
+            if other in items:
+                clauses = re.split("[;。]", plain(items[other]))
+                scores["ABCD"[k]] = round(sum(coverage(c, plain(texts[q])) for c in clauses) / len(clauses), 9)
+        best = min(scores, key=lambda k: (-scores[k], k))
+        want |= {(q, k, v, k == best) for k, v in scores.items()}
+    options = answering._scoped(spark, str(tmp_path))
+    assert {(r.q, r.doc_id) for r in options.collect()} == {(q, q if q % 2 == 0 else q + 20) for q in items}
+    assert {tuple(r) for r in answering.option_scoring(spark, str(tmp_path)).collect()} == want
+    assert all(k == "ABCD"[q % 4] and v == 1 for q, k, v, chosen in want if chosen)
